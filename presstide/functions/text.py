@@ -140,36 +140,52 @@ def concat_tokens(first: Column | str, second: Column | str) -> Column:
     """Append a vector, its positions shifted past the first one's last."""
     a, b = as_col(first), as_col(second)
     shift = F.coalesce(F.array_max(F.transform(a, lambda x: x["pos"])), F.lit(0))
-    return F.concat(
-        a,
-        F.transform(
-            b,
-            lambda x: F.struct((x["pos"] + shift).cast("int").alias("pos"), x["lexeme"].alias("lexeme")),
-        ),
+    # The shift is laid beside the tokens, so it is worked out once per row.
+    shifted = F.zip_with(
+        b,
+        F.array_repeat(shift, F.size(b)),
+        lambda x, by: F.struct((x["pos"] + by).cast("int").alias("pos"), x["lexeme"].alias("lexeme")),
     )
+    return F.concat(a, shifted)
 
 
 def ngrams(tokens: Column | str, max_n: int = 3, min_n: int = 1, unique: bool = True) -> Column:
     """All runs of ``min_n``..``max_n`` tokens at consecutive positions.
 
-    ``tokens`` should be a plain column: it is looked at once per token.
+    The vector is laid beside itself shifted by 1, 2, ... tokens, so each
+    token sees those before it and the row is walked once. No lambda looks
+    back at the whole vector: were its expression inlined there, it would be
+    worked out again for every token.
     """
     t = as_col(tokens)
+    none = F.lit(None).cast("struct<pos:int,lexeme:string>")
+    beside = F.transform(t, lambda x: F.struct(x.alias("t0")))
+
+    def widen(rows, back):
+        moved = F.concat(F.array_repeat(none, back), t)
+        return F.zip_with(
+            rows,
+            moved,
+            lambda row, x: F.struct(*[row[f"t{k}"].alias(f"t{k}") for k in range(back)], x.alias(f"t{back}")),
+        )
+
+    for back in range(1, max_n):
+        beside = widen(beside, back)
 
-    def ending_at(token, i):
+    def ending_here(row):
         grams = []
+        adjacent = row["t0"]["lexeme"].isNotNull()
         for size in range(1, max_n + 1):
-            adjacent = F.lit(True)
-            parts = [token["lexeme"]]
-            for back in range(1, size):
-                before = F.get(t, i - back)
-                adjacent = adjacent & F.coalesce(before["pos"] == token["pos"] - back, F.lit(False))
-                parts.insert(0, before["lexeme"])
+            if size > 1:
+                adjacent = adjacent & F.coalesce(
+                    row[f"t{size - 1}"]["pos"] == row["t0"]["pos"] - (size - 1), F.lit(False)
+                )
             if size >= min_n:
-                grams.append(F.when(adjacent, F.concat_ws(" ", *parts)))
+                words = [row[f"t{k}"]["lexeme"] for k in reversed(range(size))]
+                grams.append(F.when(adjacent, F.concat_ws(" ", *words)))
         return F.array(*grams)
 
-    grams = F.array_compact(F.flatten(F.transform(t, ending_at)))
+    grams = F.array_compact(F.flatten(F.transform(beside, ending_here)))
     return F.array_distinct(grams) if unique else grams
 
 

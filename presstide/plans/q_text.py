@@ -27,7 +27,7 @@ ONE_TERM = ["ha"]
     f"SELECT id, pos, lexeme FROM ({d.tokens('SELECT * FROM documents', 'text', 'doc_id', 'lang')})",
 )
 def txt01(t: Tables):
-    rows = tx.with_tokens(t.read("documents"), "text", "lang")
+    rows = tx.with_tokens(t.read_spread("documents"), "text", "lang")
     return rows.select(F.col("doc_id").alias("id"), F.inline("tokens").alias("pos", "lexeme")).withColumn(
         "pos", F.col("pos").cast("bigint")
     )
@@ -80,19 +80,18 @@ def txt03(t: Tables):
 )
 def txt04(t: Tables):
     """Languages without a list of their own use the multilingual one."""
-    rows = tx.with_tokens(t.read("documents"), "text", "lang", stops={"en": ["the", "of"], "xx": ["de"]})
+    rows = tx.with_tokens(t.read_spread("documents"), "text", "lang", stops={"en": ["the", "of"], "xx": ["de"]})
     return rows.select("doc_id", F.size("tokens").cast("bigint").alias("n"))
 
 
 @query(
     "txt05_unparsed_rows_kept",
-    f"SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN CAST(len({d.words('text')}) AS BIGINT) END AS n FROM documents",
+    f"SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN CAST(len({d.words('text')}) AS BIGINT) ELSE -1 END AS n FROM documents",
 )
 def txt05(t: Tables):
-    rows = t.read("documents").withColumn("body", F.when(F.col("doc_id") % 4 > 0, F.col("text")))
-    return tx.with_tokens(rows, "body", "lang", stops={}).select("doc_id", F.size("tokens").alias("n")).select(
-        "doc_id", F.when(F.col("n") >= 0, F.col("n")).cast("bigint").alias("n")
-    )
+    rows = t.read_spread("documents").withColumn("body", F.when(F.col("doc_id") % 4 > 0, F.col("text")))
+    rows = tx.with_tokens(rows, "body", "lang", stops={})
+    return rows.select("doc_id", F.when(F.col("tokens").isNull(), -1).otherwise(F.size("tokens")).cast("bigint").alias("n"))
 
 
 @query("txt06_ngrams", d.TEXT_CTES + " SELECT id, count(*) AS n, sum(length(term))::BIGINT AS chars FROM grams GROUP BY id")

@@ -21,6 +21,16 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def read_spread(self, name: str) -> DataFrame:
+        """A table whose rows are costly to work on.
+
+        Files with few large row groups load few tasks; where the session sets
+        ``spark.presstide.scanSpread``, rows are dealt out evenly after the scan.
+        """
+        rows = self.read(name)
+        n = self.spark.conf.get("spark.presstide.scanSpread", None)
+        return rows.repartition(int(n)) if n else rows
+
     def events(self) -> DataFrame:
         return self.read("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -100,7 +110,7 @@ class Tables:
             F.col("n_chars").cast("string"),
         )
         return (
-            self.read("documents")
+            self.read_spread("documents")
             .join(orders, F.col("doc_id") == F.col("o_orderkey"))
             .join(pages, F.col("doc_id") == F.col("page_id"), "left")
             .select(
