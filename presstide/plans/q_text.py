@@ -305,12 +305,12 @@ def jon3(t: Tables):
 
 @query(
     "jon4_calendar_full_join",
-    f"{d.TEXT_CTES}, cal AS ({_CAL}), s AS ({_cooc_sql(ONE_TERM)}) SELECT time, n FROM cal FULL JOIN s USING (time)",
+    f"{d.TEXT_CTES}, cal AS ({_CAL}), s AS ({_cooc_sql(ONE_TERM)}) SELECT time, coalesce(n, 0) AS n FROM cal FULL JOIN s USING (time)",
 )
 def jon4(t: Tables):
     rows = td.term_sketches(_sketches(t), ONE_TERM, "en", LO, HI)
     rows = rows.select("time", F.theta_sketch_estimate("hostpath_surt").alias("n"))
-    return td.calendar(t.spark, LO, HI).join(rows, "time", "full").select("time", "n")
+    return td.calendar(t.spark, LO, HI).join(rows, "time", "full").select("time", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("tsr5_cooccurrence_trend", _trend_sql(TERMS))

@@ -167,6 +167,49 @@ class Tables:
             "crawl", "line_no", F.concat_ws(" ", "key", "time", entry).alias("value")
         )
 
+    def blocks(self) -> DataFrame:
+        """A sparse block index: one block per crawl and host, at its first key."""
+        rows = self.crawl_index()
+        return rows.groupBy("crawl", uk.url_host_surt("url").alias("_h")).agg(
+            F.min("key").alias("surt"),
+            F.lit("cdx-00000.gz").alias("file"),
+            F.min("line_no").alias("offset"),
+            F.count(F.lit(1)).alias("length"),
+        ).drop("_h")
+
+    def members(self, damage: bool = False) -> DataFrame:
+        """Pages packed as archive records: (page_id, member).
+
+        The event decides what kind of record it is; ``damage`` cuts the
+        members of ``click`` events short.
+        """
+
+        def pack(frames):
+            import gzip
+
+            for pdf in frames:
+                out = []
+                for r in pdf.itertuples(index=False):
+                    kind = "request" if r.event_type == "signup" else "response"
+                    status = "404 Not Found" if r.event_type == "error" else "200 OK"
+                    head = f"HTTP/1.1 {status}\r\n"
+                    if r.event_type != "view":
+                        mime = "image/png" if r.event_type == "purchase" else "text/html; charset=UTF-8"
+                        head += f"Content-Type: {mime}\r\n"
+                    body = (head + "\r\n").encode() + r.html.encode()
+                    meta = (
+                        f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {r.url}\r\n"
+                        f"WARC-Date: {r.time}\r\nContent-Length: {len(body)}\r\n\r\n"
+                    )
+                    data = gzip.compress(meta.encode() + body + b"\r\n\r\n", 1, mtime=0)
+                    out.append(data[: len(data) // 2] if damage and r.event_type == "click" else data)
+                yield pdf[["page_id"]].assign(member=out)
+
+        rows = self.fetched_pages().select(
+            "page_id", "url", "html", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time")
+        )
+        return rows.mapInPandas(pack, "page_id long, member binary")
+
     def rank_list(self) -> DataFrame:
         """Hosts with a rank: how many pages they have."""
         return self.read("pages").groupBy(uk.url_host("url").alias("host")).agg(

@@ -50,6 +50,28 @@ def read_crawl_index(
     return parse_index_lines(lines)
 
 
+def read_index_table(
+    spark: SparkSession, path: str, site: str | None = None, crawl: str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Index lines stored as ``site=…/crawl=…`` folders; only the asked ones are read."""
+    lines = spark.read.text(path).select("value", "site", "crawl")
+    if site:
+        lines = lines.filter(F.col("site") == site)
+    if crawl:
+        lines = lines.filter(F.col("crawl") == crawl)
+    lines = lines.withColumn("line_no", F.monotonically_increasing_id())
+    if partitions:
+        lines = lines.repartition(partitions)
+    return parse_index_lines(lines)
+
+
+def write_index_table(lines: DataFrame, path: str) -> None:
+    """Index lines (site, crawl, value) as gzip text by site and crawl."""
+    lines.select("site", "crawl", "value").write.partitionBy("site", "crawl").option("compression", "gzip").mode(
+        "errorifexists"
+    ).text(path)
+
+
 def usable() -> Column:
     """HTML pages fetched with status 200; a missing field rejects the row."""
     return F.col("mime").eqNullSafe("text/html") & F.col("status").eqNullSafe("200")
