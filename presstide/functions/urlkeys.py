@@ -2,7 +2,9 @@
 
 Every function takes a Column (or column name) and returns a Column; null in
 gives null out. All are string built-ins, so they stay inside generated code
-and can be pushed below joins and aggregates. Malformed URLs are accepted on
+and can be pushed below joins and aggregates. Each mentions its input as few
+times as it can: an input that is itself an expression is inlined at every
+mention, and generated code is limited in size. Malformed URLs are accepted on
 purpose: nothing here raises.
 """
 
@@ -19,9 +21,7 @@ def as_col(c: Column | str) -> Column:
 
 def url_remove_scheme(url: Column | str) -> Column:
     """Everything after the first ``//``, wherever it is; else the input."""
-    u = as_col(url)
-    at = F.instr(u, "//")
-    return F.when(at > 0, F.substring(u, at + 2, F.length(u))).otherwise(u)
+    return F.regexp_replace(as_col(url), r"(?s)^.*?//", "")
 
 
 def url_host(url: Column | str) -> Column:
@@ -29,26 +29,22 @@ def url_host(url: Column | str) -> Column:
 
     A ``#`` directly after the host stays in it.
     """
-    host = url_remove_scheme(url)
-    for stop in ("/", "?", ":"):
-        host = F.substring_index(host, stop, 1)
-    return host
+    return F.regexp_extract(url_remove_scheme(url), r"^[^/?:]*", 0)
 
 
 def url_path(url: Column | str) -> Column:
-    """From the first ``/`` that follows a host character to ``;``, ``#`` or ``?``."""
-    u = as_col(url)
-    path = F.regexp_substr(url_remove_scheme(u), F.lit(r"(?<=[^/?])/[^;#?]*"))
-    return F.when(u.isNotNull(), F.coalesce(path, F.lit("/")))
+    """From the first ``/`` that follows a host character to ``;``, ``#`` or ``?``.
+
+    The appended ``?x/`` supplies the ``/`` an address without a path has; it
+    is out of reach for any path of the address itself.
+    """
+    probe = F.concat(url_remove_scheme(url), F.lit("?x/"))
+    return F.regexp_extract(probe, r"(?<=[^/?])/[^;#?]*", 0)
 
 
 def url_query(url: Column | str) -> Column:
     """Between the first ``?`` and the next ``?`` or ``#``; empty if none."""
-    u = as_col(url)
-    at = F.instr(u, "?")
-    rest = F.substring(u, at + 1, F.length(u))
-    rest = F.substring_index(F.substring_index(rest, "?", 1), "#", 1)
-    return F.when(at > 0, rest).when(u.isNotNull(), F.lit(""))
+    return F.regexp_extract(as_col(url), r"\?([^?#]*)", 1)
 
 
 def host_simplify(host: Column | str) -> Column:
@@ -72,8 +68,8 @@ def host_unsurt(surt: Column | str) -> Column:
 def unsurt(surt: Column | str) -> Column:
     """Any key back to a URL without scheme; text after a second ``)`` is lost."""
     s = as_col(surt)
-    host = F.concat(F.split_part(s, F.lit(")"), F.lit(1)), F.lit(")"))
-    return F.concat(host_unsurt(host), F.split_part(s, F.lit(")"), F.lit(2)))
+    labels = F.split(F.split_part(s, F.lit(")"), F.lit(1)), ",")
+    return F.concat(F.array_join(F.reverse(labels), "."), F.split_part(s, F.lit(")"), F.lit(2)))
 
 
 def path_simplify(path: Column | str) -> Column:
@@ -106,12 +102,12 @@ def url_hostpath_surt(url: Column | str) -> Column:
 
 def url_hostpathquery_surt(url: Column | str) -> Column:
     u = F.lower(as_col(url))
-    query = query_simplify(url_query(u))
+    query = F.concat(F.lit("?"), query_simplify(url_query(u)))
     return key_truncate(
         F.concat(
             host_surt(host_simplify(url_host(u))),
             path_simplify(url_path(u)),
-            F.when(F.length(query) > 0, F.concat(F.lit("?"), query)).otherwise(""),
+            F.regexp_replace(query, r"^\?\z", ""),
         )
     )
 

@@ -167,11 +167,12 @@ _KIND = "CASE event_type WHEN 'signup' THEN 'request' ELSE 'response' END"
 _TIME = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 
 
-@query("src08_members", f"SELECT url, {_KIND} AS rec_type, {_TIME} AS accessed_at, CAST(length(html) AS BIGINT) AS n FROM ({d.FETCHED}) WHERE event_type <> 'click' UNION ALL SELECT NULL, NULL, NULL, NULL FROM ({d.FETCHED}) WHERE event_type = 'click'")
+@query("src08_members", f"SELECT url, {_KIND} AS rec_type, {_TIME} AS accessed_at, CAST(length(html) AS BIGINT) AS n FROM ({d.FETCHED}) WHERE event_type <> 'click' UNION ALL SELECT NULL, NULL, NULL, -1 FROM ({d.FETCHED}) WHERE event_type = 'click'")
 def src08(t: Tables):
     """Single packed members; damaged ones stay as error rows."""
     rows = rc.decode_members(t.members(damage=True), "page_id", "member")
-    return rows.select("url", "rec_type", "accessed_at", F.length("html").cast("bigint").alias("n"))
+    n = F.coalesce(F.length("html"), F.lit(-1)).cast("bigint")
+    return rows.select("url", "rec_type", "accessed_at", n.alias("n"))
 
 
 @query("src08_bad_records", f"SELECT CAST(page_id AS VARCHAR) AS source, 'bad gzip member: truncated' AS error FROM ({d.FETCHED}) WHERE event_type = 'click'")
@@ -523,7 +524,7 @@ def str3(t: Tables):
 
 @query(
     "str3_tumbling_windows_stream",
-    "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    "SELECT * FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
 )
 def str3_stream(t: Tables):
     """Windows the watermark has closed, as an append stream writes them."""

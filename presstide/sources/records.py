@@ -43,7 +43,7 @@ def _create(path: str):
     else:
         filesystem, inner = fs.LocalFileSystem(), path.replace("file:", "", 1)
     filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    return filesystem.open_output_stream(inner)
+    return filesystem.open_output_stream(inner, compression=None)
 
 
 def _members(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
