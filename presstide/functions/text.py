@@ -101,28 +101,26 @@ def with_lemmas(
     )
     others = [c for c in df.columns if c not in (id_col, tokens_col)]
     whole = F.struct(*others, F.col(tokens_col).isNotNull().alias("_has"))
+    # The other columns sit in the exploded array, beside the first token only;
+    # as columns of their own they would be copied out with every token.
+    vector = F.coalesce(tokens_col, F.array().cast("array<struct<pos:int,lexeme:string>>"))
+    carried = F.explode(F.arrays_zip(vector.alias("t"), F.array(whole).alias("r"))).alias("_x")
     exploded = (
         df.repartition(id_col)
-        .select(id_col, whole.alias("_row"), F.col(lang_col).alias("_lang"), F.posexplode_outer(tokens_col).alias("_i", "_t"))
-        .select(
-            id_col,
-            F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_row")).alias("_row"),
-            "_lang",
-            F.col("_t.pos").alias("pos"),
-            F.col("_t.lexeme").alias("lexeme"),
-        )
+        .select(id_col, F.col(lang_col).alias("_lang"), carried)
+        .select(id_col, "_lang", F.col("_x.r").alias("_row"), F.col("_x.t.pos").alias("pos"), F.col("_x.t.lexeme").alias("lexeme"))
     )
     lemma = F.coalesce(
         F.col("_by_lang")[F.col("_lang")], F.col("_by_lang")[FALLBACK_LANGUAGE], F.col("lexeme")
     )
-    vector = F.array_sort(
+    rebuilt = F.array_sort(
         F.collect_list(F.when(F.col("lemma") != "", F.struct("pos", F.col("lemma").alias("lexeme"))))
     )
     return (
         exploded.join(forms, F.col("lexeme") == F.col("_form"), "left")
         .withColumn("lemma", lemma)
         .groupBy(id_col)
-        .agg(F.first("_row", ignorenulls=True).alias("_row"), vector.alias("_v"))
+        .agg(F.first("_row", ignorenulls=True).alias("_row"), rebuilt.alias("_v"))
         .select(
             id_col,
             *[F.col(f"_row.`{c}`").alias(c) for c in others],
@@ -131,6 +129,16 @@ def with_lemmas(
     )
 
 
+def explode_tokens(df: DataFrame, tokens_col: str, *keep: str | Column) -> DataFrame:
+    """One row per token: ``keep`` columns, pos, lexeme.
+
+    The outer form is used and its empty rows dropped after: for the inner one
+    the optimizer adds a filter on the vector's size, and pushing that down
+    works the whole vector out again.
+    """
+    return df.select(*keep, F.inline_outer(tokens_col).alias("pos", "lexeme")).filter("lexeme IS NOT NULL")
+
+
 def lexemes(tokens: Column | str) -> Column:
     """Distinct lexemes of a vector."""
     return F.array_distinct(F.transform(as_col(tokens), lambda x: x["lexeme"]))
@@ -159,18 +167,8 @@ def ngrams(tokens: Column | str, max_n: int = 3, min_n: int = 1, unique: bool =
     """
     t = as_col(tokens)
     none = F.lit(None).cast("struct<pos:int,lexeme:string>")
-    beside = F.transform(t, lambda x: F.struct(x.alias("t0")))
-
-    def widen(rows, back):
-        moved = F.concat(F.array_repeat(none, back), t)
-        return F.zip_with(
-            rows,
-            moved,
-            lambda row, x: F.struct(*[row[f"t{k}"].alias(f"t{k}") for k in range(back)], x.alias(f"t{back}")),
-        )
-
-    for back in range(1, max_n):
-        beside = widen(beside, back)
+    moved = [F.concat(F.array_repeat(none, back), t) for back in range(1, max_n)]
+    beside = F.arrays_zip(*[c.alias(f"t{k}") for k, c in enumerate([t, *moved])])
 
     def ending_here(row):
         grams = []

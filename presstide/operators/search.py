@@ -1,17 +1,22 @@
 """Inverted index over token vectors: boolean and phrase match, ranking, hits.
 
-The index is a plain table of postings. Stored sorted by term it is read only
-where the query's terms are; every match step is an aggregate over the few
-terms' postings, so nothing is compared document by document.
+The index is a plain table of positions, one row per token. Building it is a
+projection, without a shuffle; stored sorted by term it is read only where the
+query's terms are. Every match step is an aggregate over the few terms' rows,
+so nothing is compared document by document and no document's or term's rows
+are gathered into one value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as sc
+from ..functions import text as tx
 from ..functions import urlkeys as uk
 
 BM25_K1 = 1.2
@@ -20,36 +25,36 @@ ORDERINGS = ("none", "time_desc", "time_asc", "rank")
 
 
 def build_index(articles: DataFrame, id_col: str = "id", tokens_col: str = "tsv_content") -> DataFrame:
-    """Postings (term, doc, positions, tf, doc_len)."""
-    tokens = articles.select(
-        F.col(id_col).alias("doc"),
-        F.size(tokens_col).alias("doc_len"),
-        F.inline(tokens_col).alias("pos", "term"),
-    )
-    return (
-        tokens.groupBy("term", "doc")
-        .agg(
-            F.array_sort(F.collect_list("pos")).alias("positions"),
-            F.count(F.lit(1)).alias("tf"),
-            F.first("doc_len").alias("doc_len"),
-        )
+    """Positions (term, doc, pos, doc_len)."""
+    vectors = articles.select(F.col(id_col).alias("doc"), tokens_col, F.size(tokens_col).alias("doc_len"))
+    return tx.explode_tokens(vectors, tokens_col, "doc", "doc_len").select(
+        F.col("lexeme").alias("term"), "doc", "pos", "doc_len"
     )
 
 
-def write_index(index: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Store postings sorted by term; file statistics then serve as the lookup.
+def term_counts(index: DataFrame) -> DataFrame:
+    """Postings (term, doc, tf, doc_len) without the positions."""
+    return index.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+
+
+def write_index(index: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    """Store the index sorted by term; file statistics then serve as the lookup.
 
     Range partitioning on (term, doc) lets one frequent term span many files.
     """
     by = (F.col("term"), F.col("doc"))
     spread = index.repartitionByRange(partitions, *by) if partitions else index.repartitionByRange(*by)
-    spread.sortWithinPartitions(*by).write.mode("errorifexists").parquet(path)
+    spread.sortWithinPartitions(*by, "pos").write.mode("errorifexists").parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
 
 
 def docs_with_all(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     terms = list(dict.fromkeys(terms))
-    hits = index.filter(F.col("term").isin(terms)).groupBy("doc").agg(F.count(F.lit(1)).alias("_n"))
-    return hits.filter(F.col("_n") == len(terms)).select("doc")
+    hits = index.filter(F.col("term").isin(terms)).groupBy("doc")
+    # A flag per term, not a distinct count: it aggregates before the shuffle.
+    return hits.agg(
+        *[F.max(F.col("term") == t).alias(f"has{i}") for i, t in enumerate(terms)]
+    ).filter(reduce(and_, [F.col(f"has{i}") for i in range(len(terms))])).select("doc")
 
 
 def docs_with_any(index: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -59,19 +64,24 @@ def docs_with_any(index: DataFrame, terms: Sequence[str]) -> DataFrame:
 def docs_with_phrase(index: DataFrame, phrase: Sequence[str]) -> DataFrame:
     """Documents where the words follow each other directly.
 
-    Each position votes for the start it implies; a start with a vote from
-    every word is an occurrence. A word may repeat within the phrase.
+    Each position votes for the start it implies, under every place its word
+    has in the phrase; a start with a vote for every place is an occurrence.
     """
-    offsets = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("o")) for i, w in enumerate(phrase)])
+    places = {}
+    for i, word in enumerate(phrase):
+        places.setdefault(word, []).append(F.lit(i))
+    offsets = None
+    for word, at in places.items():
+        offsets = F.when(F.col("term") == word, F.array(*at)) if offsets is None else offsets.when(
+            F.col("term") == word, F.array(*at)
+        )
     votes = (
-        index.filter(F.col("term").isin(list(set(phrase))))
-        .select("doc", "term", F.explode("positions").alias("pos"))
-        .select("doc", "term", "pos", F.inline(offsets).alias("w", "o"))
-        .filter(F.col("w") == F.col("term"))
-        .groupBy("doc", (F.col("pos") - F.col("o")).alias("start"))
-        .agg(F.count_distinct("o").alias("_n"))
+        index.filter(F.col("term").isin(list(places)))
+        .select("doc", "pos", F.explode(offsets).alias("place"))
+        .groupBy("doc", (F.col("pos") - F.col("place")).alias("start"))
+        .agg(F.bit_or(F.pow(F.lit(2), F.col("place")).cast("bigint")).alias("_places"))
     )
-    return votes.filter(F.col("_n") == len(phrase)).select("doc").distinct()
+    return votes.filter(F.col("_places") == 2 ** len(phrase) - 1).select("doc").distinct()
 
 
 def match(
@@ -104,13 +114,13 @@ def bm25(index: DataFrame, corpus: DataFrame, terms: Sequence[str]) -> DataFrame
     length, and each term's document frequency, enter as scalars.
     """
     terms = list(dict.fromkeys(terms))
-    hits = index.filter(F.col("term").isin(terms))
-    df_row = hits.agg(*[F.count_if(F.col("term") == t).cast("double").alias(f"df{i}") for i, t in enumerate(terms)])
+    hits = term_counts(index.filter(F.col("term").isin(terms)))
+    found = hits.agg(*[F.count_if(F.col("term") == t).cast("double").alias(f"df{i}") for i, t in enumerate(terms)])
     size = corpus.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("doc_len").alias("mean"))
     n, mean = size.select("n").scalar(), size.select("mean").scalar()
     df = None
     for i, t in enumerate(terms):
-        one = df_row.select(f"df{i}").scalar()
+        one = found.select(f"df{i}").scalar()
         df = F.when(F.col("term") == t, one) if df is None else df.when(F.col("term") == t, one)
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     tf = F.col("tf").cast("double")
@@ -154,7 +164,8 @@ def search(
 ) -> DataFrame:
     """The first ``k`` hits in one of four orders, ties broken by key.
 
-    ``rank`` is a distance, 1/score: the best hit has the smallest.
+    ``articles`` are the article view with ``doc_len``, ``index`` its index;
+    both are read several times and so should be stored tables. ``rank`` is a distance, 1/score: the best hit has the smallest.
     """
     if orderby not in ORDERINGS:
         raise ValueError(f"orderby must be one of {ORDERINGS}")
@@ -166,8 +177,7 @@ def search(
         hits = hits.join(docs.withColumnRenamed("doc", "id"), "id", "left_semi")
     words = list(dict.fromkeys([*all_of, *[w for p in phrases for w in p]]))
     if words:
-        corpus = articles.select(F.size("tsv_content").alias("doc_len"))
-        scored = bm25(index, corpus, words).withColumnRenamed("doc", "id")
+        scored = bm25(index, articles.select("doc_len"), words).withColumnRenamed("doc", "id")
         hits = hits.join(scored, "id", "left").withColumn("rank", 1 / F.col("score"))
     else:
         hits = hits.withColumn("rank", F.lit(None).cast("double"))

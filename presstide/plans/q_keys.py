@@ -279,7 +279,7 @@ def prj4(t: Tables):
       FROM ({d.CAPTURES})) WHERE event_type <> 'error' AND language IS NOT NULL AND title <> ''""",
 )
 def prj5(t: Tables):
-    arts = cp.to_articles(t.captures(), stops={})
+    arts = cp.to_articles(t.stored_captures(), stops={})
     return arts.select(
         "id", "url", "hostpath_surt", "language", "timestamp_published", "title", "description",
         F.size("tsv_title").cast("bigint").alias("title_words"),
@@ -291,7 +291,7 @@ def prj5(t: Tables):
     f"SELECT CASE WHEN language IS NULL THEN 'language' ELSE 'article' END AS reason, count(*) AS n FROM ({d.CAPTURES}) GROUP BY 1",
 )
 def flt06(t: Tables):
-    rows = cp.article_candidates(t.captures(), stops={})
+    rows = cp.article_candidates(t.stored_captures(), stops={})
     return rows.groupBy(F.coalesce("reject", F.lit("article")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -312,7 +312,7 @@ def flt05(t: Tables):
       CAST(NULL AS VARCHAR) AS error FROM pages""",
 )
 def ext1(t: Tables):
-    p = ex.extract_pages(t.read("pages"))
+    p = ex.extract_pages(t.read_spread("pages"))
     return p.select(
         "page_id", "language", "title",
         F.size("links").cast("bigint").alias("n_links"),

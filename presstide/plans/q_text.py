@@ -11,6 +11,7 @@ from ..operators import rollups as ru
 from ..operators import search as se
 from ..operators import textrollups as tr
 from ..operators import trends as td
+from ..session import persist_table, scratch_dir
 from . import duck as d
 from .registry import query
 from .testbed import Tables
@@ -28,9 +29,8 @@ ONE_TERM = ["ha"]
 )
 def txt01(t: Tables):
     rows = tx.with_tokens(t.read_spread("documents"), "text", "lang")
-    return rows.select(F.col("doc_id").alias("id"), F.inline("tokens").alias("pos", "lexeme")).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    rows = tx.explode_tokens(rows, "tokens", F.col("doc_id").alias("id"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # A lemma table out of the data: a plural-like form stands for its stem.
@@ -431,6 +431,12 @@ def mono(t: Tables):
 
 # Search ----------------------------------------------------------------------
 
+def _stored(t: Tables):
+    """Articles with their vectors as a table, and the index stored by term."""
+    arts = persist_table(t.tokenised().withColumn("doc_len", F.size("tsv_content")), "articles")
+    return arts, se.write_index(se.build_index(arts), scratch_dir(t.spark, "index"))
+
+
 _TC = f"WITH arts AS MATERIALIZED ({d.ARTICLES}), tc AS MATERIALIZED ({d.tokens('SELECT * FROM arts', 'content')})"
 _SCORED = """, len AS (SELECT a.id, count(c.pos) AS dl FROM arts a LEFT JOIN tc c ON c.id = a.id GROUP BY a.id),
   st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM len),
@@ -443,7 +449,7 @@ _SCORED = """, len AS (SELECT a.id, count(c.pos) AS dl FROM arts a LEFT JOIN tc
 @query("txt11_index", f"{_TC} SELECT lexeme AS term, id AS doc, count(*) AS tf, min(pos) AS first FROM tc GROUP BY ALL")
 def txt11_index(t: Tables):
     index = se.build_index(t.tokenised())
-    return index.select("term", "doc", "tf", F.get("positions", F.lit(0)).cast("bigint").alias("first"))
+    return index.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").cast("bigint").alias("first"))
 
 
 @query(
@@ -453,7 +459,7 @@ def txt11_index(t: Tables):
 )
 def txt11(t: Tables):
     """(er & ha) & (es | ti) & !wh"""
-    index = se.build_index(t.tokenised())
+    _, index = _stored(t)
     return se.match(index, all_of=["er", "ha"], any_of=["es", "ti"], none_of=["wh"])
 
 
@@ -483,9 +489,8 @@ def txt12(t: Tables):
 
 @query("txt13_relevance", f"{_TC}{_SCORED % repr('er') + ''} SELECT id AS doc, round(1 / score, 6) AS distance FROM sc")
 def txt13(t: Tables):
-    arts = t.tokenised()
-    corpus = arts.select(F.size("tsv_content").alias("doc_len"))
-    scored = se.bm25(se.build_index(arts), corpus, ["er"])
+    arts, index = _stored(t)
+    scored = se.bm25(index, arts.select("doc_len"), ["er"])
     return scored.select("doc", F.round(1 / F.col("score"), 6).alias("distance"))
 
 
@@ -524,8 +529,8 @@ for _name, _order in {
     def _search_query(name=_name, order=_order):
         @query(f"top2_search_{name}", _search_sql(order))
         def run(t: Tables):
-            arts = t.tokenised()
-            return _hits(se.search(arts, se.build_index(arts), all_of=["er", "ha"], lo="1995-01-01", hi="2000-01-01", orderby=name))
+            arts, index = _stored(t)
+            return _hits(se.search(arts, index, all_of=["er", "ha"], lo="1995-01-01", hi="2000-01-01", orderby=name))
 
     _search_query()
 
@@ -555,8 +560,8 @@ def flt11(t: Tables):
     f"SELECT id, {_HIT.split(', ', 1)[1]} FROM ({d.ARTICLES}) WHERE host_surt = 'org,example,src3)' AND timestamp_published >= '1980-01-01' AND timestamp_published < '2022-01-01' ORDER BY timestamp_published DESC, id LIMIT 10",
 )
 def flt13(t: Tables):
-    arts = t.tokenised()
-    hits = se.search(arts, se.build_index(arts), sites=["src3.example.org"], orderby="time_desc")
+    arts, index = _stored(t)
+    hits = se.search(arts, index, sites=["src3.example.org"], orderby="time_desc")
     return _hits(hits).drop("rank")
 
 

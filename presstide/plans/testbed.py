@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..functions import urlkeys as uk
 from ..operators import extract as ex
+from ..session import persist_table
 
 
 class Tables:
@@ -39,7 +40,7 @@ class Tables:
         events = self.events().select("event_id", "ts", "user_id", "event_type")
         orders = self.read("orders").select("o_orderkey", "o_orderdate")
         return (
-            self.read("pages")
+            self.read_spread("pages")
             .join(events, F.col("page_id") == F.col("event_id"))
             .join(orders, F.col("page_id") == F.col("o_orderkey"))
             .withColumn("published", F.col("o_orderdate").cast("timestamp"))
@@ -101,6 +102,10 @@ class Tables:
             doc.alias("doc"),
         )
 
+    def stored_captures(self) -> DataFrame:
+        """Captures as a table, for jobs that read several parts of a document."""
+        return persist_table(self.captures(), "captures")
+
     def articles(self) -> DataFrame:
         """Article view over documents, before deduplication."""
         orders = self.read("orders").select("o_orderkey", "o_orderdate")
