@@ -96,8 +96,10 @@ def txt05(t: Tables):
 
 @query("txt06_ngrams", d.TEXT_CTES + " SELECT id, count(*) AS n, sum(length(term))::BIGINT AS chars FROM grams GROUP BY id")
 def txt06(t: Tables):
-    rows = t.alltext().select("id", F.explode(tx.ngrams("tokens")).alias("term"))
-    return rows.groupBy("id").agg(F.count("term").alias("n"), F.sum(F.length("term")).alias("chars"))
+    """N-grams per document, counted inside the row."""
+    rows = t.alltext().select("id", tx.ngrams("tokens").alias("grams"))
+    chars = F.aggregate("grams", F.lit(0).cast("bigint"), lambda total, g: total + F.length(g))
+    return rows.select("id", F.size("grams").cast("bigint").alias("n"), chars.alias("chars")).filter("n > 0")
 
 
 @query(

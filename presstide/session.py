@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Folders made for local sessions that name none, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build(cpus: str | int = "*", partitions: int | None = None) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -36,9 +39,10 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="presstide-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="presstide-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
