@@ -41,6 +41,11 @@ class RollupSpec:
     kind: str = "theta"
     lg_k: int = field(default=sk.LG_K)
 
+    def __post_init__(self):
+        twice = set(self.keys) & set(self.measures)
+        if twice:
+            raise ValueError(f"both key and measure: {sorted(twice)}")
+
 
 def _projected(df: DataFrame, spec: RollupSpec) -> DataFrame:
     if spec.where is not None:

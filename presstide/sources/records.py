@@ -61,7 +61,9 @@ def _members(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
         if unpack is None:
             at = buffer.find(b"\x1f\x8b\x08")
             if at < 0:
-                base, buffer = base + len(buffer) - 2, buffer[-2:]
+                # The next header may begin in the last two bytes.
+                keep = buffer[-2:]
+                base, buffer = base + len(buffer) - len(keep), keep
                 more = stream.read(CHUNK)
                 if not more:
                     break
@@ -112,11 +114,10 @@ def parse_record(data: bytes) -> dict[str, str | None]:
     else:
         line, _, rest = data.lstrip(b"\r\n").partition(b"\n")
         f = line.decode("utf-8", "replace").split(" ")
-        if len(f) < 5:
+        if len(f) < 5 or len(f[2]) != 14 or not f[2].isdigit():
             raise ValueError("not a record")
         url, when = f[0], f[2]
-        if len(when) == 14 and when.isdigit():
-            when = f"{when[:4]}-{when[4:6]}-{when[6:8]}T{when[8:10]}:{when[10:12]}:{when[12:]}Z"
+        when = f"{when[:4]}-{when[4:6]}-{when[6:8]}T{when[8:10]}:{when[10:12]}:{when[12:]}Z"
         payload = rest[: int(f[4])] if f[4].isdigit() else rest
         rec_type = "warcinfo" if url.startswith("filedesc:") else "response"
     record = dict.fromkeys(("statusline", "content_type", "html"))
