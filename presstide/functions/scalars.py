@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import persist_table
 from .urlkeys import as_col
 
 # The characters trimmed off a declared language, and those that
@@ -62,6 +63,7 @@ def lookup_language(df: DataFrame, language_col: str, iso639: DataFrame) -> Data
         "part3",
     ).select(F.col("n.kind").alias("_kind"), F.col("n.key").alias("_key"), F.col("part3").alias("_part3"))
     names = names.filter(F.col("_key").isNotNull()).dropDuplicates(["_kind", "_key"])
+    names = persist_table(names, "languages")
     out = df.withColumns({"_k": kind, "_v": key}).join(
         names, (F.col("_k") == F.col("_kind")) & (F.col("_v") == F.col("_key")), "left"
     )
@@ -99,7 +101,9 @@ def seconds_from(ts: Column | str, origin: str = "1000-01-01") -> Column:
 
 
 def time_in(ts: Column | str, lo, hi, closed: bool = False) -> Column:
-    """``lo <= ts < hi``; with ``closed`` the upper end is included."""
+    """``lo <= ts < hi``; with ``closed`` the upper end is included.
+
+    The ends take the column's own type, so the range reaches the file scan.
+    """
     t = as_col(ts)
-    lo, hi = F.lit(lo).cast("timestamp"), F.lit(hi).cast("timestamp")
-    return (t >= lo) & ((t <= hi) if closed else (t < hi))
+    return (t >= F.lit(lo)) & ((t <= F.lit(hi)) if closed else (t < F.lit(hi)))

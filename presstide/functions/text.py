@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import persist_table
 from .urlkeys import as_col
 
 FALLBACK_LANGUAGE = "xx"
@@ -99,6 +100,7 @@ def with_lemmas(
         .groupBy(F.col("form").alias("_form"))
         .agg(F.map_from_entries(F.collect_list(F.struct("lang", "lemma"))).alias("_by_lang"))
     )
+    forms = persist_table(forms, "forms")
     others = [c for c in df.columns if c not in (id_col, tokens_col)]
     whole = F.struct(*others, F.col(tokens_col).isNotNull().alias("_has"))
     # The other columns sit in the exploded array, beside the first token only;

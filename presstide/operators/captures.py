@@ -192,11 +192,12 @@ def first_wins(articles: DataFrame, order_col: str, host_col: str = "host", titl
 def insert_absent(new: DataFrame, existing: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
     """Rows of ``new`` that collide with no existing row on any of the keys.
 
-    A key with a null part never collides.
+    A key with a null part never collides. ``existing`` has each key once, as
+    these very inserts see to, so its keys go into the join as they are.
     """
     out = new
     for key in keys:
-        out = out.join(existing.select(*key).dropna().distinct(), list(key), "left_anti")
+        out = out.join(existing.select(*key).dropna(), list(key), "left_anti")
     return out.select(*new.columns)
 
 

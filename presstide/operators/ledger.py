@@ -56,9 +56,13 @@ def pending(discovered: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def write_archive(records: DataFrame, path: str, force: bool = False) -> None:
-    """Records by site and crawl; refuses to replace unless ``force``."""
+    """Records by site and crawl; refuses to replace unless ``force``.
+
+    Rebalancing brings a site's rows together, so each folder gets few files,
+    and cuts a site too large for one task into several.
+    """
     mode = "overwrite" if force else "errorifexists"
-    records.write.partitionBy("surt", "crawl").mode(mode).parquet(path)
+    records.hint("rebalance", "surt", "crawl").write.partitionBy("surt", "crawl").mode(mode).parquet(path)
 
 
 def store_rollup(df: DataFrame, spec: ru.RollupSpec, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urlkeys as uk
+from ..session import persist_table
 from .captures import best
 from .rollups import RollupSpec, url_measures
 
@@ -64,15 +65,17 @@ def backlinks(link_rows: DataFrame, dest_host: str) -> DataFrame:
 
 
 def best_rank(ranks: DataFrame) -> DataFrame:
-    """One rank per host key, the best where lists name a host twice."""
-    return ranks.groupBy(uk.url_host_surt("host").alias("src")).agg(F.min("rank").alias("rank"))
+    """One rank per host key, the best where lists name a host twice, stored."""
+    best = ranks.groupBy(uk.url_host_surt("host").alias("src")).agg(F.min("rank").alias("rank"))
+    return persist_table(best, "ranks")
 
 
 def weighted_inlinks(edge_rollup: DataFrame, ranks: DataFrame, default_rank: int = DEFAULT_RANK) -> DataFrame:
     """Sums of 1/rank-weighted sources per destination host.
 
-    The rank list is unique per host, so the edge table keeps its size; Spark
-    broadcasts it when its measured size allows.
+    The rank list is unique per host, so the edge table keeps its size. Spark
+    broadcasts it when its measured size allows; else a host that links a
+    third of all edges has its rows split.
     """
     joined = edge_rollup.join(best_rank(ranks), "src", "left")
     weight = F.coalesce("rank", F.lit(default_rank)).cast("double")

@@ -23,8 +23,8 @@ def duplicate_keys(df: DataFrame, rule: str, *keys: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows whose key the parent lacks."""
-    return child.filter(F.col(key).isNotNull()).join(parent.select(key).distinct(), key, "left_anti")
+    """Child rows whose key the parent, which has it once, lacks."""
+    return child.filter(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")
 
 
 def changed_keys(before: DataFrame, after: DataFrame, key: str, guarded: list[str]) -> DataFrame:

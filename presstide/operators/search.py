@@ -107,22 +107,27 @@ def match(
     return docs
 
 
-def bm25(index: DataFrame, corpus: DataFrame, terms: Sequence[str]) -> DataFrame:
+def corpus_stats(articles: DataFrame) -> DataFrame:
+    """One row: number of documents and their mean length. Store it with the index."""
+    return articles.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("doc_len").alias("mean"))
+
+
+def bm25(index: DataFrame, stats: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(doc, score) for documents with any of the terms.
 
-    ``corpus`` has one row per document with ``doc_len``; its size and mean
-    length, and each term's document frequency, enter as scalars.
+    The corpus figures of :func:`corpus_stats` and each term's document
+    frequency enter as scalars, so scoring reads the terms' rows only.
     """
     terms = list(dict.fromkeys(terms))
     hits = term_counts(index.filter(F.col("term").isin(terms)))
     found = hits.agg(*[F.count_if(F.col("term") == t).cast("double").alias(f"df{i}") for i, t in enumerate(terms)])
-    size = corpus.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("doc_len").alias("mean"))
-    n, mean = size.select("n").scalar(), size.select("mean").scalar()
+    n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
     df = None
     for i, t in enumerate(terms):
         one = found.select(f"df{i}").scalar()
         df = F.when(F.col("term") == t, one) if df is None else df.when(F.col("term") == t, one)
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    # ln(1 + (n - df + 0.5) / (df + 0.5)), rearranged to name df once.
+    idf = F.log((n + 1) / (df + 0.5))
     tf = F.col("tf").cast("double")
     part = idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / mean))
     return hits.groupBy("doc").agg(F.sum(part).alias("score"))
@@ -161,6 +166,7 @@ def search(
     orderby: str = "none",
     k: int = 10,
     offset: int = 0,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """The first ``k`` hits in one of four orders, ties broken by key.
 
@@ -177,7 +183,7 @@ def search(
         hits = hits.join(docs.withColumnRenamed("doc", "id"), "id", "left_semi")
     words = list(dict.fromkeys([*all_of, *[w for p in phrases for w in p]]))
     if words:
-        scored = bm25(index, articles.select("doc_len"), words).withColumnRenamed("doc", "id")
+        scored = bm25(index, corpus_stats(articles) if stats is None else stats, words).withColumnRenamed("doc", "id")
         hits = hits.join(scored, "id", "left").withColumn("rank", 1 / F.col("score"))
     else:
         hits = hits.withColumn("rank", F.lit(None).cast("double"))

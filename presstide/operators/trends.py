@@ -18,8 +18,8 @@ SERIES = ("estimate", "lower", "upper")
 def calendar(spark: SparkSession, lo: str, hi: str, unit: str = "month") -> DataFrame:
     """Times from ``lo`` to ``hi``, both included, one per unit.
 
-    Its length follows from the arguments, never from data, and is checked,
-    which is what allows the broadcasts below.
+    Its length follows from the arguments, never from data, and is checked;
+    a series filled onto it is as short, and only such series are broadcast.
     """
     days = (F.lit(hi).cast("date"), F.lit(lo).cast("date"))
     n = F.datediff(*days) if unit == "day" else F.months_between(*days)
@@ -31,7 +31,7 @@ def calendar(spark: SparkSession, lo: str, hi: str, unit: str = "month") -> Data
 
 def fill(series: DataFrame, cal: DataFrame, values: Sequence[str]) -> DataFrame:
     """Every calendar time once, absent values as 0."""
-    return F.broadcast(cal).join(series, "time", "left").select(
+    return cal.join(series, "time", "left").select(
         "time", *[F.coalesce(v, F.lit(0)).alias(v) for v in values]
     )
 
@@ -113,7 +113,7 @@ def ratio_series(
         F.coalesce(F.col(f"`{t}`").cast("double") / F.col("_total"), F.lit(0.0)).alias(f"y{i}")
         for i, t in enumerate(terms)
     ]
-    joined = F.broadcast(cal).join(total, "time", "left").join(wide, "time", "left")
+    joined = cal.join(total, "time", "left").join(wide, "time", "left")
     return joined.select(sc.epoch("time").alias("x"), *ratios).orderBy("x")
 
 

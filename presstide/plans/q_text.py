@@ -94,41 +94,44 @@ def txt05(t: Tables):
     return rows.select("doc_id", F.when(F.col("tokens").isNull(), -1).otherwise(F.size("tokens")).cast("bigint").alias("n"))
 
 
-@query("txt06_ngrams", d.TEXT_CTES + " SELECT id, count(*) AS n, sum(length(term))::BIGINT AS chars FROM grams GROUP BY id")
+@query(
+    "txt06_ngrams",
+    d.TEXT_CTES + " SELECT a.id, count(term) AS n, coalesce(sum(length(term)), 0)::BIGINT AS chars FROM arts a LEFT JOIN grams g ON g.id = a.id GROUP BY a.id",
+)
 def txt06(t: Tables):
     """N-grams per document, counted inside the row."""
     rows = t.alltext().select("id", tx.ngrams("tokens").alias("grams"))
     chars = F.aggregate("grams", F.lit(0).cast("bigint"), lambda total, g: total + F.length(g))
-    return rows.select("id", F.size("grams").cast("bigint").alias("n"), chars.alias("chars")).filter("n > 0")
+    return rows.select("id", F.size("grams").cast("bigint").alias("n"), chars.alias("chars"))
 
 
 @query(
     "txt07_ngrams_from_two",
-    d.TEXT_CTES + """ SELECT id, count(*) AS n FROM (
+    d.TEXT_CTES + """ SELECT x.id, count(g.id) AS n FROM arts x LEFT JOIN (
       SELECT a.id FROM tc a JOIN tc b ON a.id = b.id AND b.pos = a.pos + 1
       UNION ALL SELECT a.id FROM tc a JOIN tc b ON a.id = b.id AND b.pos = a.pos + 1
-        JOIN tc c ON a.id = c.id AND c.pos = a.pos + 2) GROUP BY id""",
+        JOIN tc c ON a.id = c.id AND c.pos = a.pos + 2) g ON g.id = x.id GROUP BY x.id""",
 )
 def txt07(t: Tables):
     """Bigrams and longer, repeats kept, from the text form of the vectors."""
     rows = t.tokenised().select("id", tx.vector_text("tsv_content").alias("lemmas"))
     rows = rows.withColumn("tokens", tx.parse_vector("lemmas"))
-    return rows.select("id", F.size(tx.ngrams("tokens", 3, 2, unique=False)).cast("bigint").alias("n")).filter("n > 0")
+    return rows.select("id", F.size(tx.ngrams("tokens", 3, 2, unique=False)).cast("bigint").alias("n"))
 
 
-@query("txt08_concat_vectors", d.TEXT_CTES + " SELECT id, max(pos) AS last, count(*) AS n FROM tok GROUP BY id")
+@query("txt08_concat_vectors", d.TEXT_CTES + " SELECT a.id, coalesce(max(pos), 0) AS last, count(pos) AS n FROM arts a LEFT JOIN tok t ON t.id = a.id GROUP BY a.id")
 def txt08(t: Tables):
-    rows = t.alltext().filter(F.size("tokens") > 0)
-    return rows.select(
+    last = F.array_max(F.transform("tokens", lambda x: x["pos"]))
+    return t.alltext().select(
         "id",
-        F.array_max(F.transform("tokens", lambda x: x["pos"])).cast("bigint").alias("last"),
+        F.coalesce(last, F.lit(0)).cast("bigint").alias("last"),
         F.size("tokens").cast("bigint").alias("n"),
     )
 
 
-@query("txt09_lexemes", d.TEXT_CTES + " SELECT id, count(DISTINCT lexeme) AS n FROM tok GROUP BY id")
+@query("txt09_lexemes", d.TEXT_CTES + " SELECT a.id, count(DISTINCT lexeme) AS n FROM arts a LEFT JOIN tok t ON t.id = a.id GROUP BY a.id")
 def txt09(t: Tables):
-    return t.alltext().select("id", F.size(tx.lexemes("tokens")).cast("bigint").alias("n")).filter("n > 0")
+    return t.alltext().select("id", F.size(tx.lexemes("tokens")).cast("bigint").alias("n"))
 
 
 @query("txt10_terms_per_document", d.TEXT_CTES + " SELECT term, count(*) AS docs FROM grams GROUP BY term")
@@ -300,8 +303,7 @@ def tsr4(t: Tables):
 
 @query("jon3_calendar_left_join", f"SELECT * FROM ({_FILL_SQL})")
 def jon3(t: Tables):
-    cal = F.broadcast(td.calendar(t.spark, LO, HI))
-    joined = cal.join(td.totals(_total(t), "en", LO, HI), "time", "left")
+    joined = td.calendar(t.spark, LO, HI).join(td.totals(_total(t), "en", LO, HI), "time", "left")
     return joined.select("time", F.coalesce("total", F.lit(0)).alias("total"))
 
 
@@ -492,7 +494,7 @@ def txt12(t: Tables):
 @query("txt13_relevance", f"{_TC}{_SCORED % repr('er') + ''} SELECT id AS doc, round(1 / score, 6) AS distance FROM sc")
 def txt13(t: Tables):
     arts, index = _stored(t)
-    scored = se.bm25(index, arts.select("doc_len"), ["er"])
+    scored = se.bm25(index, se.corpus_stats(arts), ["er"])
     return scored.select("doc", F.round(1 / F.col("score"), 6).alias("distance"))
 
 

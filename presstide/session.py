@@ -53,7 +53,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 def persist_table(df, label: str):
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
-    Unlike a cached plan, the files outlive any executor.
+    Unlike a cached plan, the files outlive any executor. Storing a per-key
+    aggregate before joining it back also matters for skew: adaptive execution
+    splits a hot key only where both join inputs are plain shuffles, and not
+    where one is an aggregate still sitting on its own shuffle.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)

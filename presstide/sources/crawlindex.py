@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.urlkeys import index_hostpath
+from ..session import persist_table
 
 ENTRY_SCHEMA = "url string, mime string, status string, digest string, filename string, offset string, length string"
 
@@ -92,12 +93,13 @@ def dedup_index(index: DataFrame, order_col: str = "line_no") -> DataFrame:
 def label_outcomes(index: DataFrame, order_col: str = "line_no") -> DataFrame:
     """Every index row with the outcome of filtering and deduplication.
 
-    The kept row per key is found by an aggregate and joined back, so no task
-    holds a whole group; adaptive execution splits a hot key's rows.
+    The kept row per key is found by an aggregate, stored and joined back, so
+    no task holds a whole group; adaptive execution splits a hot key's rows.
     """
     rows = index.withColumn("hostpath", index_hostpath("url"))
     first = F.struct(F.col("crawl"), (-F.col(order_col)).alias("o"))
     kept = rows.filter(usable()).groupBy("hostpath").agg(F.max(first).alias("_kept"))
+    kept = persist_table(kept, "kept-rows")
     joined = rows.join(kept, "hostpath", "left")
     outcome = (
         F.when(~F.col("mime").eqNullSafe("text/html"), "mime")

@@ -70,7 +70,7 @@ def test_phrases_against_brute_force(corpus, index, run):
 
 
 def test_bm25_by_hand(corpus, articles, index):
-    got = {r.doc: r.score for r in se.bm25(index, articles.select("doc_len"), ["rain", "fog"]).collect()}
+    got = {r.doc: r.score for r in se.bm25(index, se.corpus_stats(articles), ["rain", "fog"]).collect()}
     docs = {r[0]: r[4].split() for r in corpus}
     n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
     for i, words in docs.items():
