@@ -141,6 +141,12 @@ def latest_ties(df: DataFrame, key: str, ts: str) -> DataFrame:
     return df.join(newest, [key, ts], "left_semi")
 
 
+def page_view(captures: DataFrame, url: str | None = None, id: int | None = None) -> DataFrame:
+    """The newest capture of one page, asked for by address or by capture id."""
+    wanted = uk.url_hostpath_surt("url") == uk.url_hostpath_surt(F.lit(url)) if url else F.col("id") == id
+    return captures.filter(wanted).orderBy(F.col("accessed_at").desc_nulls_last(), F.col("id").desc()).limit(1)
+
+
 def first_wins(articles: DataFrame, order_col: str, host_col: str = "host", title_col: str = "title",
                key_col: str = "hostpath_surt", max_rounds: int = 1000) -> DataFrame:
     """Articles left by inserting in ``order_col`` order under two unique keys.

@@ -152,6 +152,18 @@ def udx1(t: Tables):
     )
 
 
+@query("udx2_sql_aggregates", f"SELECT host, count(DISTINCT url) AS url, true AS hll_ok FROM ({d.PAGES}) GROUP BY host")
+def udx2(t: Tables):
+    """Both sketch aggregates from SQL text."""
+    sqlfuncs.register(t.spark)
+    t.read("pages").createOrReplaceTempView("udx2_pages")
+    return t.spark.sql(
+        "SELECT host, url, abs(h - url) <= 1 + 0.05 * url AS hll_ok FROM (SELECT url_host(url) AS host, "
+        "theta_sketch_estimate(theta_sketch_agg(url, 12)) AS url, hll_sketch_estimate(hll_sketch_agg(url, 12)) AS h "
+        "FROM udx2_pages GROUP BY url_host(url))"
+    )
+
+
 @query(
     "udx3_table_functions",
     f"SELECT page_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1) AS l FROM pages)",

@@ -242,6 +242,12 @@ def win2(t: Tables):
     return cp.first_by(_visits(t), ["hostpath_surt"], ["ts", "event_id"], latest=True).select("hostpath_surt", "event_id")
 
 
+@query("win2_page_view", f"SELECT event_id AS id, url, ts AS accessed_at FROM ({_VISIT_KEYS}) WHERE hostpath_surt = 'com,example,ththre)/fr/825' ORDER BY ts DESC, event_id DESC LIMIT 1")
+def win2_page_view(t: Tables):
+    rows = t.visits().select(F.col("event_id").alias("id"), "url", F.col("ts").alias("accessed_at"))
+    return cp.page_view(rows, url="HTTP://www.ththre.example.com/fr/825/?page=7")
+
+
 @query("jon7_latest_with_ties", f"SELECT hostpath_surt, event_id FROM ({_VISIT_KEYS}) QUALIFY rank() OVER (PARTITION BY hostpath_surt ORDER BY date_trunc('day', ts) DESC) = 1")
 def jon7(t: Tables):
     """All captures of the last day a page was seen."""
