@@ -158,13 +158,14 @@ def first_wins(articles: DataFrame, order_col: str, host_col: str = "host", titl
     not depend on how rows are spread. ``order_col`` must be unique.
 
     Rows that agree on both keys are reduced to the first up front, which
-    takes exact copies out before any join. Each round goes to the shared
-    folder, so the plan stays short and a lost executor costs one round.
+    takes exact copies out before any join; only keys and order take part
+    until the end. Each round goes to the shared folder, so the plan stays
+    short and a lost executor costs one round.
     """
-    once = first_by(articles, [key_col, host_col, title_col], [order_col])
+    once = articles.groupBy(key_col, host_col, title_col).agg(F.min(order_col).alias("_o"))
     todo = persist_table(
         once.select(
-            F.col(order_col).alias("_o"),
+            "_o",
             F.col(key_col).alias("_a"),
             F.when(F.col(title_col).isNotNull(), F.struct(F.col(host_col), F.col(title_col))).alias("_b"),
         ),
@@ -192,7 +193,7 @@ def first_wins(articles: DataFrame, order_col: str, host_col: str = "host", titl
     kept = kept_parts[0]
     for part in kept_parts[1:]:
         kept = kept.unionByName(part)
-    return once.join(kept.select(F.col("_o").alias(order_col)), order_col, "left_semi")
+    return articles.join(kept.select(F.col("_o").alias(order_col)), order_col, "left_semi").select(*articles.columns)
 
 
 def insert_absent(new: DataFrame, existing: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:

@@ -165,8 +165,8 @@ def decode_members(df: DataFrame, source_col: str, member_col: str) -> DataFrame
 
     def run(frames):
         for pdf in frames:
-            for source, data in zip(pdf["source"], pdf["member"]):
-                yield from _frames(_rows(source, io.BytesIO(data)))
+            members = zip(pdf["source"], pdf["member"])
+            yield from _frames(row for source, data in members for row in _rows(source, io.BytesIO(data)))
 
     picked = df.select(F.col(source_col).cast("string").alias("source"), F.col(member_col).alias("member"))
     return picked.mapInPandas(run, RECORD_SCHEMA)

@@ -53,17 +53,33 @@ def stream_rollup(stream: DataFrame, spec: ru.RollupSpec, target: str, checkpoin
     return _start(stream, handle, checkpoint, once)
 
 
-def read_stored(spark: SparkSession, spec: ru.RollupSpec, target: str) -> DataFrame:
-    return ru.combine(spark.read.parquet(target), spec)
+def read_stored(
+    spark: SparkSession, spec: ru.RollupSpec, target: str, compacted: str | None = None, upto: int = -1
+) -> DataFrame:
+    """Merged sketches of a compacted rollup, if any, and the batches after it."""
+    parts = spark.read.parquet(target).filter(F.col("batch") > upto).drop("batch")
+    if compacted:
+        parts = parts.unionByName(spark.read.parquet(compacted))
+    return ru.combine(parts, spec)
+
 
+def read_rollup(
+    spark: SparkSession, spec: ru.RollupSpec, target: str, with_rows: bool = False, compacted: str | None = None, upto: int = -1
+) -> DataFrame:
+    return ru.finalize(read_stored(spark, spec, target, compacted, upto), spec, with_rows)
 
-def read_rollup(spark: SparkSession, spec: ru.RollupSpec, target: str, with_rows: bool = False) -> DataFrame:
-    return ru.finalize(read_stored(spark, spec, target), spec, with_rows)
 
+def compact_rollup(
+    spark: SparkSession, spec: ru.RollupSpec, target: str, out: str, upto: int, compacted: str | None = None, after: int = -1
+) -> None:
+    """Fold batches ``after < batch <= upto``, and an earlier compaction, into ``out``.
 
-def compact_rollup(spark: SparkSession, spec: ru.RollupSpec, target: str, compacted: str) -> None:
-    """Write the merged sketches of all batches as one rollup elsewhere."""
-    read_stored(spark, spec, target).write.mode("errorifexists").parquet(compacted)
+    The batches stay where they are; a reader that names ``out`` skips them.
+    """
+    parts = spark.read.parquet(target).filter((F.col("batch") > after) & (F.col("batch") <= upto)).drop("batch")
+    if compacted:
+        parts = parts.unionByName(spark.read.parquet(compacted))
+    ru.combine(parts, spec).write.mode("errorifexists").parquet(out)
 
 
 def stream_dedup(

@@ -72,9 +72,12 @@ def test_streamed_rollup_equals_batch(spark):
     assert len(os.listdir(target.replace("file:", ""))) == 3
     expected = sorted(map(tuple, ru.rollup(df, spec, with_rows=True).collect()))
     assert sorted(map(tuple, jobs.read_rollup(spark, spec, target, with_rows=True).collect())) == expected
-    folded = scratch_dir(spark, "folded")
-    jobs.compact_rollup(spark, spec, target, folded)
-    assert sorted(map(tuple, ru.finalize(spark.read.parquet(folded), spec, with_rows=True).collect())) == expected
+    one, two = scratch_dir(spark, "folded"), scratch_dir(spark, "folded")
+    jobs.compact_rollup(spark, spec, target, one, upto=0)
+    jobs.compact_rollup(spark, spec, target, two, upto=1, compacted=one, after=0)
+    for folded, upto in ((one, 0), (two, 1)):
+        got = jobs.read_rollup(spark, spec, target, with_rows=True, compacted=folded, upto=upto)
+        assert sorted(map(tuple, got.collect())) == expected
 
 
 def test_stream_dedup_within_and_across_batches(spark):
