@@ -100,10 +100,10 @@ def scl07(t: Tables):
 
 @query(
     "scl08_parse_time",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS ts FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END AS ts FROM orders",
 )
 def scl08(t: Tables):
-    text = F.when(F.col("o_orderkey") % 5 == 0, "some day").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    text = F.when(F.col("o_orderstatus") == "F", "some day").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     return t.read("orders").select("o_orderkey", sc.parse_time(text).alias("ts"))
 
 

@@ -275,9 +275,19 @@ def win4(t: Tables):
     return named.select("id").unionByName(rows.filter("title IS NULL").select("id"))
 
 
-@query("win4_first_wins_on_both_keys")
+@query(
+    "win4_first_wins_on_both_keys",
+    f"""WITH RECURSIVE r AS (
+      SELECT id, hostpath_surt AS a, CASE WHEN title IS NOT NULL THEN host || chr(1) || title END AS b, false AS kept FROM ({_TITLED})
+      UNION ALL
+      SELECT id, a, b, win FROM (
+        SELECT *, bool_or(win) OVER (PARTITION BY a) AS by_a, b IS NOT NULL AND bool_or(win) OVER (PARTITION BY b) AS by_b FROM (
+          SELECT id, a, b, id = min(id) OVER (PARTITION BY a) AND (b IS NULL OR id = min(id) OVER (PARTITION BY b)) AS win FROM r WHERE NOT kept))
+      WHERE win OR NOT (by_a OR by_b))
+    SELECT id, a AS hostpath_surt FROM r WHERE kept""",
+)
 def win4_both(t: Tables):
-    """Insert order under two unique keys; checked against brute force in the tests."""
+    """Insert order under two unique keys."""
     return cp.first_wins(_titled(t), "id").select("id", "hostpath_surt")
 
 

@@ -86,10 +86,11 @@ def txt04(t: Tables):
 
 @query(
     "txt05_unparsed_rows_kept",
-    f"SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN CAST(len({d.words('text')}) AS BIGINT) ELSE -1 END AS n FROM documents",
+    f"SELECT doc_id, CASE WHEN lang <> 'fr' THEN CAST(len({d.words('text')}) AS BIGINT) ELSE -1 END AS n FROM documents",
 )
 def txt05(t: Tables):
-    rows = t.read_spread("documents").withColumn("body", F.when(F.col("doc_id") % 4 > 0, F.col("text")))
+    """Texts of one language cannot be read; their rows stay, without a vector."""
+    rows = t.read_spread("documents").withColumn("body", F.when(F.col("lang") != "fr", F.col("text")))
     rows = tx.with_tokens(rows, "body", "lang", stops={})
     return rows.select("doc_id", F.when(F.col("tokens").isNull(), -1).otherwise(F.size("tokens")).cast("bigint").alias("n"))
 
@@ -500,17 +501,18 @@ def txt13(t: Tables):
 
 @query(
     "txt14_term_subsets",
-    """WITH w AS (SELECT DISTINCT conv_id AS query_id, role, 'turn ' || turn AS x FROM conversations WHERE turn < 3),
-      q AS (SELECT query_id, list(x ORDER BY x) AS terms FROM (SELECT DISTINCT query_id, x FROM w) GROUP BY query_id),
-      m AS (SELECT query_id, terms, unnest(generate_series(1, (1 << len(terms)) - 2)) AS mask FROM q WHERE len(terms) > 1)
+    f"""WITH q AS (SELECT page_id AS query_id, list_append(string_split(host, '.'), split_part(url, '/', 4) || ' today') AS terms FROM ({d.PAGES})),
+      m AS (SELECT query_id, terms, unnest(generate_series(1, (1 << len(terms)) - 2)) AS mask FROM q)
       SELECT query_id, len(p) AS n_terms, array_to_string(p, ' ') AS subset FROM (
-        SELECT query_id, list_transform(list_filter(terms, lambda x, i: (mask >> (i - 1)) & 1 = 1), lambda x: '"' || x || '"') AS p FROM m)""",
+        SELECT query_id, list_transform(list_filter(terms, lambda x, i: (mask >> (i - 1)) & 1 = 1),
+          lambda x: CASE WHEN contains(x, ' ') THEN '"' || x || '"' ELSE x END) AS p FROM m)""",
 )
 def txt14(t: Tables):
-    rows = t.read("conversations").filter("turn < 3").select(
-        F.col("conv_id").alias("query_id"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("x")
+    """A query per page: its host's labels and a phrase."""
+    phrase = F.concat(F.split_part("url", F.lit("/"), F.lit(4)), F.lit(" today"))
+    terms = t.read("pages").select(
+        F.col("page_id").alias("query_id"), F.array_append(F.split(uk.url_host("url"), r"\."), phrase).alias("terms")
     )
-    terms = rows.groupBy("query_id").agg(F.array_sort(F.collect_set("x")).alias("terms"))
     return td.term_subsets(terms).withColumn("n_terms", F.col("n_terms").cast("bigint"))
 
 
