@@ -25,6 +25,19 @@ def parse_index_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     )
 
 
+def _numbered(lines: DataFrame, partitions: int | None) -> DataFrame:
+    """Parsed lines with ``line_no``, rising within each file, as a stored table.
+
+    One task reads a gzip file from its start, so the ids rise with the line.
+    Which ids a file gets depends on how files were dealt to tasks; stored,
+    they are the same for every job that follows, and the rows can be split.
+    """
+    lines = lines.withColumn("line_no", F.monotonically_increasing_id())
+    if partitions:
+        lines = lines.repartition(partitions)
+    return persist_table(parse_index_lines(lines), "crawl-index")
+
+
 def read_crawl_index(
     spark: SparkSession, root: str, site: str | None = None, crawl: str | None = None, partitions: int | None = None
 ) -> DataFrame:
@@ -44,11 +57,7 @@ def read_crawl_index(
         "site",
         F.regexp_replace(F.substring("_file", F.length("site") + 2, F.length("_file")), r"\.cdx\.gz\z", "").alias("crawl"),
     )
-    # One task reads a gzip file from its start, so these ids rise with the line.
-    lines = lines.withColumn("line_no", F.monotonically_increasing_id())
-    if partitions:
-        lines = lines.repartition(partitions)
-    return parse_index_lines(lines)
+    return _numbered(lines, partitions)
 
 
 def read_index_table(
@@ -60,10 +69,7 @@ def read_index_table(
         lines = lines.filter(F.col("site") == site)
     if crawl:
         lines = lines.filter(F.col("crawl") == crawl)
-    lines = lines.withColumn("line_no", F.monotonically_increasing_id())
-    if partitions:
-        lines = lines.repartition(partitions)
-    return parse_index_lines(lines)
+    return _numbered(lines, partitions)
 
 
 def write_index_table(lines: DataFrame, path: str) -> None:
