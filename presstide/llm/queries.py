@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their check SQL."""
 
-from . import mixing, url_filter
+from . import mixing, packing, secret_scan, url_filter
 
 QUERIES = {
+    "op3_pack": packing.op3,
     "op5_mix_sources": mixing.op5,
+    "op6_secrets": secret_scan.op6,
     "op8_url_filter": url_filter.op8,
 }
 
