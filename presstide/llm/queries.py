@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their check SQL."""
 
-from . import minhash_dedup, mixing, packing, quality_fm, secret_scan, url_filter
+from . import minhash_dedup, mixing, onebit_search, packing, quality_fm, secret_scan, url_filter
 
 QUERIES = {
     "op1_quality": quality_fm.op1,
     "op3_pack": packing.op3,
     "op5_mix_sources": mixing.op5,
     "op6_secrets": secret_scan.op6,
+    "op7_nearest": onebit_search.op7,
     "op8_url_filter": url_filter.op8,
     "op9_near_dedup": minhash_dedup.op9,
 }
