@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their check SQL."""
 
-from . import minhash_dedup, mixing, onebit_search, packing, quality_fm, secret_scan, url_filter
+from . import iblt, minhash_dedup, mixing, onebit_search, packing, quality_fm, secret_scan, url_filter
 
 QUERIES = {
     "op1_quality": quality_fm.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_nearest": onebit_search.op7,
     "op8_url_filter": url_filter.op8,
     "op9_near_dedup": minhash_dedup.op9,
+    "op10_fingerprints": iblt.op10,
 }
 
 CHECK_SQL = {
