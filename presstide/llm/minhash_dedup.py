@@ -302,6 +302,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: that of the least id.
+
+    Of rows that share an id the one whose text has the least hash stays. Rows without
+    an id all stay.
+    """
+    found = persist_table(near_duplicates(docs, percent, id_col, text_col), "near-duplicates")
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    shared = persist_table(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("shared_id")), "shared-ids")
+    if shared.isEmpty():
+        return rows
+    same = F.col(id_col).cast("long") == F.col("shared_id")
+    one = rows.join(shared, same, "left_semi").groupBy(F.col(id_col).alias("one_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias("row"))
+    return rows.join(shared, same, "left_anti").unionByName(one.select("row.*"))
+
+
 def op9(spark, sf_dir):
     from .common import table
 

@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and their check SQL."""
 
-from . import iblt, minhash_dedup, mixing, onebit_search, packing, quality_fm, secret_scan, url_filter
+from . import chat_rotation, html_layout, iblt, minhash_dedup, mixing, onebit_search, packing, quality_fm, secret_scan, url_filter
 
 QUERIES = {
     "op1_quality": quality_fm.op1,
+    "op2_html_text": html_layout.op2,
     "op3_pack": packing.op3,
+    "op4_rotate_chats": chat_rotation.op4,
     "op5_mix_sources": mixing.op5,
     "op6_secrets": secret_scan.op6,
     "op7_nearest": onebit_search.op7,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 CHECK_SQL = {
+    "op4_rotate_chats": chat_rotation.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
 }
