@@ -34,6 +34,9 @@ HASHES = BANDS * ROWS
 PERCENT = 75
 #: Classes compared at once within a bucket, and partners of one pivot that one task confirms.
 BLOCK, PARTNERS = 2048, 512
+#: Most alike partners of a class that a round tries, in the first round; each next
+#: round tries as many times more.
+FIRST_PARTNERS = 64
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -218,11 +221,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
 def _across(members: DataFrame, least: float, partners: int) -> DataFrame:
     """Pairs (a, b, cut) within buckets of classes in different components that look alike.
 
-    ``members``: key, node, component, signature. For each class the ``partners`` most
+    ``members``: key, blocks, node, component, signature. For each class the ``partners`` most
     alike; ``cut`` tells that there were more.
     """
-    size = persist_table(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bucket-blocks")
-    rows = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "signature")
 
@@ -276,26 +278,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     links = links.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
     first = bucketed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tried = persist_table(_alike(first, nodes, least), "tried")
-    links = persist_table(links.unionByName(_confirmed(tried, docs, nodes, percent)), "links")
-    groups = persist_table(components(links), "components")
+    links = links.unionByName(_confirmed(tried, docs, nodes, percent))
+    groups = components(links)
 
-    partners = 4
+    partners = FIRST_PARTNERS
     while True:
         # A bucket of two has no pair but its first.
         rows = bucketed.filter("n > 2").select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = persist_table(rows, "bucket-components")
-        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        rows = rows.join(persist_table(mixed, "mixed"), "key").join(nodes.select("node", "signature"), "node")
-        pairs = persist_table(_across(rows, least, partners), "across")
-        new = persist_table(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "new-pairs")
-        some = not new.isEmpty()
-        if some:
+        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+        mixed = persist_table(mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+        rows = rows.join(mixed, "key").join(nodes.select("node", "signature"), "node")
+        pairs = _across(rows, least, partners).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left")
+        pairs = persist_table(pairs, "across")
+        # A cut counts even where all that was kept has been tried.
+        seen = pairs.agg(F.count_if(F.col("old").isNull()).alias("new"), F.max("cut").alias("cut")).first()
+        if seen["new"]:
+            new = pairs.filter("old is null").select("a", "b")
             tried = persist_table(tried.unionByName(new), "tried")
-            links = persist_table(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(new, docs, nodes, percent)), "links")
-            groups = persist_table(components(links), "components")
-        elif pairs.filter("cut").isEmpty():
+            links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(new, docs, nodes, percent))
+            groups = components(links)
+        if not seen["cut"]:
             break
-        partners *= 4
+        partners *= FIRST_PARTNERS
 
     joined = found.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
