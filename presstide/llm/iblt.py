@@ -187,8 +187,9 @@ def next_keys(keys: DataFrame, span: int = SPAN) -> DataFrame:
     no window holds more than ``span`` keys, however they are spread.
     """
     keys = persist_table(keys.select(F.col("key").cast("long").alias("key")), "keys")
-    grouped = keys.withColumn("range", _range(F.col("key"), span))
-    ends = grouped.agg(F.min("range").alias("low"), F.max("range").alias("high"), F.min("key").alias("least")).first()
+    ends = keys.agg(F.min("key").alias("least"), F.min(_range(F.col("key"), span)).alias("low"), F.max(_range(F.col("key"), span)).alias("high")).first()
+    # From the lowest on, so that ranges of ranges end in one.
+    grouped = keys.withColumn("range", _range(F.col("key"), span) - F.lit(ends["low"] or 0).cast("long"))
     within = Window.partitionBy("range").orderBy("key")
     found = grouped.withColumn("next", F.lead("key").over(within))
     if ends["low"] is None or ends["low"] == ends["high"]:
@@ -229,8 +230,9 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     has no paragraphs. A null id comes first. An empty table gives an empty result.
     """
     rows = id_and_text(docs, id_col, text_col)
-    known = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62))))
-    rows = with_next(known).withColumn("n_chars", F.length("text").cast("long"))
+    least = rows.agg(F.min("doc_id")).first()[0] or 0
+    none = F.lit(max(least, 1 - 2**63) - 1).cast("long")
+    rows = with_next(rows.withColumn("doc_id", F.coalesce("doc_id", none))).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
@@ -246,7 +248,7 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     larger = F.when(~done, differences(F.col("own"), [F.col("changed"), F.col("after")]))
     rows = rows.withColumn("larger", larger)
     return rows.select(
-        F.when(F.col("doc_id") > -(2**62), F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("doc_id") > none, F.col("doc_id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("own"), F.col("own_cells")).alias("fingerprint"),

@@ -124,15 +124,15 @@ def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sourc
     keys = [id_col, source_col, "mix_size"]
     sized = docs.withColumn("mix_size", words(text_col))
     taken = queue(docs, words(text_col), [id_col], id_col=id_col, source_col=source_col, **options)
-    taken = taken.select(F.col(id_col).alias("q_id"), F.col("source").alias("q_source"), F.col("size").alias("q_size"), "taken")
+    taken = taken.select(F.col(id_col).alias("q_id"), F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("taken").alias("q_taken"))
     sized = sized.withColumn("mix_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text_col))))
-    taken = taken.withColumn("q_turn", F.row_number().over(Window.partitionBy("q_id", "q_source", "q_size").orderBy(F.col("taken").desc())))
+    taken = taken.withColumn("q_turn", F.row_number().over(Window.partitionBy("q_id", "q_source", "q_size").orderBy(F.col("q_taken").desc())))
     # Rows of which nothing is taken leave here; of size 0 there is nothing to take.
-    taken = taken.filter("taken > 0")
+    taken = taken.filter("q_taken > 0")
     same = F.col(id_col).eqNullSafe(F.col("q_id")) & F.col(source_col).eqNullSafe(F.col("q_source")) & (F.col("mix_size") == F.col("q_size")) & (F.col("mix_turn") == F.col("q_turn"))
     rows = sized.join(taken, same)
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("mix_size")).cast("int"))))
-    rest = F.col("taken") - (F.col("mix_copy") - 1) * F.col("mix_size")
+    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("q_taken") / F.col("mix_size")).cast("int"))))
+    rest = F.col("q_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")), " ")
     text = F.when(rest < F.col("mix_size"), part).otherwise(F.col(text_col))
     out = rows.withColumn("mix_text", text)

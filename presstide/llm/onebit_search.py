@@ -137,10 +137,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def cosine(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of one vector with rows, each row summed by itself: equal rows score equally."""
-    dot = (x * query).sum(axis=1)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        out = dot / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((query * query).sum()))
-    odd = ~np.isfinite(out)
+        dot = (x * query).sum(axis=1)
+        norm = np.sqrt((x * x).sum(axis=1)) * np.sqrt((query * query).sum())
+        out = dot / norm
+    # Squares beyond the range of doubles: by unit vectors instead.
+    odd = ~(np.isfinite(dot) & np.isfinite(norm) & (norm > 1e-290))
     if odd.any():
         out[odd] = (_unit(x[odd]) * _unit(query[None, :])).sum(axis=1)
     return out

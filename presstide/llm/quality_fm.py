@@ -184,11 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     ``labels``: doc_id and 0/1; null labels teach nothing, an id labelled more than
     once counts as 1 if at least half its labels are 1.
     """
-    chosen = labels.filter(~held_out() & F.col(label_col).isNotNull()).groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+    chosen = labels.filter(~held_out() & F.col(label_col).isNotNull()).groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("labelled_as"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumnRenamed("doc_id", "labelled_id")
     # At most max_rows pairs of numbers.
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    rows = rows.select("labelled_id", "label", "text", *([F.col(length_col).alias("stated")] if length_col else []))
+    rows = docs.select("doc_id", "text", *([F.col(length_col).alias("stated")] if length_col else []))
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
                 offsets, features, weights = vectors(part["text"], _stated(part, "stated" if length_col else None))
                 at = pa.array(offsets.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (features, weights)]
-                yield pa.RecordBatch.from_arrays([part["labelled_id"], part["label"], *lists], ["doc_id", "label", "features", "weights"])
+                yield pa.RecordBatch.from_arrays([part["labelled_id"], part["labelled_as"], *lists], ["doc_id", "label", "features", "weights"])
 
     sample = rows.mapInArrow(run, "doc_id long, label int, features array<int>, weights array<float>").toArrow().combine_chunks()
     sample = sample.take(pc.sort_indices(sample, [("doc_id", "ascending"), ("label", "ascending")]))
