@@ -33,8 +33,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     Sources are ranked by code point, null last, and weigh ``weights`` in turn.
     They share ``share`` of all words by weight; a target stops at ``most`` times
     its source's size and what is over goes to the others by weight. Taken in
-    order of cap / weight, a source is capped if the level that the others would
-    reach without it is above its own. One row per source goes through one window.
+    order of cap / weight, sources are capped as long as the level that the rest would
+    reach by weight is above their own; from then on it is the level of all. One row per source goes through one window.
     """
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
@@ -44,8 +44,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     before = Window.orderBy("level", "rank").rowsBetween(Window.unboundedPreceding, -1)
     left = F.floor(F.sum("source_size").over(every) * F.lit(float(share))) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     rows = rows.withColumn("reach", left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    rows = rows.withColumn("common", F.min(F.when(F.col("reach") <= F.col("level"), F.col("reach"))).over(every))
-    target = F.when(F.col("reach") > F.col("level"), F.col("cap")).otherwise(F.least(F.col("common") * F.col("w"), F.col("cap")))
+    # The first source that is not capped tells the level of all that follow.
+    first = F.min(F.when(F.col("reach") <= F.col("level"), F.struct("level", "rank", "reach"))).over(every)
+    rows = rows.withColumn("common", first["reach"])
+    target = F.coalesce(F.least(F.col("common") * F.col("w"), F.col("cap")), F.col("cap"))
     return rows.select("source", "source_size", "rank", target.alias("target"))
 
 
@@ -156,8 +158,8 @@ w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOU
 l AS (SELECT *, (floor(sum(source_size) OVER () * 1.5::DOUBLE)
                  - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
               / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS reach FROM w),
-g AS (SELECT source, source_size, rank, CASE WHEN reach > cap / w THEN cap
-             ELSE least((SELECT min(reach) FROM l WHERE reach <= cap / w) * w, cap) END AS target FROM l),
+c1 AS (SELECT reach AS common FROM l WHERE reach <= cap / w ORDER BY cap / w, rank LIMIT 1),
+g AS (SELECT source, source_size, rank, least(coalesce((SELECT common FROM c1) * w, cap), cap) AS target FROM l),
 q AS (SELECT d.*, g.source_size, g.rank, g.target,
              sum(size) OVER (PARTITION BY d.source ORDER BY draw, size ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
