@@ -15,7 +15,6 @@ from ..session import persist_table
 from .urlkeys import as_col
 
 FALLBACK_LANGUAGE = "xx"
-MAX_LITERAL_STOPS = 20_000
 
 # Extra stop words for Korean.
 KOREAN_EXTRA_STOPS = ["이거", "이것", "는", "은", "가", "이", "을", "를", "기", "에"]
@@ -52,12 +51,9 @@ def number_words(words: Column | str) -> Column:
 def drop_stops(tokens: Column | str, lang: Column | str, stops: Mapping[str, Sequence[str]]) -> Column:
     """Remove each language's stop words; other languages use the fallback list.
 
-    The lists become literal hash sets in the plan, so their size is checked;
-    a larger dictionary goes through :func:`with_lemmas` as a table.
+    The lists become literal hash sets in the plan, which suits lists; a whole
+    dictionary is better joined as a table of empty lemmas by :func:`with_lemmas`.
     """
-    size = sum(len(words) for words in stops.values())
-    if size > MAX_LITERAL_STOPS:
-        raise ValueError(f"{size} stop words: pass a table with empty lemmas to with_lemmas")
     t, code = as_col(tokens), as_col(lang)
 
     def keep(words):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalars as sc
 from ..functions import text as tx
@@ -147,49 +149,65 @@ def page_view(captures: DataFrame, url: str | None = None, id: int | None = None
     return captures.filter(wanted).orderBy(F.col("accessed_at").desc_nulls_last(), F.col("id").desc()).limit(1)
 
 
+#: Rows that one task settles in order once the rounds have left no more.
+SETTLED_AT_ONCE = 50_000
+
+
+def _settle(todo: DataFrame) -> DataFrame:
+    """The rows of a small remainder that inserting in order keeps."""
+
+    def run(batches):
+        seen_a, seen_b = set(), set()
+        for batch in batches:
+            kept = []
+            for row in batch.to_pylist():
+                a, b = row["_a"], None if row["_b"] is None else tuple(row["_b"].values())
+                if (a is None or a not in seen_a) and (b is None or b not in seen_b):
+                    kept.append(row["_o"])
+                    seen_a.add(a)
+                    seen_b.add(b)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, batch.schema.field("_o").type)], ["_o"])
+
+    ordered = todo.coalesce(1).sortWithinPartitions("_o")
+    return ordered.mapInArrow(run, StructType([ordered.schema["_o"]]))
+
+
 def first_wins(articles: DataFrame, order_col: str, host_col: str = "host", title_col: str = "title",
-               key_col: str = "hostpath_surt", max_rounds: int = 1000) -> DataFrame:
+               key_col: str = "hostpath_surt") -> DataFrame:
     """Articles left by inserting in ``order_col`` order under two unique keys.
 
     A row is kept unless an earlier *kept* row has its ``key_col`` or its
-    (host, title); null titles never conflict. Solved in parallel rounds: a
-    row that is first in both of its groups is kept, rows sharing a key with a
-    kept row leave, and the rest go on, until none is left. The result does
-    not depend on how rows are spread. ``order_col`` must be unique.
+    (host, title); null keys and null titles never conflict. Solved in parallel
+    rounds: a row that is first in both of its groups is kept, rows sharing a
+    key with a kept row leave, and the rest go on, until few are left, which one
+    task settles in order. Every round keeps a row, so the rounds end. The
+    result does not depend on how rows are spread. ``order_col`` must be unique.
 
     Rows that agree on both keys are reduced to the first up front, which
-    takes exact copies out before any join; only keys and order take part
-    until the end. Each round goes to the shared folder, so the plan stays
-    short and a lost executor costs one round.
+    takes exact copies out before any join, and rows that cannot conflict are
+    kept at once; only keys and order take part until the end. Each round goes
+    to the shared folder, so the plan stays short and a lost executor costs one
+    round.
     """
-    once = articles.groupBy(key_col, host_col, title_col).agg(F.min(order_col).alias("_o"))
-    todo = persist_table(
-        once.select(
-            "_o",
-            F.col(key_col).alias("_a"),
-            F.when(F.col(title_col).isNotNull(), F.struct(F.col(host_col), F.col(title_col))).alias("_b"),
-        ),
-        "first-wins",
-    )
-    kept_parts = []
-    for _ in range(max_rounds):
-        first_a = todo.groupBy("_a").agg(F.min("_o").alias("_fa"))
-        first_b = todo.filter("_b IS NOT NULL").groupBy("_b").agg(F.min("_o").alias("_fb"))
-        # Each group has one possible winner, so both sides are unique here.
-        a_wins = first_a.withColumnRenamed("_fa", "_o")
-        b_wins = first_b.select(F.col("_fb").alias("_o"))
-        free = todo.filter("_b IS NULL").select("_o")
-        winners = a_wins.join(b_wins.unionByName(free), "_o", "left_semi")
-        kept = persist_table(todo.join(winners.select("_o"), "_o", "left_semi"), "first-wins-kept")
-        kept_parts.append(kept)
-        rest = todo.join(kept.select("_a"), "_a", "left_anti")
-        taken = kept.filter("_b IS NOT NULL").select("_b")
-        rest = persist_table(rest.join(taken, "_b", "left_anti"), "first-wins-rest")
-        if rest.isEmpty():
+    pair = F.when(F.col(title_col).isNotNull(), F.struct(F.col(host_col), F.col(title_col)))
+    rows = articles.select(F.col(order_col).alias("_o"), F.col(key_col).alias("_a"), pair.alias("_b"))
+    free = rows.filter("_a IS NULL AND _b IS NULL").select("_o")
+    held = rows.filter("_a IS NOT NULL OR _b IS NOT NULL")
+    todo = persist_table(held.groupBy("_a", "_b").agg(F.min("_o").alias("_o")), "first-wins")
+    kept_parts = [free]
+    while True:
+        if todo.limit(SETTLED_AT_ONCE + 1).count() <= SETTLED_AT_ONCE:
+            kept_parts.append(persist_table(_settle(todo), "first-wins-settled"))
             break
-        todo = rest
-    else:
-        raise RuntimeError(f"not settled after {max_rounds} rounds")
+        # Each group has one possible winner, so both sides are unique here.
+        first_a = todo.filter("_a IS NOT NULL").groupBy("_a").agg(F.min("_o").alias("_o")).select("_o")
+        first_b = todo.filter("_b IS NOT NULL").groupBy("_b").agg(F.min("_o").alias("_o")).select("_o")
+        free_a, free_b = todo.filter("_a IS NULL").select("_o"), todo.filter("_b IS NULL").select("_o")
+        winners = first_a.unionByName(free_a).join(first_b.unionByName(free_b), "_o", "left_semi")
+        kept = persist_table(todo.join(winners, "_o", "left_semi"), "first-wins-kept")
+        kept_parts.append(kept.select("_o"))
+        rest = todo.join(kept.filter("_a IS NOT NULL").select("_a"), "_a", "left_anti")
+        todo = persist_table(rest.join(kept.filter("_b IS NOT NULL").select("_b"), "_b", "left_anti"), "first-wins-rest")
     kept = kept_parts[0]
     for part in kept_parts[1:]:
         kept = kept.unionByName(part)
@@ -208,6 +226,18 @@ def insert_absent(new: DataFrame, existing: DataFrame, keys: Sequence[Sequence[s
     return out.select(*new.columns)
 
 
+def insert_articles(new: DataFrame, existing: DataFrame, order_col: str, host_col: str = "host", title_col: str = "title",
+                    key_col: str = "hostpath_surt") -> DataFrame:
+    """Rows of ``new`` that inserting them one by one into ``existing`` keeps.
+
+    ``existing`` has each key once. First what collides with it leaves, then the
+    rest is settled among itself: a row that collides with no stored row may
+    still collide with an earlier new one.
+    """
+    absent = insert_absent(new, existing, [[key_col], [host_col, title_col]])
+    return first_wins(absent, order_col, host_col, title_col, key_col)
+
+
 def summary_document(df: DataFrame, variant_col: str, drop: Sequence[str] = ("version", "process_time")) -> DataFrame:
     """Flatten an opaque document: ``best.value`` per key, else the value itself.
 

@@ -18,10 +18,18 @@ def _plain(html: Column) -> Column:
     """Tags and scripts out, entities decoded, blanks collapsed."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
+    return F.btrim(F.regexp_replace(_decoded(text), r"\s+", " "))
+
+
+def _unquoted(value: Column) -> Column:
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def _decoded(text: Column) -> Column:
     for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-    return F.btrim(F.regexp_replace(text, r"\s+", " "))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def page_title(html: Column | str) -> Column:
@@ -35,8 +43,8 @@ def page_language(html: Column | str) -> Column:
 
 def page_links(html: Column | str) -> Column:
     """Link targets in page order."""
-    found = F.regexp_extract_all(as_col(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)\""""), F.lit(1))
-    return F.transform(found, lambda h: F.struct(h.alias("href")))
+    found = F.regexp_extract_all(as_col(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(found, lambda h: F.struct(_decoded(_unquoted(h)).alias("href")))
 
 
 def page_article(html: Column | str) -> Column:
@@ -52,12 +60,37 @@ def page_text(html: Column | str) -> Column:
 
 
 def page_description(html: Column | str) -> Column:
-    pattern = r"""(?is)<meta\b[^>]*\bname\s*=\s*"description"[^>]*\bcontent\s*=\s*"([^"]*)\""""
-    return _some(F.regexp_extract(as_col(html), pattern, 1))
+    return page_meta(html, "name", "description")
+
+
+def page_meta(html: Column | str, attribute: str, value: str) -> Column:
+    """``content`` of the first meta tag with this attribute, in either order and quoting."""
+    tag = F.regexp_extract(as_col(html), rf"""(?is)<meta\b[^>]*\b{attribute}\s*=\s*["']?{value}(?=["'\s/>])[^>]*>""", 0)
+    content = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return _some(_decoded(_unquoted(content)))
+
+
+def page_author(html: Column | str) -> Column:
+    return page_meta(html, "name", "author")
+
+
+def page_published(html: Column | str) -> Column:
+    return page_meta(html, "property", "article:published_time")
+
+
+def page_modified(html: Column | str) -> Column:
+    return page_meta(html, "property", "article:modified_time")
+
+
+def page_canonical(html: Column | str) -> Column:
+    """Address of the canonical link, its attributes in either order."""
+    tag = F.regexp_extract(as_col(html), r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical(?=["'\s/>])[^>]*>""", 0)
+    return _some(_decoded(_unquoted(F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1))))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Add title, description, language, links, content_html, content_text, error.
+    """Add title, description, language, author, published, modified, canonical,
+    links, content_html, content_text, error.
 
     A page without markup gets ``error`` with type, message and location; its
     row stays and no task fails.
@@ -77,6 +110,10 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
             "title": page_title(h),
             "description": page_description(h),
             "language": page_language(h),
+            "author": page_author(h),
+            "published": page_published(h),
+            "modified": page_modified(h),
+            "canonical": page_canonical(h),
             "links": page_links(h),
             "content_html": page_article(h),
             "content_text": page_text(h),

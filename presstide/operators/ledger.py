@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import rollups as ru
 
-LEDGER_SCHEMA = "source string, urls_inserted bigint, finished_at timestamp, batch bigint"
+LEDGER_SCHEMA = "source string, urls_inserted bigint, finished_at timestamp, kind string, batch bigint"
 
 
 def append_batch(batch: DataFrame, batch_id: int, captures_path: str, ledger_path: str, source_col: str = "id_source") -> None:
@@ -25,16 +25,16 @@ def append_batch(batch: DataFrame, batch_id: int, captures_path: str, ledger_pat
     stored = spark.read.schema(batch.schema).parquet(target)
     stored.groupBy(F.col(source_col).cast("string").alias("source")).agg(
         F.count(F.lit(1)).alias("urls_inserted"), F.lit(None).cast("timestamp").alias("finished_at")
-    ).write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+    ).write.mode("overwrite").parquet(f"{ledger_path}/kind=append/batch={batch_id}")
 
 
 def finish_sources(spark: SparkSession, sources: DataFrame, ledger_path: str, batch_id: int) -> None:
-    """Mark sources as completely loaded."""
+    """Mark sources as completely loaded; apart from the counts of a batch with this id."""
     sources.select(
         F.col("source").cast("string"),
         F.lit(0).cast("bigint").alias("urls_inserted"),
         F.current_timestamp().alias("finished_at"),
-    ).distinct().write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+    ).distinct().write.mode("overwrite").parquet(f"{ledger_path}/kind=finish/batch={batch_id}")
 
 
 def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:

@@ -79,9 +79,10 @@ def docs_with_phrase(index: DataFrame, phrase: Sequence[str]) -> DataFrame:
         index.filter(F.col("term").isin(list(places)))
         .select("doc", "pos", F.explode(offsets).alias("place"))
         .groupBy("doc", (F.col("pos") - F.col("place")).alias("start"))
-        .agg(F.bit_or(F.pow(F.lit(2), F.col("place")).cast("bigint")).alias("_places"))
+        .agg(F.size(F.collect_set("place")).alias("_places"))
     )
-    return votes.filter(F.col("_places") == 2 ** len(phrase) - 1).select("doc").distinct()
+    # A start gathers no more places than the phrase has words.
+    return votes.filter(F.col("_places") == len(phrase)).select("doc").distinct()
 
 
 def match(
@@ -90,8 +91,13 @@ def match(
     any_of: Sequence[str] = (),
     none_of: Sequence[str] = (),
     phrases: Sequence[Sequence[str]] = (),
+    every: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Documents satisfying every given part; None when nothing is asked for."""
+    """Documents satisfying every given part; None when nothing is asked for.
+
+    ``every`` holds all documents (doc), also those without a token, which the
+    index does not know; it is needed where only words to avoid are given.
+    """
     parts = [docs_with_phrase(index, p) if len(p) > 1 else docs_with_all(index, p) for p in phrases if p]
     if all_of:
         parts.append(docs_with_all(index, all_of))
@@ -99,7 +105,9 @@ def match(
         parts.append(docs_with_any(index, any_of))
     if not parts and not none_of:
         return None
-    docs = parts[0] if parts else index.select("doc").distinct()
+    if not parts and every is None:
+        raise ValueError("with none_of alone, pass every document")
+    docs = parts[0] if parts else every.select("doc")
     for part in parts[1:]:
         docs = docs.join(part, "doc", "left_semi")
     if none_of:
@@ -120,12 +128,12 @@ def bm25(index: DataFrame, stats: DataFrame, terms: Sequence[str]) -> DataFrame:
     """
     terms = list(dict.fromkeys(terms))
     hits = term_counts(index.filter(F.col("term").isin(terms)))
-    found = hits.agg(*[F.count_if(F.col("term") == t).cast("double").alias(f"df{i}") for i, t in enumerate(terms)])
-    n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
-    df = None
-    for i, t in enumerate(terms):
-        one = found.select(f"df{i}").scalar()
-        df = F.when(F.col("term") == t, one) if df is None else df.when(F.col("term") == t, one)
+    found = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    # One scalar for all terms: as many entries as the query has.
+    counts = found.agg(F.map_from_entries(F.collect_list(F.struct("term", "df")))).scalar()
+    corpus = stats.select(F.struct("n", "mean")).scalar()
+    n, mean = corpus["n"], corpus["mean"]
+    df = F.try_element_at(counts, F.col("term"))
     # ln(1 + (n - df + 0.5) / (df + 0.5)), rearranged to name df once.
     idf = F.log((n + 1) / (df + 0.5))
     tf = F.col("tf").cast("double")
@@ -178,7 +186,8 @@ def search(
     hits = articles.filter(sc.time_in("timestamp_published", lo, hi))
     if sites:
         hits = hits.filter(on_sites("hostpath_surt", sites))
-    docs = match(index, all_of=all_of, phrases=phrases, none_of=none_of)
+    every = articles.select(F.col("id").alias("doc"))
+    docs = match(index, all_of=all_of, phrases=phrases, none_of=none_of, every=every)
     if docs is not None:
         hits = hits.join(docs.withColumnRenamed("doc", "id"), "id", "left_semi")
     words = list(dict.fromkeys([*all_of, *[w for p in phrases for w in p]]))
@@ -209,7 +218,7 @@ def parse_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
         phrase = low.startswith('"')
         site = low.startswith("site:")
         kind = F.when(phrase, "phrase").when(site, "site").otherwise("word")
-        term = F.when(phrase, F.btrim(low, F.lit('" '))).when(site, F.substring(low, 6, 4096)).otherwise(low)
+        term = F.when(phrase, F.btrim(low, F.lit('" '))).when(site, F.substr(low, F.lit(6))).otherwise(low)
         return F.struct((i + 1).alias("ord"), kind.alias("kind"), term.alias("term"))
 
     rest = [c for c in queries.columns if c != query_col]

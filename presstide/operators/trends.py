@@ -11,7 +11,8 @@ from ..functions import sketches as sk
 
 EPSILON = 1e-10
 MAX_CALENDAR = 100_000
-MAX_SUBSET_TERMS = 8
+#: Bits of a subset number that one explode counts through.
+SUBSET_BITS = 15
 SERIES = ("estimate", "lower", "upper")
 
 
@@ -130,15 +131,20 @@ def month_window(df: DataFrame, lo: str, hi: str) -> DataFrame:
 def term_subsets(query_terms: DataFrame) -> DataFrame:
     """Every proper non-empty subset of a query's terms, as denominators.
 
-    ``query_terms`` has query_id and ``terms``, an array of at most
-    ``MAX_SUBSET_TERMS``; phrases are quoted. Smaller subsets come first.
+    ``query_terms`` has query_id and ``terms``, an array; phrases are quoted. A
+    query of n terms has 2**n - 2 subsets, each a row of its own: their numbers
+    are exploded high bits first, so no array grows with them.
     """
     n = F.size("terms")
-    checked = F.when(n <= MAX_SUBSET_TERMS, n).otherwise(F.raise_error(F.lit("too many query terms")).cast("int"))
     quoted = F.transform("terms", lambda t: F.when(t.contains(" "), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t))
-    last = (F.pow(F.lit(2), checked) - 2).cast("int")
-    masks = query_terms.filter(n > 1).select(
-        "query_id", quoted.alias("_t"), F.explode(F.sequence(F.lit(1), last)).alias("_mask")
-    )
+
+    def numbers(bits):
+        return F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), bits).cast("long") - 1)
+
+    low = F.least(n, F.lit(SUBSET_BITS))
+    high = query_terms.filter(n > 1).select("query_id", quoted.alias("_t"), low.alias("_low"), F.explode(numbers(n - low)).alias("_high"))
+    masks = high.select("query_id", "_t", (F.col("_high") * 2**SUBSET_BITS).alias("_base"), F.explode(numbers(F.col("_low"))).alias("_rest"))
+    masks = masks.withColumn("_mask", F.col("_base") + F.col("_rest"))
+    masks = masks.filter((F.col("_mask") > 0) & (F.col("_mask") < F.pow(F.lit(2), F.size("_t")).cast("long") - 1))
     picked = F.filter("_t", lambda t, i: F.floor(F.col("_mask") / F.pow(F.lit(2), i)) % 2 == 1)
     return masks.select("query_id", F.size(picked).alias("n_terms"), F.array_join(picked, " ").alias("subset"))

@@ -21,7 +21,7 @@ def _url_query(name, out, column, sql):
 
 
 _url_query("url01_remove_scheme", "bare", uk.url_remove_scheme,
-           "CASE WHEN contains(url, '//') THEN regexp_extract(url, '(?s)[^:/]*//(.*)', 1) ELSE url END")
+           d.bare("url"))
 _url_query("url02_host", "h", uk.url_host, "host")
 _url_query("url03_path", "p", lambda u: uk.url_path(F.lower(u)), "_p0")
 _url_query("url04_query", "q", lambda u: uk.url_query(F.lower(u)), "_q0")
@@ -324,7 +324,7 @@ def flt05(t: Tables):
       CAST(NULL AS VARCHAR) AS error FROM pages""",
 )
 def ext1(t: Tables):
-    p = ex.extract_pages(t.read_spread("pages"))
+    p = ex.extract_pages(t.read("pages"))
     return p.select(
         "page_id", "language", "title",
         F.size("links").cast("bigint").alias("n_links"),

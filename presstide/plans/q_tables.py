@@ -145,7 +145,7 @@ def src06(t: Tables):
     lines.select("value").write.option("compression", "gzip").text(path)
     files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     blocks = files.select(F.col("path").alias("file"), F.lit(0).cast("bigint").alias("offset"), "length")
-    found = rc.read_blocks(blocks, PREFIX)
+    found = rc.read_blocks(blocks, PREFIX).filter("error IS NULL")
     return found.groupBy(F.split_part("value", F.lit(" "), F.lit(1)).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -294,15 +294,34 @@ def win4_both(t: Tables):
 _OLD, _NEW = "timestamp_published < '1999-01-01'", "timestamp_published >= '1999-01-01'"
 
 
+def _rounds(name: str, source: str) -> str:
+    """Recursive CTE ``name`` (id, a, b, kept): insertion in id order, round by round."""
+    return f"""{name} AS (
+      SELECT id, a, b, false AS kept FROM ({source})
+      UNION ALL
+      SELECT id, a, b, win FROM (
+        SELECT *, bool_or(win) OVER (PARTITION BY a) AS by_a, b IS NOT NULL AND bool_or(win) OVER (PARTITION BY b) AS by_b FROM (
+          SELECT id, a, b, id = min(id) OVER (PARTITION BY a) AND (b IS NULL OR id = min(id) OVER (PARTITION BY b)) AS win FROM {name} WHERE NOT kept))
+      WHERE win OR NOT (by_a OR by_b))"""
+
+
+_AB = f"""SELECT id, timestamp_published, x.hostpath_surt AS a, CASE WHEN x.title IS NOT NULL THEN x.host || chr(1) || x.title END AS b
+  FROM ({_ARTS}) a JOIN ({_TITLED}) x USING (id)"""
+
+
 @query(
     "snk2_insert_if_absent",
-    f"""WITH a AS (SELECT a.*, x.host AS h, x.title AS ti FROM ({_ARTS}) a JOIN ({_TITLED}) x USING (id))
-      SELECT id FROM a n WHERE {_NEW} AND NOT EXISTS (SELECT 1 FROM a o WHERE o.{_OLD} AND (o.hostpath_surt = n.hostpath_surt OR (o.h = n.h AND o.ti = n.ti)))""",
+    f"""WITH RECURSIVE ab AS MATERIALIZED ({_AB}), {_rounds('o', f'SELECT * FROM ab WHERE {_OLD}')},
+      old AS MATERIALIZED (SELECT * FROM o WHERE kept),
+      fresh AS MATERIALIZED (SELECT * FROM ab n WHERE {_NEW} AND NOT EXISTS (SELECT 1 FROM old WHERE old.a = n.a) AND NOT EXISTS (SELECT 1 FROM old WHERE old.b = n.b)),
+      {_rounds('r', 'SELECT * FROM fresh')}
+    SELECT id FROM r WHERE kept""",
 )
 def snk2(t: Tables):
+    """Newer articles inserted one by one into the view of the older ones."""
     rows = _titled(t).join(t.articles().select("id", "timestamp_published"), "id")
-    keys = [["hostpath_surt"], ["host", "title"]]
-    return cp.insert_absent(rows.filter(_NEW), rows.filter(_OLD), keys).select("id")
+    old = persist_table(cp.first_wins(rows.filter(_OLD), "id"), "article-view")
+    return cp.insert_articles(rows.filter(_NEW), old, "id").select("id")
 
 
 @query(
@@ -409,10 +428,11 @@ def top4(t: Tables):
 
 # Audits ----------------------------------------------------------------------
 
-@query("jon8_orphans", "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT page_id FROM pages)")
+@query("jon8_orphans", "SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT page_id FROM pages)")
 def jon8(t: Tables):
-    pages = t.read("pages").select(F.col("page_id").alias("user_id"))
-    return qa.orphans(t.read("events").select("event_id", "user_id"), pages, "user_id")
+    """Events whose page was never fetched."""
+    pages = t.read("pages").select(F.col("page_id").alias("event_id"))
+    return qa.orphans(t.read("events").select("event_id", "user_id"), pages, "event_id")
 
 
 @query(

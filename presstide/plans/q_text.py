@@ -28,7 +28,7 @@ ONE_TERM = ["ha"]
     f"SELECT id, pos, lexeme FROM ({d.tokens('SELECT * FROM documents', 'text', 'doc_id', 'lang')})",
 )
 def txt01(t: Tables):
-    rows = tx.with_tokens(t.read_spread("documents"), "text", "lang")
+    rows = tx.with_tokens(t.read("documents"), "text", "lang")
     rows = tx.explode_tokens(rows, "tokens", F.col("doc_id").alias("id"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -39,16 +39,16 @@ _LEMMAS = "SELECT DISTINCT language AS lang, lexeme AS form, left(lexeme, length
 
 @query(
     "txt01_lemmas",
-    f"""WITH arts AS MATERIALIZED ({d.ARTICLES}), tt AS MATERIALIZED ({d.tokens('SELECT * FROM arts', 'title')}),
+    f"""WITH arts AS MATERIALIZED ({d.ARTICLES}), tt AS MATERIALIZED ({d.tokens('SELECT * FROM arts', 'content')}),
       lem AS ({_LEMMAS})
       SELECT t.id, string_agg(coalesce(l.lemma, t.lexeme) || ':' || t.pos, ' ' ORDER BY t.pos) AS vector
       FROM tt t LEFT JOIN lem l ON l.lang = t.language AND l.form = t.lexeme GROUP BY t.id""",
 )
 def txt01_lemmas(t: Tables):
-    titles = tx.with_tokens(t.articles().select("id", "language", "title"), "title", "language")
-    forms = titles.select(F.col("language").alias("lang"), F.explode(tx.lexemes("tokens")).alias("form")).distinct()
+    texts = tx.with_tokens(t.articles().select("id", "language", "content"), "content", "language").drop("content")
+    forms = texts.select(F.col("language").alias("lang"), F.explode(tx.lexemes("tokens")).alias("form")).distinct()
     lemmas = forms.filter(F.col("form").like("___%s")).withColumn("lemma", F.expr("left(form, length(form) - 1)"))
-    out = tx.with_lemmas(titles, "id", "tokens", "language", lemmas)
+    out = tx.with_lemmas(texts, "id", "tokens", "language", lemmas)
     return out.filter(F.size("tokens") > 0).select("id", tx.vector_text("tokens").alias("vector"))
 
 
@@ -80,7 +80,7 @@ def txt03(t: Tables):
 )
 def txt04(t: Tables):
     """Languages without a list of their own use the multilingual one."""
-    rows = tx.with_tokens(t.read_spread("documents"), "text", "lang", stops={"en": ["the", "of"], "xx": ["de"]})
+    rows = tx.with_tokens(t.read("documents"), "text", "lang", stops={"en": ["the", "of"], "xx": ["de"]})
     return rows.select("doc_id", F.size("tokens").cast("bigint").alias("n"))
 
 
@@ -90,7 +90,7 @@ def txt04(t: Tables):
 )
 def txt05(t: Tables):
     """Texts of one language cannot be read; their rows stay, without a vector."""
-    rows = t.read_spread("documents").withColumn("body", F.when(F.col("lang") != "fr", F.col("text")))
+    rows = t.read("documents").withColumn("body", F.when(F.col("lang") != "fr", F.col("text")))
     rows = tx.with_tokens(rows, "body", "lang", stops={})
     return rows.select("doc_id", F.when(F.col("tokens").isNull(), -1).otherwise(F.size("tokens")).cast("bigint").alias("n"))
 

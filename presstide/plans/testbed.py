@@ -22,16 +22,6 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def read_spread(self, name: str) -> DataFrame:
-        """A table whose rows are costly to work on.
-
-        Files with few large row groups load few tasks; where the session sets
-        ``spark.presstide.scanSpread``, rows are dealt out evenly after the scan.
-        """
-        rows = self.read(name)
-        n = self.spark.conf.get("spark.presstide.scanSpread", None)
-        return rows.repartition(int(n)) if n else rows
-
     def events(self) -> DataFrame:
         return self.read("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -40,7 +30,7 @@ class Tables:
         events = self.events().select("event_id", "ts", "user_id", "event_type")
         orders = self.read("orders").select("o_orderkey", "o_orderdate")
         return (
-            self.read_spread("pages")
+            self.read("pages")
             .join(events, F.col("page_id") == F.col("event_id"))
             .join(orders, F.col("page_id") == F.col("o_orderkey"))
             .withColumn("published", F.col("o_orderdate").cast("timestamp"))
@@ -115,7 +105,7 @@ class Tables:
             F.col("n_chars").cast("string"),
         )
         return (
-            self.read_spread("documents")
+            self.read("documents")
             .join(orders, F.col("doc_id") == F.col("o_orderkey"))
             .join(pages, F.col("doc_id") == F.col("page_id"), "left")
             .select(
@@ -238,9 +228,13 @@ class Tables:
         )
 
     def page_links(self) -> DataFrame:
-        """Links between pages (url, href): an order's page links its parts' pages."""
+        """Links between pages (url, href): an order's page links its parts' pages.
+
+        Keys go around the pages, so that every line is a link.
+        """
         pages = self.read("pages").select("page_id", "url")
-        lines = self.read("lineitem").select("l_orderkey", "l_partkey")
+        n = pages.agg(F.count("*")).scalar()
+        lines = self.read("lineitem").select(*[F.pmod(c, n).alias(c) for c in ("l_orderkey", "l_partkey")])
         src = pages.select(F.col("page_id").alias("l_orderkey"), "url")
         dest = pages.select(F.col("page_id").alias("l_partkey"), F.col("url").alias("href"))
         return lines.join(src, "l_orderkey").join(dest, "l_partkey").select("url", "href")

@@ -49,15 +49,26 @@ def _create(path: str):
 def _members(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
     """(offset, unpacked bytes, error) of each gzip member, streamed.
 
-    After a damaged member the next header is searched for, so one bad record
-    does not hide the rest of the file.
+    After a damaged member the next header is searched for from the byte after
+    its own start, so a member cut short does not hide the ones that its data
+    ran into.
     """
+    origin = stream.tell()
     buffer, base, unpack, start, out = b"", 0, None, 0, []
+
+    def again():
+        stream.seek(origin + start + 1)
+        return b"", start + 1, None
+
     while True:
         if not buffer:
             buffer = stream.read(CHUNK)
-            if not buffer:
+            if not buffer and unpack is None:
                 break
+            if not buffer:
+                yield start, None, "bad gzip member: truncated"
+                buffer, base, unpack = again()
+                continue
         if unpack is None:
             at = buffer.find(b"\x1f\x8b\x08")
             if at < 0:
@@ -75,7 +86,7 @@ def _members(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
             out.append(unpack.decompress(buffer))
         except zlib.error as e:
             yield start, None, f"bad gzip member: {e}"
-            unpack, base, buffer = None, base + 1, buffer[1:]
+            buffer, base, unpack = again()
             continue
         if unpack.eof:
             base += len(buffer) - len(unpack.unused_data)
@@ -84,8 +95,6 @@ def _members(stream) -> Iterator[tuple[int, bytes | None, str | None]]:
             unpack = None
         else:
             base, buffer = base + len(buffer), b""
-    if unpack is not None:
-        yield start, None, "bad gzip member: truncated"
 
 
 def _headers(lines: list[bytes]) -> dict[str, str]:
@@ -253,23 +262,26 @@ def write_members(df: DataFrame, key_col: str, member_col: str, root: str) -> Da
 
 
 def read_blocks(blocks: DataFrame, prefix: str, root: str = "") -> DataFrame:
-    """Index lines starting with ``prefix`` out of packed index blocks."""
+    """Index lines starting with ``prefix`` out of packed index blocks: value, error.
+
+    A damaged block gives a row with ``error`` and no value.
+    """
     rest = [f for f in blocks.schema.fields if f.name == "crawl"]
-    schema = "".join(f"{f.name} string, " for f in rest) + "value string"
+    schema = "".join(f"{f.name} string, " for f in rest) + "value string, error string"
 
     def run(frames):
         for pdf in frames:
             crawls = list(pdf["crawl"]) if rest else [None] * len(pdf)
             for crawl, (_, _, data) in zip(crawls, _ranges(pdf, "file", root)):
-                for _, unpacked, _ in _members(io.BytesIO(data)):
-                    lines = (unpacked or b"").decode("utf-8", "replace").split("\n")
-                    out = pd.DataFrame({"value": lines})
+                for _, unpacked, error in _members(io.BytesIO(data)):
+                    lines = [None] if error else unpacked.decode("utf-8", "replace").split("\n")
+                    out = pd.DataFrame({"value": lines, "error": [error] * len(lines)})
                     if rest:
                         out.insert(0, "crawl", crawl)
                     yield out
 
     picked = blocks.select(*[f.name for f in rest], "file", "offset", "length")
-    return picked.mapInPandas(run, schema).filter(F.col("value").startswith(prefix))
+    return picked.mapInPandas(run, schema).filter(F.col("value").startswith(prefix) | F.col("error").isNotNull())
 
 
 def is_page() -> Column:

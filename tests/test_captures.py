@@ -13,7 +13,7 @@ def brute_first_wins(rows):
     keys, titles, kept = set(), set(), []
     for seq, key, host, title in sorted(rows):
         named = (host, title) if title is not None else None
-        if key in keys or (named is not None and named in titles):
+        if (key is not None and key in keys) or (named is not None and named in titles):
             continue
         keys.add(key)
         if named is not None:
@@ -25,14 +25,16 @@ def brute_first_wins(rows):
 SCHEMA = "seq int, hostpath_surt string, host string, title string"
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_first_wins_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,at_once", [(0, 0), (1, 40), (2, 50_000)])
+def test_first_wins_against_brute_force(spark, seed, at_once, monkeypatch):
+    monkeypatch.setattr(cp, "SETTLED_AT_ONCE", at_once)
     rng = random.Random(seed)
     rows = []
     for seq in rng.sample(range(1000), 250):
         host = "ab"[rng.random() < 0.7]
         title = None if rng.random() < 0.1 else f"t{rng.randint(0, 40)}"
-        rows.append((seq, f"{host}/{rng.randint(0, 60)}", host, title))
+        key = None if rng.random() < 0.1 else f"{host}/{rng.randint(0, 60)}"
+        rows.append((seq, key, host, title))
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = cp.first_wins(df, "seq")
     assert sorted(r.seq for r in got.collect()) == brute_first_wins(rows)
@@ -51,6 +53,19 @@ def test_first_wins_chain_and_hot_title(spark):
     assert sorted(r.seq for r in again.collect()) == kept
 
 
+def test_first_wins_long_chain_and_null_keys(spark):
+    rows = [(i, f"k{i // 2}", "h", f"t{(i + 1) // 2}") for i in range(5000)] + [(9000, None, "h", None), (9001, None, "h", None), (9002, None, "h", "t1")]
+    got = cp.first_wins(spark.createDataFrame(rows, SCHEMA), "seq")
+    assert sorted(r.seq for r in got.collect()) == brute_first_wins(rows)
+
+
+def test_new_articles_collide_with_each_other(spark):
+    old = [(0, "a", "h", "t")]
+    new = [(1, "b", "h", "u"), (2, "b", "h", "v"), (3, "c", "h", "u"), (4, "a", "h", "w"), (5, "d", "h", "t"), (6, "e", "h", None), (7, None, "h", "v")]
+    got = cp.insert_articles(spark.createDataFrame(new, SCHEMA), spark.createDataFrame(old, SCHEMA), "seq")
+    assert sorted(r.seq for r in got.collect()) == [s for s in brute_first_wins(old + new) if s]
+
+
 def test_insert_absent_ignores_null_parts(spark):
     new = spark.createDataFrame([(1, "a", "h", "t"), (2, "b", "h", None), (3, "c", "h", "t"), (4, None, "h", "u")], SCHEMA)
     old = spark.createDataFrame([(9, "a", "h", None), (8, "z", "h", "t"), (7, None, "h", None)], SCHEMA)
@@ -149,3 +164,10 @@ def test_page_views_prune_unread_parts(spark):
     df = spark.createDataFrame([(1, "https://a.test", doc())], "id int, url string, j string").withColumn("doc", cp.typed_doc("j"))
     plan = df.select(cp.best("doc", "language").alias("l"))._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan
+
+
+def test_every_form_of_link(spark):
+    html = """<a href='x'>1</a><a class=c href=y?a=1&amp;b=2>2</a><A HREF="z">3</A><meta content='d &lt; e' name="description"><meta property=article:published_time content=2020-01-02><link href="https://c.test/" rel=canonical>"""
+    r = ex.extract_pages(spark.createDataFrame([(html,)], "html string")).first()
+    assert [x.href for x in r.links] == ["x", "y?a=1&b=2", "z"]
+    assert (r.description, r.published, r.canonical, r.author) == ("d < e", "2020-01-02", "https://c.test/", None)

@@ -54,12 +54,16 @@ def has_run(words, run):
     return any(words[i : i + len(run)] == run for i in range(len(words)))
 
 
-def test_boolean_parts(corpus, index):
+def test_boolean_parts(corpus, articles, index):
     assert ids(se.docs_with_all(index, ["rain", "wind", "rain"])) == where(corpus, lambda w: {"rain", "wind"} <= set(w))
     assert ids(se.docs_with_any(index, ["fog", "ice"])) == where(corpus, lambda w: {"fog", "ice"} & set(w))
     got = se.match(index, all_of=["rain"], any_of=["sun", "fog"], none_of=["ice"])
     assert ids(got) == where(corpus, lambda w: "rain" in w and {"sun", "fog"} & set(w) and "ice" not in w)
-    assert ids(se.match(index, none_of=["ice"])) == where(corpus, lambda w: w and "ice" not in w)
+    every = articles.select(F.col("id").alias("doc"))
+    # Documents without a word are found too.
+    assert ids(se.match(index, none_of=["ice"], every=every)) == where(corpus, lambda w: "ice" not in w)
+    with pytest.raises(ValueError):
+        se.match(index, none_of=["ice"])
     assert se.match(index) is None
 
 
@@ -69,6 +73,19 @@ def test_phrases_against_brute_force(corpus, index, run):
     assert ids(docs) == where(corpus, lambda w: has_run(w, run))
 
 
+def test_long_phrase(spark):
+    words = [f"w{i % 90}" for i in range(100)]
+    rows = [(1, [(i + 1, w) for i, w in enumerate(["x", *words])]), (2, [(i + 1, w) for i, w in enumerate(words[:99])])]
+    vectors = spark.createDataFrame(rows, "id int, tsv_content array<struct<pos:int,lexeme:string>>")
+    assert ids(se.match(se.build_index(vectors), phrases=[words])) == [1]
+
+
+def test_long_site_term(spark):
+    site = "a" * 5000 + ".test"
+    got = se.parse_queries(spark.createDataFrame([(1, f"site:{site}")], "q int, query string")).first()
+    assert got.term == site
+
+
 def test_bm25_by_hand(corpus, articles, index):
     got = {r.doc: r.score for r in se.bm25(index, se.corpus_stats(articles), ["rain", "fog"]).collect()}
     docs = {r[0]: r[4].split() for r in corpus}
@@ -112,8 +129,9 @@ def test_subsets(spark):
     df = spark.createDataFrame([(1, ["a", "b c", "d"]), (2, ["only"]), (3, [])], "query_id int, terms array<string>")
     got = sorted((r.n_terms, r.subset) for r in td.term_subsets(df).collect())
     assert got == [(1, '"b c"'), (1, "a"), (1, "d"), (2, '"b c" d'), (2, 'a "b c"'), (2, "a d")]
-    with pytest.raises(Exception, match="too many"):
-        td.term_subsets(spark.createDataFrame([(1, list("abcdefghi"))], "query_id int, terms array<string>")).collect()
+    long = spark.createDataFrame([(1, list("abcdefghijklmnopq"))], "query_id int, terms array<string>")
+    out = td.term_subsets(long)
+    assert out.count() == out.distinct().count() == 2**17 - 2
 
 
 # Trends ----------------------------------------------------------------------

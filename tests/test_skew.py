@@ -100,9 +100,14 @@ def test_first_by_reduces_before_the_shuffle(spark):
     assert "partial_min_by" in plan and "Window" not in plan
 
 
-def test_hot_title_settles_in_few_rounds(spark):
+def test_hot_title_settles_in_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cp, "SETTLED_AT_ONCE", 0)
+    rounds = []
+    persist = cp.persist_table
+    monkeypatch.setattr(cp, "persist_table", lambda df, label: (rounds.append(label), persist(df, label))[1])
     rows = spark.range(20000).select(
         F.col("id").alias("seq"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("hostpath_surt"), F.lit("h").alias("host"),
         F.when(F.col("id") % 3 < 2, "Not found").otherwise(F.col("id").cast("string")).alias("title"),
     )
-    assert cp.first_wins(rows, "seq", max_rounds=3).count() == 20000 // 3 + 1
+    assert cp.first_wins(rows, "seq").count() == 20000 // 3 + 1
+    assert rounds.count("first-wins-kept") <= 2

@@ -2,6 +2,7 @@ import gzip
 import io
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,25 +55,22 @@ def test_json_and_catalogue(spark, tmp_path):
 
 # Crawl index -----------------------------------------------------------------
 
-def brute_outcomes(files):
-    """files: newest first, lists of (id, url, mime, status)."""
-    seen, out = set(), {}
-    for rows in files:
-        mine = set()
-        for i, url, mime, status in rows:
-            key = url.split("//")[1].split("?")[0]
-            if mime != "text/html":
-                out[i] = "mime"
-            elif status != "200":
-                out[i] = "status"
-            elif key in mine:
-                out[i] = "dup_cdx"
-            elif key in seen:
-                out[i] = "dup_all"
-            else:
-                mine.add(key)
-                seen.add(key)
-                out[i] = "kept"
+def expected_outcomes(files):
+    """files: newest first, lists of (id, url, mime, status).
+
+    By the definition: the usable rows of a page, newest file first and in file order,
+    are one kept row, then repeats, told apart by whether they are in the kept row's file.
+    """
+    usable = {i for rows in files for i, _, mime, status in rows if (mime, status) == ("text/html", "200")}
+    out = {i: "status" if mime == "text/html" else "mime" for rows in files for i, _, mime, _ in rows if i not in usable}
+    pages = {}
+    for place, rows in enumerate(files):
+        for i, url, _, _ in rows:
+            if i in usable:
+                pages.setdefault(re.sub(r"^\w+://|\?.*$", "", url), []).append((place, i))
+    for group in pages.values():
+        in_file = [p for p, _ in group]
+        out |= {i: "kept" if n == 0 else "dup_cdx" if p in in_file[:n] and p == in_file[0] else "dup_all" for n, (p, i) in enumerate(group)}
     return out
 
 
@@ -95,7 +93,7 @@ def test_index_files_and_outcomes(spark, tmp_path, seed):
                 f.write(f'test,a)/k 20200101 {{"url": "{url}", "filename": "f", "offset": "{n}", "length": "5"{extra}}}\n')
     index = ci.read_crawl_index(spark, str(tmp_path), partitions=3)
     labelled = ci.label_outcomes(index).collect()
-    expected = brute_outcomes([files[c] for c in sorted(files, reverse=True)])
+    expected = expected_outcomes([files[c] for c in sorted(files, reverse=True)])
     assert {r.offset: r.outcome for r in labelled} == expected
     assert {r.site for r in labelled} == {"test,a"} and {r.crawl for r in labelled} == set(files)
     counts = {r.outcome: r.n for r in ci.outcome_counts(index).collect()}
@@ -200,6 +198,24 @@ def test_members_across_read_chunks(monkeypatch):
     assert all(data[o : o + 2] == b"\x1f\x8b" for o, _, _ in parts)
 
 
+@pytest.mark.parametrize("chunk", [64, 1 << 20])
+def test_cut_members_hide_no_neighbour(monkeypatch, chunk):
+    monkeypatch.setattr(rc, "CHUNK", chunk)
+    good = [gzip.compress(os.urandom(40) * (n + 1)) for n in range(4)]
+    for cut in range(1, len(good[1])):
+        data = good[0] + good[1][:cut] + good[2] + good[3]
+        found = {o for o, d, e in rc._members(io.BytesIO(data)) if e is None}
+        start = len(good[0]) + cut
+        assert {0, start, start + len(good[2])} <= found
+
+
+def test_damaged_block_gives_a_row(spark, tmp_path):
+    (tmp_path / "cdx.gz").write_bytes(b"\x1f\x8b\x08 this is no block")
+    table = spark.createDataFrame([("cdx.gz", 0, 20)], "file string, offset long, length long")
+    got = rc.read_blocks(table, "com,b)", str(tmp_path)).collect()
+    assert [(r.value, r.error is not None) for r in got] == [(None, True)] * len(got) and got
+
+
 def test_write_then_read(spark, tmp_path):
     from presstide.session import persist_table
 

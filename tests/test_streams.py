@@ -32,7 +32,9 @@ def test_ledger_counts_replays_once(spark):
     state = {r.source: r for r in ledger.read_ledger(spark, book).collect()}
     assert sum(r.urls_inserted for r in state.values()) == 20 and all(r.finished_at is None for r in state.values())
     found = spark.createDataFrame([("s0",), ("s1",), ("new",)], "source string")
-    ledger.finish_sources(spark, found.filter("source = 's1'"), book, 2)
+    # The batch id of an append: its counts stay.
+    ledger.finish_sources(spark, found.filter("source = 's1'"), book, 1)
+    assert {r.source: r.urls_inserted for r in ledger.read_ledger(spark, book).collect()} == {s: r.urls_inserted for s, r in state.items()}
     left = {r.source: r.urls_inserted for r in ledger.pending(found, ledger.read_ledger(spark, book)).collect()}
     assert left == {"s0": state["s0"].urls_inserted, "new": 0}
 

@@ -65,9 +65,10 @@ def test_stops_keep_positions_and_fall_back(spark):
     assert got == ["cat:2 house:5", "the:1 cat:2", None, None]
 
 
-def test_too_many_literal_stops(spark):
-    with pytest.raises(ValueError):
-        tx.drop_stops(F.lit(None), F.lit("en"), {"en": [str(i) for i in range(tx.MAX_LITERAL_STOPS + 1)]})
+def test_many_stops(spark):
+    df = spark.createDataFrame([("en", "a 7 b 20500")], "lang string, t string")
+    out = tx.with_tokens(df, "t", "lang", stops={"en": [str(i) for i in range(21_000)]})
+    assert out.select(tx.vector_text("tokens")).first()[0] == "a:1 b:3"
 
 
 def test_lemmas_keep_rows_and_columns(spark):
