@@ -7,7 +7,7 @@
 3. Within a band bucket every class is paired with the least; then, among classes not
    yet in one component, with those that look most alike, in rounds that double until
    no pair is left. Signatures discard pairs whose similarity, corrected for chance
-   agreement of the kept bits, lies five standard errors below the threshold.
+   agreement of the kept bits, lies 4.5 standard errors below the threshold.
 4. Pairs are confirmed on the full sets of their texts. Components join them.
 
 With 48 bands of 5 rows, a pair at similarity 0.75 shares no band once in 400,000.
@@ -30,13 +30,16 @@ from .components import components
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 48, 5, 4
-HASHES = BANDS * ROWS
+#: Minima of a signature; the first BANDS * ROWS of them make the band keys too.
+HASHES = 2 * BANDS * ROWS
 PERCENT = 75
 #: Classes compared at once within a bucket, and partners of one pivot that one task confirms.
 BLOCK, PARTNERS = 2048, 512
 #: Most alike partners of a class that a round tries, in the first round; each next
 #: round tries as many times more.
 FIRST_PARTNERS = 64
+#: Bits that tell which texts are wanted; more texts only make them tell less.
+WANTED_BITS = 1 << 26
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -94,7 +97,7 @@ def minima(sets: list[np.ndarray], most: int = 1 << 15) -> np.ndarray:
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        rows = mins.reshape(-1, BANDS, ROWS).astype(np.uint64)
+        rows = mins[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
         return mix64((rows * _BAND[:, :ROWS]).sum(axis=2, dtype=np.uint64) + _BAND[:, ROWS]).view(np.int64)
 
 
@@ -117,7 +120,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 2.0**-BITS) / (1.0 - 2.0**-BITS)
 
 
-def least_similarity(percent: int = PERCENT, errors: float = 5.0) -> float:
+def least_similarity(percent: int = PERCENT, errors: float = 4.5) -> float:
     """Estimates below this are discarded: ``errors`` standard errors under the threshold."""
     p = percent / 100 * (1 - 2.0**-BITS) + 2.0**-BITS
     return percent / 100 - errors * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
@@ -181,6 +184,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(low) + len(high) - both)
 
 
+def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows that no ``wanted`` node names, before texts move.
+
+    Wanted ids set bits at a hash of theirs: rows of 4 KB, WANTED_BITS / 8 bytes in all
+    at most, so they are broadcast whatever the tables' sizes.
+    """
+
+    def bit(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(WANTED_BITS).cast("long"))
+
+    bits = wanted.select(bit("node").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bit_row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit("doc_id"))
+    rows = docs.join(F.broadcast(bits), F.bitmap_bucket_number(bit("doc_id")) == F.col("bit_row"))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.filter(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1).select("doc_id", "text")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked.
 
@@ -193,7 +213,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
     pivots = per.select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / PARTNERS) - 1).cast("int"))).alias("part"))
     wanted = members.unionByName(pivots.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")))
     wanted = persist_table(wanted.join(nodes.select("node", F.col("digest").alias("want")), "node"), "wanted")
-    rows = wanted.join(docs, F.col("node") == F.col("doc_id")).select("a", "part", "role", "node", "want", "text")
+    rows = wanted.join(_wanted(docs, wanted), F.col("node") == F.col("doc_id")).select("a", "part", "role", "node", "want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivots = None, {}
