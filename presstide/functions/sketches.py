@@ -37,7 +37,8 @@ ESTIMATE = {"theta": F.theta_sketch_estimate, "hll": F.hll_sketch_estimate}
 
 
 def theta_fraction(sketch: Column | str) -> Column:
-    """Sampling fraction of a compact theta image; 1.0 while it is exact.
+    """Sampling fraction of a compact theta image; 1.0 while it is exact, null
+    where the layout is none of those known here.
 
     Byte 0 holds the preamble length, byte 1 the serial version; the fraction
     is a little-endian 63-bit number whose place depends on both.
@@ -54,17 +55,21 @@ def theta_fraction(sketch: Column | str) -> Column:
     return (
         F.when((version == 4) & (preamble >= 2), number_at(9))
         .when((version == 3) & (preamble == 3), number_at(17))
-        .when(s.isNotNull(), F.lit(1.0))
+        .when(((version == 3) & (preamble <= 2)) | ((version == 4) & (preamble == 1)), F.lit(1.0))
     )
 
 
 def theta_bounds(sketch: Column | str, sigmas: float = BOUND_SIGMAS) -> Column:
-    """struct(estimate, lower, upper), all doubles; the bounds meet while exact."""
+    """struct(estimate, lower, upper), all doubles; the bounds meet while exact.
+
+    Where the image does not tell its sampling fraction, the bounds are those of a
+    full sketch of ``2**LG_K`` values.
+    """
     s = as_col(sketch)
     est = F.theta_sketch_estimate(s).cast("double")
     frac = theta_fraction(s)
     # A sampled sketch that retained nothing still allows a few values.
-    spread = sigmas * F.sqrt(F.greatest(est, 1 / frac) * (1 - frac) / frac)
+    spread = F.coalesce(sigmas * F.sqrt(F.greatest(est, 1 / frac) * (1 - frac) / frac), sigmas * est / (2**LG_K - 1) ** 0.5)
     return F.struct(
         est.alias("estimate"),
         F.greatest(est - spread, F.lit(0.0)).alias("lower"),

@@ -239,7 +239,8 @@ def _visits(t: Tables):
 
 @query("win2_latest_per_key", f"SELECT hostpath_surt, event_id FROM ({_VISIT_KEYS}) QUALIFY row_number() OVER (PARTITION BY hostpath_surt ORDER BY ts DESC, event_id DESC) = 1")
 def win2(t: Tables):
-    return cp.first_by(_visits(t), ["hostpath_surt"], ["ts", "event_id"], latest=True).select("hostpath_surt", "event_id")
+    rows = _visits(t).select("hostpath_surt", "ts", "event_id")
+    return cp.first_by(rows, ["hostpath_surt"], ["ts", "event_id"], latest=True).select("hostpath_surt", "event_id")
 
 
 @query("win2_page_view", f"SELECT event_id AS id, url, ts AS accessed_at FROM ({_VISIT_KEYS}) WHERE hostpath_surt = 'com,example,ththre)/fr/825' ORDER BY ts DESC, event_id DESC LIMIT 1")
@@ -257,7 +258,7 @@ def jon7(t: Tables):
 
 @query("win3_first_per_key", f"SELECT hostpath_surt, id FROM ({_ARTS}) QUALIFY row_number() OVER (PARTITION BY hostpath_surt ORDER BY id) = 1")
 def win3(t: Tables):
-    return cp.first_by(t.articles(), ["hostpath_surt"], ["id"]).select("hostpath_surt", "id")
+    return cp.first_by(t.articles().select("hostpath_surt", "id"), ["hostpath_surt"], ["id"])
 
 
 def _titled(t: Tables):
@@ -486,6 +487,26 @@ def snk1(t: Tables):
     return ledger.read_ledger(t.spark, book).select("source", "urls_inserted")
 
 
+_FOUND = f"""SELECT id, hostpath_surt, trim(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'), '&amp;', '&')) AS title
+  FROM ({d.CAPTURES}) WHERE event_type <> 'error' AND language IS NOT NULL"""
+_IN_ORDER = f"""SELECT (id % 2) * 1000000000 + id AS id, hostpath_surt AS a, {d.unsurt_host('hostpath_surt')} || chr(1) || title AS b
+  FROM ({_FOUND}) WHERE title <> ''"""
+
+
+@query(
+    "snk1_articles_of_batches",
+    f"""WITH RECURSIVE {_rounds('r', _IN_ORDER)}
+    SELECT id % 1000000000 AS id, id // 1000000000 AS batch FROM r WHERE kept""",
+)
+def snk1_articles(t: Tables):
+    """Two batches of captures into captures, ledger and article view, the second one replayed."""
+    path, book, view = (scratch_dir(t.spark, x) for x in ("captures", "ledger", "articles"))
+    rows = t.stored_captures()
+    for batch in (0, 1, 1):
+        ledger.append_batch(rows.filter(F.col("id") % 2 == batch), batch, path, book, articles_path=view)
+    return t.spark.read.parquet(view).select("id", F.col("batch").cast("bigint").alias("batch"))
+
+
 @query("snk3_archive_table", f"SELECT host_surt AS surt, count(*) AS n FROM ({d.PAGES}) GROUP BY 1")
 def snk3(t: Tables):
     path = scratch_dir(t.spark, "records")

@@ -29,11 +29,16 @@ def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_ingest(stream: DataFrame, captures_path: str, ledger_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append each batch of captures and its ledger rows; replays overwrite themselves."""
+def stream_ingest(
+    stream: DataFrame, captures_path: str, ledger_path: str, checkpoint: str, once: bool = True, articles_path: str | None = None
+) -> StreamingQuery:
+    """Append each batch of captures, its ledger rows and its articles; replays overwrite themselves.
+
+    Rows of sources finished before a batch are left out of it.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ledger.append_batch(batch, batch_id, captures_path, ledger_path)
+        ledger.append_batch(ledger.unfinished(batch, batch_id, ledger_path), batch_id, captures_path, ledger_path, articles_path=articles_path)
 
     return _start(stream, handle, checkpoint, once)
 
@@ -98,7 +103,8 @@ def stream_dedup(
         if batch_id > 0:
             earlier = batch.sparkSession.read.parquet(target).filter(F.col("batch") < batch_id)
             seen = known.unionByName(earlier.select(key))
-        batch.join(seen.distinct(), key, "left_anti").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        # Stored keys are read as they are; a repeated one changes no anti-join.
+        batch.join(seen, key, "left_anti").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return _start(fresh, handle, checkpoint, once)
 
