@@ -282,19 +282,25 @@ def prj4(t: Tables):
     return cp.display_fields(t.captures())
 
 
+# Text of the article element, in check SQL.
+_BODY = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
+        '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&copy;', '©', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
 @query(
     "prj5_article_projection",
     f"""SELECT id, url, hostpath_surt, language, published_lo AS timestamp_published, title, description,
-        len({d.words('title')}) AS title_words FROM (
+        len({d.words('title')}) AS title_words, len({d.words('body')}) AS content_words FROM (
       SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t0,
-        trim(replace(regexp_replace(t0, '\\s+', ' ', 'g'), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS description
-      FROM ({d.CAPTURES})) WHERE event_type <> 'error' AND language IS NOT NULL AND title <> ''""",
+        trim(replace(regexp_replace(t0, '\\s+', ' ', 'g'), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS description, {_BODY} AS body
+      FROM ({d.CAPTURES})) WHERE event_type <> 'error' AND language IS NOT NULL AND title <> '' AND body <> ''""",
 )
 def prj5(t: Tables):
     arts = cp.to_articles(t.stored_captures(), stops={})
     return arts.select(
         "id", "url", "hostpath_surt", "language", "timestamp_published", "title", "description",
-        F.size("tsv_title").cast("bigint").alias("title_words"),
+        F.size("tsv_title").cast("bigint").alias("title_words"), F.size("tsv_content").cast("bigint").alias("content_words"),
     )
 
 
@@ -318,9 +324,7 @@ def flt05(t: Tables):
     r"""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language,
       trim(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g'), '&amp;', '&')) AS title,
       len(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS n_links,
-      length(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
-        '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&copy;', '©', 'g'),
-        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_chars,
+      length(""" + _BODY + r""") AS text_chars,
       CAST(NULL AS VARCHAR) AS error FROM pages""",
 )
 def ext1(t: Tables):
