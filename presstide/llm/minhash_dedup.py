@@ -4,15 +4,15 @@
    its digest and ``HASHES`` minima. Of a minimum only ``BITS`` low bits are kept,
    packed into a signature; before that, every ``ROWS`` minima give one band key.
 2. Texts with equal sets are one class (equal digests), whose least id stands for it.
-3. Within a band bucket every class is paired with the least; then, among classes not
+3. Within a band bucket every class is paired with the first; then, among classes not
    yet in one component, with those that look most alike, in rounds that double until
    no pair is left. Signatures discard pairs whose similarity, corrected for chance
    agreement of the kept bits, lies 4.5 standard errors below the threshold.
 4. Pairs are confirmed on the full sets of their texts. Components join them.
 
 With 48 bands of 5 rows, a pair at similarity 0.75 shares no band once in 400,000.
-A bucket is never one task's group: its rows are joined to one stored minimum, and
-pairs inside are looked for between blocks of ``BLOCK`` classes.
+A bucket is never one task's group: its first pairs are made along ranges, and those
+inside are looked for between blocks of ``BLOCK`` classes.
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ BANDS, ROWS, BITS = 48, 5, 4
 HASHES = 2 * BANDS * ROWS
 PERCENT = 75
 #: Classes compared at once within a bucket, and partners of one pivot that one task confirms.
-BLOCK, PARTNERS = 2048, 512
+BLOCK, PARTNERS = 8192, 512
 #: Most alike partners of a class that a round tries, in the first round; each next
 #: round tries as many times more.
 FIRST_PARTNERS = 64
-#: Bits that tell which texts are wanted; more texts only make them tell less.
-WANTED_BITS = 1 << 26
+#: Bits that tell whether a value is in a set; of a larger set they only tell less.
+SET_BITS = 1 << 26
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -184,21 +184,51 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(low) + len(high) - both)
 
 
-def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows that no ``wanted`` node names, before texts move.
+def _set_bits(values: DataFrame, column: str) -> DataFrame:
+    """A set of long numbers as bits at a hash of each: rows of 4 KB, SET_BITS / 8 bytes
+    in all at most, so they are broadcast whatever the set's size."""
+    bit = F.pmod(F.xxhash64(column), F.lit(SET_BITS).cast("long"))
+    rows = values.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bit_row"))
+    return persist_table(rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), "set-bits")
 
-    Wanted ids set bits at a hash of theirs: rows of 4 KB, WANTED_BITS / 8 bytes in all
-    at most, so they are broadcast whatever the tables' sizes.
-    """
-
-    def bit(c: str):
-        return F.pmod(F.xxhash64(c), F.lit(WANTED_BITS).cast("long"))
 
-    bits = wanted.select(bit("node").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bit_row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    place = F.bitmap_bit_position(bit("doc_id"))
-    rows = docs.join(F.broadcast(bits), F.bitmap_bucket_number(bit("doc_id")) == F.col("bit_row"))
+def _marked(rows: DataFrame, column: str, bits: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with the column ``mark``: true for every member of the set, and for a few others."""
+    bit = F.pmod(F.xxhash64(column), F.lit(SET_BITS).cast("long"))
+    place = F.bitmap_bit_position(bit)
+    out = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("bit_row"), "left")
     byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return rows.filter(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1).select("doc_id", "text")
+    there = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+    return out.withColumn(mark, F.coalesce(there, F.lit(False))).drop("bit_row", "bits")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every bucket member with the first one before it in its range.
+
+    ``members``: key, node. Ranges of (key, node) may cut a bucket, and cut a very large
+    one into several, each part with a first member of its own. The keys at which a
+    range begins are rows too (key alone), as not all pairs of theirs are made.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
+            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            to = np.where(first >= 0, node[first], pivot)
+            pair = to != node
+            found = [*zip(to[pair].tolist(), node[pair].tolist())]
+            begins = [int(key[0])] if last is None else []
+            last, pivot = key[-1], to[-1]
+            nulls, pairs = [None] * len(begins), [None] * len(found)
+            columns = ([*(f[0] for f in found), *nulls], [*(f[1] for f in found), *nulls], [*pairs, *begins])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "key"])
+
+    rows = members.select("key", "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(run, "a long, b long, key long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +243,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
     pivots = per.select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / PARTNERS) - 1).cast("int"))).alias("part"))
     wanted = members.unionByName(pivots.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")))
     wanted = persist_table(wanted.join(nodes.select("node", F.col("digest").alias("want")), "node"), "wanted")
-    rows = wanted.join(_wanted(docs, wanted), F.col("node") == F.col("doc_id")).select("a", "part", "role", "node", "want", "text")
+    # Texts that are not wanted stay where they are.
+    there = _marked(docs.select("doc_id", "text"), "doc_id", _set_bits(wanted, "node"), "there").filter("there")
+    rows = wanted.join(there, F.col("node") == F.col("doc_id")).select("a", "part", "role", "node", "want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivots = None, {}
@@ -238,15 +270,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, least: float, partners: int) -> DataFrame:
+def _across(members: DataFrame, least: float, partners: int, blocks: int) -> DataFrame:
     """Pairs (a, b, cut) within buckets of classes in different components that look alike.
 
-    ``members``: key, blocks, node, component, signature. For each class the ``partners`` most
-    alike; ``cut`` tells that there were more.
+    ``members``: key, node, component, signature, large. For each class the ``partners``
+    most alike; ``cut`` tells that there were more. Large buckets are cut into
+    ``blocks`` parts, each two of which meet in one task.
     """
-    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "signature")
+    columns = ["key", "node", "component", "signature"]
+    zero = F.lit(0)
+    rows = members.filter("not large").select(*columns, zero.alias("own"), zero.alias("x"), zero.alias("y"))
+    if blocks > 1:
+        own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+        large = members.filter("large").withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, F.lit(blocks - 1))))
+        rows = rows.unionByName(large.select(*columns, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
 
     def pairs(group: pa.Table) -> pa.Table:
         node = group["node"].to_numpy()
@@ -256,16 +293,17 @@ def _across(members: DataFrame, least: float, partners: int) -> DataFrame:
         sigs = _words(group["signature"].combine_chunks())
         found: list[tuple[int, int, bool]] = []
         if len(np.unique(comp)) > 1:
-            left = np.flatnonzero(own == x)
-            right = np.flatnonzero(own == y)
-            for i in left:
-                est = similarity(sigs[i][None, :], sigs[right])
-                ok = np.flatnonzero((est >= least) & (comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y)))
-                if not len(ok):
-                    continue
+            left, right, others, of = np.flatnonzero(own == x), np.flatnonzero(own == y), None, None
+            for i in left[np.argsort(comp[left], kind="stable")]:
+                if comp[i] != of:
+                    of, others = comp[i], right[comp[right] != comp[i]]
+                # Within one block each pair is met once.
+                near = others[node[others] > node[i]] if x == y else others
+                est = similarity(sigs[i][None, :], sigs[near])
+                ok = np.flatnonzero(est >= least)
                 over = len(ok) > partners
                 for j in ok[np.argsort(-est[ok], kind="stable")[:partners]]:
-                    a, b = sorted((int(node[i]), int(node[right[j]])))
+                    a, b = sorted((int(node[i]), int(node[near[j]])))
                     found.append((a, b, over))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "cut": pa.array([f[2] for f in found], pa.bool_())})
 
@@ -290,26 +328,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     )
     least = least_similarity(percent)
     banded = nodes.select(F.explode("bands").alias("key"), "node")
-    pivots = persist_table(banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    bucketed = persist_table(banded.join(pivots, "key"), "bucketed")
+    buckets = persist_table(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared, large = _set_bits(buckets, "key"), _set_bits(buckets.filter(F.col("n") > BLOCK), "key")
+    blocks = -(-(buckets.agg(F.max("n")).first()[0] or 0) // BLOCK)
 
     # Equal sets, and rows that share an id, join their classes.
     links = linked.groupBy("doc_id", "digest").agg(F.lit(1)).join(nodes.select("digest", "node"), "digest")
     links = links.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    first = bucketed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tried = persist_table(_alike(first, nodes, least), "tried")
+    stars = persist_table(_stars(_marked(banded, "key", shared, "shared").filter("shared")), "stars")
+    cut_keys = _set_bits(stars.filter("key is not null"), "key")
+    tried = persist_table(_alike(stars.filter("key is null").select("a", "b"), nodes, least), "tried")
     links = links.unionByName(_confirmed(tried, docs, nodes, percent))
     groups = components(links)
 
     partners = FIRST_PARTNERS
     while True:
-        # A bucket of two has no pair but its first.
-        rows = bucketed.filter("n > 2").select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = persist_table(rows, "bucket-components")
-        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-        mixed = persist_table(mixed.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-        rows = rows.join(mixed, "key").join(nodes.select("node", "signature"), "node")
-        pairs = _across(rows, least, partners).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left")
+        labelled = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labelled = persist_table(labelled.select("node", "component", "signature", "bands"), "labelled")
+        members = labelled.select(F.explode("bands").alias("key"), "node", "component", "signature")
+        counted = _marked(members.drop("signature"), "key", shared, "shared").filter("shared")
+        counted = counted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+        # A bucket of two that no range has cut has no pair but its first.
+        counted = _marked(counted.filter("low <> high"), "key", cut_keys, "was_cut")
+        mixed = _set_bits(counted.filter("n > 2 or was_cut"), "key")
+        rows = _marked(_marked(members, "key", mixed, "mixed").filter("mixed"), "key", large, "large")
+        pairs = _across(rows, least, partners, blocks).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left")
         pairs = persist_table(pairs, "across")
         # A cut counts even where all that was kept has been tried.
         seen = pairs.agg(F.count_if(F.col("old").isNull()).alias("new"), F.max("cut").alias("cut")).first()
