@@ -5,6 +5,11 @@ source and configuration syntax into (name, literal) pairs, follows names that w
 given a literal or another name earlier in the text, joins literals added together,
 and scores each literal by how sensitive the name it ends up in is. A literal that
 passes is one more span, of kind ``literal``, where the literal itself stands.
+
+What follows an assignment on its line without quotes, up to white space, a comma or
+the line end, is a literal too unless it is a known name: .env, INI, properties and
+YAML write values so. Calls, ``${...}`` and what opens with a bracket are expressions,
+lexed as such; a run ends where a further sensitive name is assigned within it.
 """
 
 from __future__ import annotations
@@ -52,6 +57,13 @@ _LEX = re.compile(
       |(?P<other>[^\s])""",
     re.VERBOSE,
 )
+_ASSIGNS = frozenset((":", "=", ":=", "=>"))
+#: An unquoted value: to white space or a comma, or to a quote that opens a string.
+_OPENS = re.compile(r"""[^\S\n]*(?!//|\#[\s#!]|[rRbBuUfF]{1,2}["'])(?=[^\s,"'`(\[{:=])""")
+_RUN = re.compile(r"""(?:[^\s,"'`]|(?<![(\[{=+:<>|&;?])["'`])*+""")
+_HEAD = re.compile(r"[A-Za-z_$][\w$.]*+")
+#: A name assigned within a run.
+_INNER = re.compile(r"(?<![\w$.-])[A-Za-z_$](?:[\w$]|[.-](?=\w))*+(?=[:=])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -72,6 +84,40 @@ def quality(literal: str) -> float:
     return min(1.0, bits / 3.0) * (0.6 + 0.2 * min(kinds - 1, 2))
 
 
+class _Runs:
+    """Unquoted values of a text. A run that is cut at a name within it is not read again to its end."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.inner = text, 0, -1
+
+    def value(self, at: int, known: dict) -> tuple[int, int]:
+        """Start and end of the unquoted value at ``at``; equal if there is none."""
+        text, m = self.text, _OPENS.match(self.text, at)
+        if not m:
+            return at, at
+        a = m.end()
+        if a >= self.end:
+            self.end, self.inner = _RUN.match(text, a).end(), -1
+        b = self.end
+        if self.inner < a:
+            self.inner = next((n.start() for n in _INNER.finditer(text, a, b) if sensitivity(n.group())), len(text))
+        if self.inner < b:
+            b = self.inner
+            while b > a and text[b - 1] in ";&?({[|/":
+                b -= 1
+            return a, b
+        after = text[b : b + 1]
+        head = _HEAD.match(text, a, b)
+        sign = text[head.end()] if head and head.end() < b else ""
+        last = b - 1
+        while last > a and text[last] in ";]}":
+            last -= 1
+        call = sign == "(" and (text[last] == ")" or after not in ("", "\n", "\r"))
+        if (after and after in "\"'`") or text.startswith("${", a) or call or (sign == "+" and head.group() in known):
+            return at, at
+        return a, b
+
+
 def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """(name, literal, spans of its parts), in the order of the text.
 
@@ -85,7 +131,7 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         i = 0
         while i + 2 < len(tokens):
             (kind, name, *_), (op, sign, *_) = tokens[i], tokens[i + 1]
-            if op != "op" or sign in ("==", "!=", "<=", ">=") or kind not in ("name", "string"):
+            if op != "op" or sign not in _ASSIGNS or kind not in ("name", "string", "word"):
                 i += 1
                 continue
             if kind == "string":
@@ -93,17 +139,18 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             value, spans, j, fine = "", [], i + 2, True
             while j < len(tokens):
                 k, t, a, b = tokens[j]
+                after = tokens[j + 1][0] if j + 1 < len(tokens) else ""
                 if k == "string":
                     value, spans = value + t[1:-1], [*spans, (a + 1, b - 1)]
-                elif k == "bare":
+                elif k in ("name", "word") and (const := t if t in known else t.rstrip(";)]}")) in known:
+                    value, spans = value + known[const][0], [*spans, *known[const][1]]
+                elif k == "bare" or k == "word" and after not in ("op", "plus"):
                     value, spans = value + t, [*spans, (a, b)]
-                elif k == "name" and t in known:
-                    value, spans = value + known[t][0], [*spans, *known[t][1]]
                 else:
                     fine = False
                     break
                 j += 1
-                if j < len(tokens) and tokens[j][0] == "plus":
+                if after == "plus":
                     j += 1
                 else:
                     break
@@ -115,19 +162,28 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                 known.pop(name, None)
                 i += 2
 
-    for m in _LEX.finditer(text):
-        kind = m.lastgroup
+    at, runs = 0, _Runs(text)
+    while True:
+        if len(tokens) > 1 and tokens[-1][0] == "op" and tokens[-1][1] in _ASSIGNS and tokens[-2][0] in ("name", "string", "word") and tokens[-1][3] == at:
+            a, b = runs.value(at, known)
+            if a < b:
+                tokens.append(("bare" if text[a].isdigit() else "word", text[a:b], a, b))
+                at = b
+        m = _LEX.search(text, at)
+        if not m:
+            break
+        kind, at = m.lastgroup, m.end()
         if kind == "nl":
             # A line that ends in an operator goes on in the next.
             if tokens and tokens[-1][0] not in ("op", "plus"):
                 yield from end()
-                tokens = []
+                tokens.clear()
         elif kind != "comment":
             tokens.append((kind, m.group(), m.start(), m.end()))
             # A line of prose may be long; nothing before a plain word pair matters.
             if len(tokens) > 64 and kind == "other":
                 yield from end()
-                tokens = []
+                tokens.clear()
     yield from end()
 
 

@@ -5,6 +5,7 @@ import glob
 import hashlib
 import os
 import re
+import time
 import zlib
 
 import duckdb
@@ -168,6 +169,24 @@ def test_assignments(text, names):
     assert [n for *_, n, _ in secret_scan.literals(text)] == names
 
 
+@pytest.mark.parametrize("text,found", [
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", ["wJalrXUtnFEMI/K7MDENG"]), ("export DB_PWD=xK9fQ2mL7pR4", ["xK9fQ2mL7pR4"]),
+    ("db.pwd: aB+c/d9=.-_Q==\nport: 80", ["aB+c/d9=.-_Q=="]), ("pwd=\nDB_PWD = p@ss!W0rd#9\n", ["p@ss!W0rd#9"]), ("{db_pwd: Zx81kk29aQ7, n: 1}", ["Zx81kk29aQ7"]),
+    ("k = Zx81kk29aQ7\ndb_pwd = k;", ["Zx81kk29aQ7"]), ('x = db_pwd = "Zx81kk29aQ7"', ["Zx81kk29aQ7"]), ('f(x=1)(db_pwd="Zx81kk29aQ7")', ["Zx81kk29aQ7"]),
+    ("u=http://h/?a=b&db_pwd=Zx81kk29aQ7", ["Zx81kk29aQ7"]), ("pwd = read_it(a, b)", []), ("pwd = ${FROM_OUTSIDE}", []), ("std::string pwd", []),
+    ('k="Zx81kk"\npwd=k+"29aQ7"', ["Zx81kk", "29aQ7"]),
+])
+def test_unquoted_values(text, found):
+    assert [text[a:b] for a, b, *_ in secret_scan.literals(text)] == found
+
+
+def test_long_runs_are_read_once():
+    for text in ("token=" * 50_000, "pwd=" + "a=" * 50_000, "x=f(" * 50_000, "pwd:" + "Ab1/" * 50_000, "a=b;pwd=" * 30_000):
+        start = time.perf_counter()
+        secret_scan.literals(text)
+        assert time.perf_counter() - start < 10
+
+
 def test_nearest(run, small):
     table = pq.read_table(f"{small}/embeddings.parquet").to_pandas()
     x, ids = np.array(table.embedding.tolist(), np.float64), table.vec_id.to_numpy()
