@@ -10,13 +10,16 @@ What follows an assignment on its line without quotes, up to white space, a comm
 the line end, is a literal too unless it is a known name: .env, INI, properties and
 YAML write values so. Calls, ``${...}`` and what opens with a bracket are expressions,
 lexed as such; a run ends where a further sensitive name is assigned within it.
+
+A comment is lexed like the rest, but its assignments do not change what code holds.
+``//`` after a colon is part of a URL, a quote after a letter an apostrophe.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,8 +50,8 @@ _NAMES = r"(?i)passw|pwd|passphrase|secret|token|api_?-?key|credential|private_?
 _FILTER = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
 _LEX = re.compile(
-    r"""(?P<comment>//[^\n]*|\#(?=[\s#!])[^\n]*)
-      |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    r"""(?P<comment>(?<!:)//|\#(?=[\s#!]))
+      |(?P<string>(?:(?<!\w)[rRbBuUfF]{1,2}|(?<!\w))(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'(?!\w)|`[^`\n]*`))
       |(?P<name>[A-Za-z_$](?:[\w$]|[.-](?=\w))*)
       |(?P<op>:=|=>|==|!=|<=|>=|[:=])
       |(?P<plus>\+)
@@ -59,7 +62,7 @@ _LEX = re.compile(
 )
 _ASSIGNS = frozenset((":", "=", ":=", "=>"))
 #: An unquoted value: to white space or a comma, or to a quote that opens a string.
-_OPENS = re.compile(r"""[^\S\n]*(?!//|\#[\s#!]|[rRbBuUfF]{1,2}["'])(?=[^\s,"'`(\[{:=])""")
+_OPENS = re.compile(r"""[^\S\n]*(?!(?<!:)//|\#[\s#!]|[rRbBuUfF]{1,2}["'])(?=[^\s,"'`(\[{:=])""")
 _RUN = re.compile(r"""(?:[^\s,"'`]|(?<![(\[{=+:<>|&;?])["'`])*+""")
 _HEAD = re.compile(r"[A-Za-z_$][\w$.]*+")
 #: A name assigned within a run.
@@ -118,14 +121,16 @@ class _Runs:
         return a, b
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, literal, spans of its parts), in the order of the text.
+def pairs(text: str, comments: bool = False) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(name, literal, spans of its parts), in the order of the text; those in comments if asked for.
 
     ``name = "a" + other`` joins what it can read; a name without a known literal
     makes the value unknown. A later assignment replaces an earlier one.
     """
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    tokens: list[tuple[str, str, int, int]] = []
+    code: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    # What comments assign, on top of what code does.
+    noted: ChainMap[str, tuple[str, list[tuple[int, int]]]] = ChainMap({}, code)
+    known, tokens, held = code, [], []
 
     def end() -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         i = 0
@@ -174,23 +179,42 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             break
         kind, at = m.lastgroup, m.end()
         if kind == "nl":
+            if known is noted:
+                yield from end()
+                known, tokens = code, held
             # A line that ends in an operator goes on in the next.
             if tokens and tokens[-1][0] not in ("op", "plus"):
                 yield from end()
                 tokens.clear()
-        elif kind != "comment":
-            tokens.append((kind, m.group(), m.start(), m.end()))
+        elif kind == "comment":
+            if not comments:
+                end_of_line = text.find("\n", at)
+                at = end_of_line if end_of_line >= 0 else len(text)
+            elif known is code:
+                known, held, tokens = noted, tokens, []
+            else:
+                yield from end()
+                tokens.clear()
+        else:
+            t, a = m.group(), m.start()
+            if kind == "string":
+                skip = min(i for i, c in enumerate(t) if c in "\"'`")
+                t, a = t[skip:], a + skip
+            tokens.append((kind, t, a, at))
             # A line of prose may be long; nothing before a plain word pair matters.
             if len(tokens) > 64 and kind == "other":
                 yield from end()
                 tokens.clear()
     yield from end()
+    if known is noted:
+        known, tokens = code, held
+        yield from end()
 
 
-def literals(text: str) -> list[tuple[int, int, str, float]]:
-    """start, end, name, score of every literal that a sensitive name holds."""
+def literals(text: str, comments: bool = False) -> list[tuple[int, int, str, float]]:
+    """start, end, name, score of every literal that a sensitive name holds; in comments too if asked for."""
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, value, spans in pairs(text):
+    for name, value, spans in pairs(text, comments):
         weight = sensitivity(name)
         score = weight * quality(value) if weight else 0.0
         if score >= LEAST:
@@ -209,7 +233,7 @@ def scan_text(text: str, kinds: frozenset[str], lex: bool) -> list[tuple[str, in
                 if m.end(group) - m.start(group) >= least:
                     out.append((kind, m.start(), m.end(), m.group(1) if kind == "assign" else None, 1.0))
     if lex:
-        out += [("literal", a, b, name, score) for a, b, name, score in literals(text)]
+        out += [("literal", a, b, name, score) for a, b, name, score in literals(text, comments=True)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

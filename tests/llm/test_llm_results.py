@@ -180,10 +180,20 @@ def test_unquoted_values(text, found):
     assert [text[a:b] for a, b, *_ in secret_scan.literals(text)] == found
 
 
+@pytest.mark.parametrize("text,found", [
+    ('see http://a.b and db_pwd = "Zx81kk29aQ7"', ["Zx81kk29aQ7"]), ("it's db_pwd = \"Zx81kk29aQ7\" and it's", ["Zx81kk29aQ7"]),
+    ('# Notes # db_pwd = "Zx81kk29aQ7"', ["Zx81kk29aQ7"]), ("x = 1  // db_pwd=Zx81kk29aQ7 ## pwd2=yZ81kk29aQ7\nn = 2", ["Zx81kk29aQ7", "yZ81kk29aQ7"]),
+    ('k = "Zx81kk29aQ7"\n# k = none\ndb_pwd = k', ["Zx81kk29aQ7"]), ('k = "Zx81kk29aQ7"\n# db_pwd = k', ["Zx81kk29aQ7"]), ('db_pwd = # why\n "Zx81kk29aQ7"', ["Zx81kk29aQ7"]),
+    ('db_pwd = b"Zx81kk29aQ7"', ["Zx81kk29aQ7"]), ("'tis so: db_pwd = 'Zx81kk29aQ7', don't", ["Zx81kk29aQ7"]), ("# " * 200 + "db_pwd=Zx81kk29aQ7", ["Zx81kk29aQ7"]),
+])
+def test_comments_and_apostrophes(text, found):
+    assert [text[a:b] for kind, a, b, *_ in secret_scan.scan_text(text, frozenset(), True) if kind == "literal"] == found
+
+
 def test_long_runs_are_read_once():
-    for text in ("token=" * 50_000, "pwd=" + "a=" * 50_000, "x=f(" * 50_000, "pwd:" + "Ab1/" * 50_000, "a=b;pwd=" * 30_000):
+    for text in ("token=" * 50_000, "pwd=" + "a=" * 50_000, "x=f(" * 50_000, "pwd:" + "Ab1/" * 50_000, "a=b;pwd=" * 30_000, "# " * 100_000, "pwd = // " * 30_000, "' " * 100_000):
         start = time.perf_counter()
-        secret_scan.literals(text)
+        secret_scan.literals(text, comments=True)
         assert time.perf_counter() - start < 10
 
 
