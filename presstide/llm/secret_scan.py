@@ -46,7 +46,8 @@ SENSITIVE = {
 #: Least product of a name's weight and its literal's quality.
 LEAST = 0.45
 #: No lexer is run on texts without one of these, nor a pattern on texts without any hit of its own filter.
-_NAMES = r"(?i)passw|pwd|passphrase|secret|token|api_?-?key|credential|private_?-?key|access_?-?key|bearer|auth|signature"
+#: A name's parts count together whatever stands between them, so it may stand between all letters.
+_NAMES = "(?i)" + "|".join("[^A-Za-z0-9]*".join(k) for k in SENSITIVE if not any(o != k and o in k for o in SENSITIVE))
 _FILTER = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
 _LEX = re.compile(

@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -190,6 +191,19 @@ def test_comments_and_apostrophes(text, found):
     assert [text[a:b] for kind, a, b, *_ in secret_scan.scan_text(text, frozenset(), True) if kind == "literal"] == found
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(sorted(secret_scan.SENSITIVE)), st.integers(0, 9), st.sampled_from([*"._-$ é(", "", "--", "._"]), st.booleans(), st.text(alphabet="ab_.X9", max_size=5))
+def test_filter_passes_every_sensitive_name(key, at, between, camel, rest):
+    name = rest + key[:at] + between + (key[at:].capitalize() if camel else key[at:]) + rest
+    if secret_scan.sensitivity(name):
+        assert pc.match_substring_regex(pa.array([name]), secret_scan._NAMES)[0].as_py()
+
+
+@pytest.mark.parametrize("line", ['aws.access.key = "Zx81kk29aQ7"', 'private.key: "Zx81kk29aQ7"', 'api.key = "Zx81kk29aQ7"', 'pass_word = "Zx81kk29aQ7"'])
+def test_names_in_parts_are_scanned(line):
+    assert [[line[a:b] for _, a, b, *_ in spans] for spans in secret_scan._scan(pa.array([line]))] == [["Zx81kk29aQ7"]]
+
+
 def test_long_runs_are_read_once():
     for text in ("token=" * 50_000, "pwd=" + "a=" * 50_000, "x=f(" * 50_000, "pwd:" + "Ab1/" * 50_000, "a=b;pwd=" * 30_000, "# " * 100_000, "pwd = // " * 30_000, "' " * 100_000):
         start = time.perf_counter()
