@@ -67,7 +67,8 @@ class Encoder:
     other characters always begins a new piece. So a text is cut there and the ids of
     its chunks are laid side by side. The file's vocabulary gives the merge ranks to
     the quicker of the two installed encoders, whose ids are the same (the tests hold
-    whole texts against the file's own library).
+    whole texts against the file's own library). As there, the file's added tokens are
+    split off first and have their own ids.
     """
 
     def __init__(self, path: str):
@@ -84,8 +85,14 @@ class Encoder:
         added = Tokenizer.from_file(path).get_added_tokens_decoder()
         ranks = {t: i for t, i in ranks.items() if i not in added}
         self.ids_of = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # Of two that begin at one place the longer counts.
+        self.added = {t.content: i for i, t in sorted(added.items(), key=lambda e: -len(e[1].content))}
+        plain = all(not (t.lstrip or t.rstrip or t.single_word) for t in added.values())
+        if not plain:
+            raise ValueError(f"{path}: added tokens that take white space or whole words alone are not supported")
+        self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split if self.added else lambda t: [t]
         self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)")
-        self.ends = np.zeros(max(ranks.values()) + 2, bool)
+        self.ends = np.zeros(max([*ranks.values(), *added]) + 2, bool)
         for token, i in ranks.items():
             self.ends[i] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?")) or b"\n" in token
         self.forget()
@@ -99,7 +106,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Words as ``_chunks`` marks them."""
         chunks = [w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in words]
-        ids = list(map(self.ids_of, chunks))
+        ids = [[self.added[c]] if c in self.added else self.ids_of(c) for c in chunks]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
         self.at.update(zip(words, range(len(self.lens), len(self.lens) + len(words))))
@@ -107,11 +114,17 @@ class Encoder:
         self.lens = np.concatenate([self.lens, lens])
         self.pool = np.concatenate([self.pool, flat])
 
+    def _pieces(self, text: str) -> list[str]:
+        """Chunks of a text; an added token is one by itself."""
+        return [c for part in self.split(text) if part for c in ([part] if part in self.added else self.cut.split(part))]
+
     def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Marked words of every text and how many each has; ``\\r`` marks a chunk to be taken as it is."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if odd.any():
-            parts = [self.cut.split(t) if o else None for t, o in zip(texts.to_pylist(), odd)]
+            parts = [self._pieces(t) if o else None for t, o in zip(texts.to_pylist(), odd)]
             plain, n_plain = self._chunks(texts.filter(pa.array(~odd)))
             words, counts, k, i = [], np.zeros(len(texts), np.int64), 0, 0
             counts[~odd] = n_plain

@@ -119,6 +119,23 @@ def test_encoder_equals_its_library(texts):
     assert ids.tolist() == [i for w in want for i in w] and lens.tolist() == [len(w) for w in want]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "a", "b c", " ", "\n", "\t", "é."]), max_size=12).map("".join), max_size=4))
+def test_added_tokens_have_their_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    global _added
+    if "_added" not in globals():
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        _added = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = ["a<|endoftext|> b c", *texts]
+    ids, lens = _added[0].encode(pa.array(texts, pa.string()))
+    want = [[*_added[1].encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and lens.tolist() == [len(w) for w in want]
+    assert 50256 in ids and len(_added[0].ends) > ids.max()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 6)), min_size=1, max_size=11))
 def test_layout_is_optimal(steps):
