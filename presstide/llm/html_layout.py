@@ -26,9 +26,12 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Content that is text up to its own end tag, whatever it looks like.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never shown. Pages are read as by a reader whose scripts do not run.
-UNSEEN = frozenset("head title script style template noembed noframes iframe object audio video canvas svg math datalist dialog".split())
+UNSEEN = frozenset("head title script style template noembed noframes iframe object audio video canvas datalist dialog".split())
+#: Not shown within these.
+FOREIGN = frozenset(["svg", "math"])
+_FOREIGN_UNSEEN = frozenset("desc metadata annotation annotation-xml".split())
 #: Blocks, and how many blank lines they keep from their neighbours.
-MARGIN = {t: 0 for t in "html body div section article aside header footer nav main address form fieldset legend li dt dd center details summary caption tr thead tbody tfoot option optgroup figcaption search hgroup".split()}
+MARGIN = {t: 0 for t in "html body div section article aside header footer nav main address form fieldset legend li dt dd center details summary caption tr thead tbody tfoot option optgroup figcaption search hgroup text foreignobject mtr".split()}
 MARGIN |= {t: 1 for t in "p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre hr table figure xmp listing".split()}
 #: An opening tag ends an open element of these, up to the nearest of its bounds.
 _CLOSES_P = "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul"
@@ -137,15 +140,20 @@ def parse(page: str) -> Node:
                         close_implied(tag)
                     if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                         stack.append(open_("tr", {}))
+                    if tag in _FOREIGN_UNSEEN and any(n.tag in FOREIGN for n in stack):
+                        attrs["hidden"] = ""
                     node = open_(tag, attrs)
-                    if tag in RAW:
+                    empty = m["attrs"].rstrip().endswith("/") and (tag in FOREIGN or any(n.tag in FOREIGN for n in stack))
+                    if empty:
+                        pass
+                    elif tag in RAW:
                         end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                         stop = end.start() if end else len(page)
                         if stop > at:
                             body = page[at:stop]
                             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
                         at = end.end() if end else len(page)
-                    elif tag not in VOID and not (m["attrs"].rstrip().endswith("/") and tag in ("svg", "math")):
+                    elif tag not in VOID:
                         stack.append(node)
         pos = page.find("<", at)
     text(at, len(page))
@@ -201,25 +209,79 @@ class Lines:
         self.margin = max(self.margin, margin)
 
 
-def _row_cells(row: Node) -> list[Node]:
-    return [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
+_SECTIONS = frozenset(["thead", "tbody", "tfoot"])
+_PARTS = _SECTIONS | {"tr", "td", "th"}
 
 
-def _rows(table: Node) -> Iterator[Node]:
-    for c in table.children:
-        if isinstance(c, Node) and visible(c):
+def _enters(node: Node) -> bool:
+    """Whether rows and cells below a node can be those of the table around it."""
+    return node.tag not in ("table", "td", "th", "caption") and not (node.tag == "details" and "open" not in node.attrs) and visible(node)
+
+
+def _holders(table: Node) -> set[int]:
+    """Ids of the nodes, the table's own sections and rows among them, with rows or cells of it below."""
+    above: dict[int, Node] = {}
+    held: set[int] = set()
+    todo = [table]
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if isinstance(c, str):
+                continue
+            if c.tag in _PARTS:
+                up = node
+                while up is not None and id(up) not in held:
+                    held.add(id(up))
+                    up = above.get(id(up))
+            if _enters(c):
+                above[id(c)] = node
+                todo.append(c)
+    return held
+
+
+def _split(table: Node) -> tuple[list[list[Node]], Node]:
+    """Rows of cells, through whatever is wrapped around them, and all else but direct captions."""
+    held, rows, rest = _holders(table), [], Node("div", {})
+    # What is read on, the row its cells go to, where all else goes.
+    todo: list[list] = [[iter(table.children), None, rest]]
+    while todo:
+        frame = todo[-1]
+        c = next(frame[0], None)
+        if c is None:
+            todo.pop()
+            # Without anything in it, what is left of a row or wrapper is nothing.
+            if todo and not frame[2].children:
+                todo[-1][2].children.pop()
+        elif isinstance(c, str):
+            if frame[2].children or c.strip(" \t\n\r\f"):
+                frame[2].children.append(c)
+        elif not visible(c) or c.tag == "col" or (c.tag == "caption" and len(todo) == 1):
+            continue
+        elif c.tag in ("td", "th"):
+            if frame[1] is None:
+                frame[1] = []
+                rows.append(frame[1])
+            frame[1].append(c)
+        elif c.tag in ("tr", "colgroup") or c.tag in _SECTIONS or (id(c) in held and _enters(c)):
+            inside = c.tag in _PARTS or c.tag == "colgroup"
+            left = Node("div", {}) if inside else Node(c.tag, c.attrs)
+            frame[2].children.append(left)
+            row = None if inside else frame[1]
             if c.tag == "tr":
-                yield c
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(c)
+                row = []
+                rows.append(row)
+            todo.append([iter(c.children), row, left])
+        else:
+            frame[2].children.append(c)
+    return rows, rest
 
 
-def _lay_table(table: Node, out: Lines, depth: int) -> None:
+def _lay_table(grid: list[list[Node]], out: Lines, depth: int) -> None:
     """Cells in columns as wide as their widest line; a cell of many lines spreads down."""
     rows = []
-    for row in _rows(table):
+    for row in grid:
         cells = []
-        for cell in _row_cells(row):
+        for cell in row:
             part = Lines()
             _lay(cell, part, depth + 1, "")
             part.end()
@@ -304,9 +366,8 @@ def _lay(node: Node, out: Lines, depth: int, listed: str) -> None:
             for c in captions:
                 _lay(c, out, depth + 1, listed)
                 out.end()
-            _lay_table(child, out, depth)
-            loose = Node("div", {})
-            loose.children = [c for c in child.children if not (isinstance(c, Node) and c.tag in ("caption", "tr", "thead", "tbody", "tfoot", "colgroup", "col"))]
+            grid, loose = _split(child)
+            _lay_table(grid, out, depth)
             _lay(loose, out, depth + 1, listed)
         elif tag == "li":
             mark = f"{number}. " if node.tag == "ol" else "- "

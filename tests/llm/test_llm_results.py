@@ -384,6 +384,18 @@ def test_layout(page, text):
     assert html_layout.render(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><tr><form><td>a</td></form></tr></table>", "a"), ("<table><tr><form><td>a<td>b</form></tr><tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tbody><form><tr><td>a<td>b</tr></form></tbody></table>", "a  b"), ("<table><form><td>a</td><td>b</td></form></table>", "a  b"),
+    ("<table><tr><td>a</td>loose<b>Total</b></tr><tr>more</tr></table>", "a\nlooseTotal\nmore"), ("<table><tr><div hidden><td>no</td></div><td>a</table>", "a"),
+    ("<table><tr><table><tr><td>in</table></tr></table>", "in"), ("<table><tr>" + "<i>" * 3000 + "<td>deep", "deep"),
+    ("x<svg><title>no</title><desc>no</desc><style>no</style><path/><desc/><text>Sales</text><text>Cost</text></svg>y", "x\nSales\nCost\ny"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+])
+def test_all_that_is_seen_is_kept(page, text):
+    assert html_layout.render(page) == text
+
+
 def test_pages_keep_all_words(run, small):
     pages = pq.read_table(f"{small}/pages.parquet").to_pandas().set_index("page_id").html
     import html
