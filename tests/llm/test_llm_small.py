@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import os
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,15 @@ def test_chats(spark):
     assert chat_rotation.rotate(turns.limit(0)).count() == 0
 
 
+def test_speakers_keep_their_names(spark):
+    speakers = ["\u674e\u660e", "\u738b\u82b3", "A B", "A_B", "A%20B", "\u0639\u0644\u064a", "na\u00efve-1", "x\ny", "\U0001f600", "<|im_end|>"]
+    turns = spark.createDataFrame([(1, i, s, "t") for i, s in enumerate([*speakers, "me"])], "conv_id long, turn long, role string, text string")
+    rows = chat_rotation.rotate(turns).filter("participant = 'me' AND role = 'user'").orderBy("position").collect()
+    assert [r.speaker for r in rows] == [unquote(r.name) for r in rows] == speakers
+    assert len({r.name for r in rows}) == len(speakers) and rows[0].name == speakers[0] and rows[2].name == "A%20B"
+    assert all(r.segment == f"<|im_start|>user name={r.name}\nt<|im_end|>\n" for r in rows)
+
+
 def test_nothing_local_or_unbounded():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     folder = os.path.join(root, "presstide", "llm")
