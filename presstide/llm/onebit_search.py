@@ -19,6 +19,7 @@ queries in one task, and hands on k neighbours per query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,8 @@ def blocks(rows: DataFrame, size: int, coded: bool) -> DataFrame:
             nonlocal made
             ids, x = (np.concatenate(p) for p in zip(*held.pop(d)))
             count[d] = 0
+            if coded:
+                ids, x = _once(ids, x)
             made += 1
             codes, scalars = b"", b""
             if coded:
@@ -129,6 +132,18 @@ def blocks(rows: DataFrame, size: int, coded: bool) -> DataFrame:
     return rows.select("vec_id", "vector").mapInArrow(run, _BLOCK_SCHEMA)
 
 
+def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows wholly alike are one, so that a block's k best are k candidates."""
+    x = x + 0.0  # -0.0 is 0.0
+    if len(np.unique(ids)) == len(ids):
+        return ids, x
+    first: dict[tuple[int, bytes], int] = {}
+    for i, d in enumerate(ids.tolist()):
+        first.setdefault((d, x[i].tobytes()), i)
+    at = np.fromiter(first.values(), np.int64, len(first))
+    return ids[at], x[at]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     # By the largest component first, so that no square overflows or vanishes.
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -148,8 +163,8 @@ def cosine(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_in_block(query_id: int, query: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scalars: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and cosines of the k nearest in a block, and how many were measured."""
+def nearest_in_block(query_id: int, query: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scalars: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Ids and cosines of the k nearest in a block, how many were measured, and the places of the nearest."""
     near, bound = estimate(codes, scalars, _unit(query[None, :])[0], turn)
     mine = np.flatnonzero(ids != query_id)
     scores = np.full(len(ids), -np.inf)
@@ -165,7 +180,7 @@ def nearest_in_block(query_id: int, query: np.ndarray, ids: np.ndarray, x: np.nd
         measured += len(rest)
     seen = mine[~np.isneginf(scores[mine])]
     best = seen[np.lexsort((ids[seen], -scores[seen]))[:k]]
-    return ids[best], scores[best], measured
+    return ids[best], scores[best], measured, best
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -204,17 +219,19 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
                 codes = np.frombuffer(raw["codes"], np.uint64).reshape(len(ids), -1)
                 scalars, turn = np.frombuffer(raw["scalars"], np.float64), rotation(d)
                 q_ids = np.frombuffer(raw["q_ids"], np.int64)
-                found = [(q, *nearest_in_block(q, v, ids, x, codes, scalars, turn, k)[:2]) for q, v in zip(q_ids.tolist(), np.frombuffer(raw["q_vectors"], np.float64).reshape(-1, d))]
+                found = [(q, *nearest_in_block(q, v, ids, x, codes, scalars, turn, k)) for q, v in zip(q_ids.tolist(), np.frombuffer(raw["q_vectors"], np.float64).reshape(-1, d))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(q_ids, [len(f[1]) for f in found])),
                         pa.array(np.concatenate([f[1] for f in found])),
                         pa.array(np.concatenate([f[2] for f in found])),
+                        pa.array([blake2b(x[i].tobytes(), digest_size=16).digest() for f in found for i in f[4].tolist()], pa.binary()),
                     ],
-                    ["query_id", "vec_id", "score"],
+                    ["query_id", "vec_id", "score", "digest"],
                 )
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+    # Rows wholly alike from several blocks; others may share an id and score.
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double, digest binary").distinct()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -110,6 +110,14 @@ def test_search(spark):
     assert onebit_search.search(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_past_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.0])] * 40 + [(1, [2.0, 0.0])] + [(i, [1.0, i / 10]) for i in range(2, 30)]
+    for parts in (1, 3):
+        found = onebit_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts), F.col("vec_id") == 0)
+        # The copies are one candidate; the row of the same id and another vector is its own.
+        assert [r.vec_id for r in found.orderBy("rank").collect()] == [1, 1, 2, 3, 4]
+
+
 def test_urls(spark):
     urls = ["http://A.Example.COM/en/x?q#f", "https://www.example.com/en/", "http://x.net/es/1", "nothing", None, "http://x.net", "http://a.b/" + "long/" * 20_000, "http://x.net/es/1"]
     pages = clash(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
