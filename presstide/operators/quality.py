@@ -11,6 +11,11 @@ def violations(df: DataFrame, rule: str, bad: Column) -> DataFrame:
     return df.agg(F.count_if(bad).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
 
 
+def missing(df: DataFrame, rule: str, *columns: str) -> DataFrame:
+    """Rows in which any of these columns is null."""
+    return violations(df, rule, reduce(Column.__or__, [F.col(c).isNull() for c in columns]))
+
+
 def duplicate_keys(df: DataFrame, rule: str, *keys: str) -> DataFrame:
     """Rows beyond the first of each key; keys with a null part never collide."""
     return (

@@ -429,33 +429,62 @@ def top4(t: Tables):
 
 # Audits ----------------------------------------------------------------------
 
-@query("jon8_orphans", "SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT page_id FROM pages)")
+#: Sources are the customers of all segments but one, whose sources were given up.
+_SOURCES = "SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY'"
+_ORPHANS = f"SELECT event_id, user_id FROM events WHERE user_id NOT IN ({_SOURCES})"
+#: A code table: nations by name, with a two-letter and a three-letter code.
+_CODES = "SELECT n_name AS ref_name, right(n_name, 2) AS part1, 'n' || right(n_name, 1) AS part3 FROM nation"
+
+
+def _orphans(t: Tables):
+    sources = t.read("customer").filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("user_id"))
+    return qa.orphans(t.read("events").select("event_id", "user_id"), sources, "user_id")
+
+
+@query("jon8_orphans", _ORPHANS)
 def jon8(t: Tables):
-    """Events whose page was never fetched."""
-    pages = t.read("pages").select(F.col("page_id").alias("event_id"))
-    return qa.orphans(t.read("events").select("event_id", "user_id"), pages, "event_id")
+    """Captures whose source is not a known one."""
+    return _orphans(t)
 
 
 @query(
     "qlt1_constraints",
-    f"""WITH a AS (SELECT * FROM ({_TITLED})), l AS (SELECT * FROM ({d.LISTED}))
+    f"""WITH a AS (SELECT * FROM ({_TITLED})), l AS (SELECT * FROM ({d.LISTED})), c AS ({_CODES})
       SELECT 'host lower case' AS rule, count(*) FILTER (hostname <> lower(hostname))::BIGINT AS violations FROM l
+      UNION ALL SELECT 'host present', count(*) FILTER (hostname IS NULL)::BIGINT FROM l
+      UNION ALL SELECT 'priority present', count(*) FILTER (priority IS NULL)::BIGINT FROM l
       UNION ALL SELECT 'language normalised', count(*) FILTER (lang <> {d.language('lang')})::BIGINT FROM documents
+      UNION ALL SELECT 'code part1 unique', (count(part1) - count(DISTINCT part1))::BIGINT FROM c
+      UNION ALL SELECT 'code part3 unique', (count(part3) - count(DISTINCT part3))::BIGINT FROM c
+      UNION ALL SELECT 'code name unique', (count(ref_name) - count(DISTINCT ref_name))::BIGINT FROM c
+      UNION ALL SELECT 'code present', count(*) FILTER (part3 IS NULL OR ref_name IS NULL)::BIGINT FROM c
       UNION ALL SELECT 'key unique', (count(*) - count(DISTINCT hostpath_surt))::BIGINT FROM a
+      UNION ALL SELECT 'article present', count(*) FILTER (hostpath_surt IS NULL OR host IS NULL)::BIGINT FROM a
       UNION ALL SELECT 'title unique per host', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM a WHERE title IS NOT NULL GROUP BY host, title)
       UNION ALL SELECT 'title present', count(*) FILTER (title IS NULL)::BIGINT FROM a
-      UNION ALL SELECT 'source known', count(*)::BIGINT FROM events WHERE user_id NOT IN (SELECT page_id FROM pages)""",
+      UNION ALL SELECT 'capture present', count(*) FILTER (user_id IS NULL OR ts IS NULL)::BIGINT FROM events
+      UNION ALL SELECT 'source known', count(*)::BIGINT FROM ({_ORPHANS})""",
 )
 def qlt1(t: Tables):
     arts = _titled(t)
-    orphans = jon8(t).agg(F.count(F.lit(1)).alias("violations")).select(F.lit("source known").alias("rule"), "violations")
+    codes = t.read("nation").select(
+        F.col("n_name").alias("ref_name"), F.expr("right(n_name, 2)").alias("part1"), F.expr("'n' || right(n_name, 1)").alias("part3")
+    )
     return qa.audit(
         qa.violations(t.listed(), "host lower case", F.col("hostname") != F.lower("hostname")),
+        qa.missing(t.listed(), "host present", "hostname"),
+        qa.missing(t.listed(), "priority present", "priority"),
         qa.violations(t.read("documents"), "language normalised", F.col("lang") != sc.language_iso639("lang")),
+        qa.duplicate_keys(codes, "code part1 unique", "part1"),
+        qa.duplicate_keys(codes, "code part3 unique", "part3"),
+        qa.duplicate_keys(codes, "code name unique", "ref_name"),
+        qa.missing(codes, "code present", "part3", "ref_name"),
         qa.duplicate_keys(arts, "key unique", "hostpath_surt"),
+        qa.missing(arts, "article present", "hostpath_surt", "host"),
         qa.duplicate_keys(arts, "title unique per host", "host", "title"),
-        qa.violations(arts, "title present", F.col("title").isNull()),
-        orphans,
+        qa.missing(arts, "title present", "title"),
+        qa.missing(t.read("events"), "capture present", "user_id", "ts"),
+        qa.violations(_orphans(t), "source known", F.lit(True)),
     )
 
 

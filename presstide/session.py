@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -52,15 +53,35 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/presstide/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes the shuffle files of a query when the query ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind; the setting is put back after."""
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+
+
 def persist_table(df, label: str):
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
     Unlike a cached plan, the files outlive any executor. Storing a per-key
     aggregate before joining it back also matters for skew: adaptive execution
     splits a hot key only where both join inputs are plain shuffles, and not
-    where one is an aggregate still sitting on its own shuffle.
+    where one is an aggregate still sitting on its own shuffle. The write's own
+    shuffle files go when it is done, so a chain of tables holds one step's at a time.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
