@@ -31,7 +31,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import persist_table
 
 #: Text of a block, unless one document alone has more.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Bits of a block's number within its task, and of a word's within its block. More of
+#: either is an error, never a wrong number.
+BLOCK_BITS, WORD_BITS = 12, 31
 #: Rows that a task hands on at once.
 BATCH = 1 << 16
 #: What splits pieces, and what splits words.
@@ -74,13 +77,17 @@ def relation(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bl
         once, ends = words.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum([0] + [len(w) for _, w in parts])
         at = np.concatenate([np.where(c < 0, -1, once[a + np.maximum(c, 0)]) if len(once) > a else c for (c, _), a in zip(parts, ends)]).astype(np.int32)
         counts = np.bincount(at[at >= 0], minlength=len(words.dictionary))
+        if number + 1 >> BLOCK_BITS != number >> BLOCK_BITS:
+            raise OverflowError("too many blocks in one task")
         row = {"block": [number], "lang": [lang], "at": [at.tobytes()], "words": [words.dictionary], "counts": [counts], "n": [int(counts.sum())]}
         return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) if f.name not in ("words", "counts") else pa.ListArray.from_arrays([0, len(counts)], pa.array(row[f.name][0], f.type.value_type)) for f in _BLOCK], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
         size: dict[str, int] = {}
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << BLOCK_BITS
+        if number >> (63 - WORD_BITS):
+            raise OverflowError("too many tasks to number their words")
 
         for batch in batches:
             for lang in pc.unique(batch["lang"]).to_pylist():
@@ -226,14 +233,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     blocks = persist_table(relation(docs, text_col, lang_col, block_bytes), "occurrences-1")
     sizes = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-    groups = _word_groups(blocks)
-    counted = groups.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    words = persist_table(counted.withColumn("w1", F.monotonically_increasing_id()), "frequent-1")
+    # One shuffle by word (or phrase) both counts and marks the rows that go back to their
+    # blocks. The first block's own number for a word is its number everywhere.
+    own = F.call_function("shiftleft", F.col("block"), F.lit(WORD_BITS)).bitwiseOR(F.col("code").cast("long"))
+    word = Window.partitionBy("lang", "word")
+    rows = _word_groups(blocks).withColumn("own", own).withColumns({"a": F.sum("n").over(word), "id": F.min("own").over(word)})
+    rows = persist_table(rows.filter(F.col("a") >= least).drop("n"), "frequent-rows-1")
+    words = rows.filter("own = id").select(F.col("id").alias("w1"), "lang", "word", "a")
     found = [words]
     if longest == 1:
         return sizes, found
-    back = groups.join(words.select("lang", "word", F.col("w1").alias("id")), ["lang", "word"]).select("block", "code", "id")
-    level = persist_table(_first_level(blocks, back), "level-1")
+    level = persist_table(_first_level(blocks, rows.select("block", "code", "id")), "level-1")
     for k in range(2, longest + 1):
         names = _word_columns(k)
         groups = _longer_groups(level, k)
@@ -241,7 +251,6 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             last = groups.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
             found.append(persist_table(last, f"frequent-{k}"))
             break
-        # One shuffle by phrase both counts and marks the rows that go back to their blocks.
         phrase = Window.partitionBy(*names)
         rows = groups.withColumn("a", F.sum("n").over(phrase)).filter(F.col("a") >= least)
         rows = rows.withColumn("turn", F.row_number().over(phrase.orderBy("block"))).drop("n")
