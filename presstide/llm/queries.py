@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their check SQL."""
 
-from . import chat_rotation, collocations, fill_middle, html_layout, iblt, minhash_dedup, mixing, onebit_search, packing, quality_fm, secret_scan, url_filter
+from . import chat_rotation, collocations, fill_middle, html_layout, iblt, minhash_dedup, mixing, onebit_search, packing, quality_fm, repeats, secret_scan, url_filter
 
 QUERIES = {
     "op1_quality": quality_fm.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8,
     "op9_near_dedup": minhash_dedup.op9,
     "op10_fingerprints": iblt.op10,
+    "op11_repeats": repeats.op11,
     "op12_collocations": collocations.op12,
     "op13_fill_middle": fill_middle.op13,
 }
@@ -20,5 +21,6 @@ QUERIES = {
 CHECK_SQL = {
     "op4_rotate_chats": chat_rotation.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op11_repeats": repeats.op11,
     "op12_collocations": collocations.OP12_SQL,
 }
