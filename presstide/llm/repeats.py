@@ -13,12 +13,12 @@ a longest previous factor of LENGTH or more.
 2. Sorted by (key, ctx, place) over range partitions, the first run of each ctx is kept,
    the later ones are repeats. Where a key has several ctx, their first runs are
    candidates: parts of them may be equal.
-3. Candidates fetch their text. In chunks of the order (key, place) their windows are
+3. Candidates fetch their text. Key by key, and many keys at once, their windows are
    suffix-sorted, cut off after LENGTH bytes; previous and next smaller places in that
    order give each one's longest previous factor.
-4. Ranges and chunks may cut a key. What a cut leaves open is decided by one more
-   round: the windows of cut keys, by the 128 bits of two hashes that cover them, are
-   grouped for their least place, with partial sums, so no key is one task's group.
+4. A key with more than ``BLOCK`` candidates is dealt out in parts, each like a key. What
+   its parts leave open is decided by one more round: those windows, by the 128 bits of
+   two hashes that cover them, are grouped for their least place, with partial sums.
 5. Spans meet their texts by (id, hash of the text).
 
 Keys and places are all that is shuffled for text without repeats; a passage that is
@@ -39,8 +39,10 @@ from .common import id_and_text, mix64, persist_table, slices
 LENGTH, GRAM = 100, 32
 #: Anchors that a window chooses from.
 CHOICE = LENGTH - GRAM + 1
-#: Bytes of candidate texts that a task sorts at once.
+#: Bytes of candidate texts that a task sorts at once, or one key's if it has more.
 CHUNK = 1 << 21
+#: Candidates of a key that one task sorts.
+BLOCK = 4096
 
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -212,7 +214,7 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
 
 def _texts_of(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Each candidate run with the text it covers."""
-    wanted = candidates.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "lo", "n")).alias("runs"))
+    wanted = candidates.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "part", "lo", "n")).alias("runs"))
     wanted = persist_table(wanted.withColumnsRenamed({"doc_id": "w_id", "tag": "w_tag"}), "wanted-runs")
     rows = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tag") == F.col("w_tag"))).select("doc_id", "tag", "text", "runs")
 
@@ -229,9 +231,9 @@ def _texts_of(candidates: DataFrame, docs: DataFrame) -> DataFrame:
                 body = data.tobytes()
                 texts = pa.array([body[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
                 row = pa.array(row)
-                yield pa.RecordBatch.from_pydict({"key": flat.field("key"), "doc_id": part["doc_id"].take(row), "tag": part["tag"].take(row), "lo": flat.field("lo"), "text": texts})
+                yield pa.RecordBatch.from_pydict({"key": flat.field("key"), "part": flat.field("part"), "doc_id": part["doc_id"].take(row), "tag": part["tag"].take(row), "lo": flat.field("lo"), "text": texts})
 
-    return rows.mapInArrow(run, "key long, doc_id long, tag long, lo long, text binary")
+    return rows.mapInArrow(run, "key long, part int, doc_id long, tag long, lo long, text binary")
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -283,13 +285,20 @@ def has_previous_factor(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
 _FOUND = "doc_id long, tag long, lo long, n long, h1 long, h2 long"
 
 
+def _in_parts(candidates: DataFrame, block: int) -> DataFrame:
+    """``candidates`` with part: -1, or of a key with more than ``block`` of them one of several numbers."""
+    many = candidates.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > block)
+    many = persist_table(many.select("key", F.ceil(F.col("m") / block).alias("parts")), "hot-keys")
+    part = F.pmod(F.xxhash64("doc_id", "tag", "lo"), F.col("parts"))
+    return candidates.join(many, "key", "left").withColumn("part", F.coalesce(part, F.lit(-1)).cast("int")).drop("parts")
+
+
 def _factored(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Spans among candidates sorted by (key, place) within ranges, chunk by chunk, and with
-    h1 and h2 the windows left of a chunk's first and last key, which others may have too."""
+    """Spans among candidates that lie together by (key, part), and with h1 and h2 the
+    windows left of keys in parts, which other parts may have too."""
 
     def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        batch = table.to_batches()[0]
+        batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         data, ends = _arrow_bytes(batch["text"])
         begins = np.concatenate([[0], ends[:-1]])
         n = ends - begins - LENGTH + 1
@@ -297,15 +306,17 @@ def _factored(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
         row = np.repeat(np.arange(len(n)), n)
         offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
         starts = begins[row] + offset
-        key = batch["key"].to_numpy()
         null = np.asarray(batch["doc_id"].is_null())[row]
         ids, at = batch["doc_id"].fill_null(0).to_numpy()[row], batch["lo"].to_numpy()[row] + offset
         # Windows of different keys have different anchors, so equal ranks have equal keys.
         order = np.lexsort((at, ids, null))
         place = np.empty(total, np.int64)
         place[order] = np.cumsum(_changes(at[order], ids[order], null[order]))
-        gone = has_previous_factor(suffix_ranks(data, starts), place)
-        cut = ((key == key[0]) | (key == key[-1]))[row] & ~gone
+        part = batch["part"].to_numpy()[row]
+        # Parts of one key are told apart by their numbers, which come before the ranks.
+        _, group = np.unique(suffix_ranks(data, starts) * (part.max() + 2) + part, return_inverse=True)
+        gone = has_previous_factor(group, place)
+        cut = (part >= 0) & ~gone
         first = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1] & (row[1:] == row[:-1])]))
         last = np.flatnonzero(gone & ~np.append(gone[1:] & (row[1:] == row[:-1]), False))
         left = np.flatnonzero(cut)
@@ -327,12 +338,19 @@ def _factored(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "text", chunk):
-                held.append(part)
-                size += part["text"].nbytes
-                if size >= chunk:
-                    yield from work(held)
-                    held, size = [], 0
+            for rows in slices(batch, "text", chunk):
+                held.append(rows)
+                size += rows["text"].nbytes
+                if size < chunk:
+                    continue
+                # The last key's part may go on.
+                table = pa.Table.from_batches(held).combine_chunks()
+                new = np.flatnonzero(_changes(table["key"].to_numpy(), table["part"].to_numpy()))
+                cut = int(new[-1])
+                if cut:
+                    yield from work(table.slice(0, cut).to_batches())
+                held = table.slice(cut).to_batches()
+                size = sum(x["text"].nbytes for x in held) if cut else 0
         if held:
             yield from work(held)
 
@@ -347,7 +365,7 @@ def _settled(left: DataFrame) -> DataFrame:
     return left.join(least, ["h1", "h2"]).filter(place > F.col("least"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """doc_id, tag (xxhash64 of the text), spans: array of (lo, hi) in bytes, of every text with repeats.
 
     Spans may touch and overlap; together they cover the bytes that go. A null text is
@@ -360,8 +378,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranged = found.filter("key is not null").repartitionByRange("key", "ctx", F.col("doc_id").asc_nulls_last(), "lo")
     sorted_runs = ranged.sortWithinPartitions("key", "ctx", F.col("doc_id").asc_nulls_last(), "lo")
     known = persist_table(_sorted_out(sorted_runs), "sorted-runs")
-    covered = persist_table(_texts_of(known.filter("key is not null"), texts), "run-texts")
-    dealt = covered.repartitionByRange("key", F.col("doc_id").asc_nulls_last(), "lo").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "lo")
+    covered = persist_table(_texts_of(_in_parts(known.filter("key is not null"), block), texts), "run-texts")
+    dealt = covered.repartitionByRange("key", "part").sortWithinPartitions("key", "part")
     factored = persist_table(_factored(dealt, chunk), "factored")
     spans = found.filter("key is null").select("doc_id", "tag", "lo", "n")
     spans = spans.unionByName(known.filter("key is null").select("doc_id", "tag", "lo", "n"))
@@ -375,13 +393,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, block: int = BLOCK, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, what is left of the text in bytes, of every row.
 
     ``digest``: instead of kept its sha256, kept_sha256. Other columns of ``docs`` are not
     looked at. A cut may fall inside a character, so kept is binary.
     """
-    spans = repeated_spans(docs, id_col, text_col, chunk).withColumnsRenamed({"doc_id": "s_id", "tag": "s_tag"})
+    spans = repeated_spans(docs, id_col, text_col, chunk, block).withColumnsRenamed({"doc_id": "s_id", "tag": "s_tag"})
     texts = _texts(docs, id_col, text_col)
     rows = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left").select("doc_id", "text", "spans")
 

@@ -49,12 +49,12 @@ def passages(seed, n=60, share=0.5):
     return [(d, " ".join(r.choice(pool) if r.random() < share else prose(r.randint(0, 40)) for _ in range(r.randint(0, 6)))) for d in range(n)]
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, rp.CHUNK), (2, 3000), (3, 400)])
-def test_passages(spark, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,block", [(1, rp.CHUNK, rp.BLOCK), (2, 3000, 5), (3, 400, 2)])
+def test_passages(spark, seed, chunk, block):
     docs = passages(seed)
     random.Random(seed).shuffle(docs)
     want = plain(docs)
-    assert got(rp.without_repeats(frame(spark, docs).repartition(3), chunk=chunk, digest=True)) == want
+    assert got(rp.without_repeats(frame(spark, docs).repartition(3), chunk=chunk, block=block, digest=True)) == want
     assert sum(r[2] for r in want) > 1000
 
 
@@ -75,7 +75,7 @@ def test_hot_line_in_many_texts(spark):
     r = random.Random(9)
     line = "all rights reserved, no part of this may be copied or kept in any form without leave of its owner, who can be asked " * 2
     docs = [(d, "".join(r.choice("abcdefg ") for _ in range(150)) + line + "".join(r.choice("abcdefg ") for _ in range(150))) for d in range(300)]
-    assert got(rp.without_repeats(frame(spark, docs).repartition(4), chunk=5000, digest=True)) == plain(docs)
+    assert got(rp.without_repeats(frame(spark, docs).repartition(4), chunk=5000, block=40, digest=True)) == plain(docs)
 
 
 def test_whole_table(spark, small):
