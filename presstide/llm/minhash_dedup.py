@@ -4,11 +4,13 @@
    its digest and ``HASHES`` minima. Of a minimum only ``BITS`` low bits are kept,
    packed into a signature; before that, every ``ROWS`` minima give one band key.
 2. Texts with equal sets are one class (equal digests), whose least id stands for it.
-3. Within a band bucket every class is paired with the first; then, among classes not
-   yet in one component, with those that look most alike, in rounds that double until
-   no pair is left. Signatures discard pairs whose similarity, corrected for chance
+3. Within a band bucket every class is paired with the first. Then rounds join what is
+   left as a spanning forest is grown: each component tries its most alike edges to
+   others, one in the first round and ``MORE`` times as many in each next one, until no
+   edge is left. Signatures discard pairs whose similarity, corrected for chance
    agreement of the kept bits, lies 4.5 standard errors below the threshold.
-4. Pairs are confirmed on the full sets of their texts. Components join them.
+4. Pairs are confirmed on the full sets of their texts. Components join them. Edges
+   inside a component are never tried, refuted ones never again.
 
 With 48 bands of 5 rows, a pair at similarity 0.75 shares no band once in 400,000.
 A bucket is never one task's group: its first pairs are made along ranges, and those
@@ -23,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import hash_words, id_and_text, mix64, persist_table, slices, split_words
+from .common import hash_words, id_and_text, mix64, persist_table, slices, split_words, unused
 from .components import components
 
 SHINGLE = 5
@@ -35,9 +37,8 @@ HASHES = 2 * BANDS * ROWS
 PERCENT = 75
 #: Classes compared at once within a bucket, and partners of one pivot that one task confirms.
 BLOCK, PARTNERS = 8192, 512
-#: Most alike partners of a class that a round tries, in the first round; each next
-#: round tries as many times more.
-FIRST_PARTNERS = 64
+#: Each round tries so many times the edges of a component that the one before tried.
+MORE = 4
 #: Bits that tell whether a value is in a set; of a larger set they only tell less.
 SET_BITS = 1 << 26
 
@@ -163,7 +164,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose signatures look alike enough."""
     sigs = nodes.select("node", "signature")
     for side in ("a", "b"):
-        pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("signature").alias(f"sig_{side}")), side)
+        pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("signature").alias(f"sig_{side}")).hint("merge"), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +246,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
     wanted = persist_table(wanted.join(nodes.select("node", F.col("digest").alias("want")), "node"), "wanted")
     # Texts that are not wanted stay where they are.
     there = _marked(docs.select("doc_id", "text"), "doc_id", _set_bits(wanted, "node"), "there").filter("there")
-    rows = wanted.join(there, F.col("node") == F.col("doc_id")).select("a", "part", "role", "node", "want", "text")
+    rows = wanted.join(there.hint("merge"), F.col("node") == F.col("doc_id")).select("a", "part", "role", "node", "want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivots = None, {}
@@ -270,12 +271,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, least: float, partners: int, blocks: int) -> DataFrame:
-    """Pairs (a, b, cut) within buckets of classes in different components that look alike.
+def _across(members: DataFrame, least: float, edges: int, blocks: int) -> DataFrame:
+    """Edges (component, a, b, alike, cut) within buckets to classes of other components that look alike.
 
-    ``members``: key, node, component, signature, large. For each class the ``partners``
-    most alike; ``cut`` tells that there were more. Large buckets are cut into
-    ``blocks`` parts, each two of which meet in one task.
+    ``members``: key, node, component, signature, large. For each component in a bucket
+    its ``edges`` most alike ones; ``cut`` tells that there were more. Large buckets are
+    cut into ``blocks`` parts, each two of which meet in one task.
     """
     columns = ["key", "node", "component", "signature"]
     zero = F.lit(0)
@@ -284,31 +285,32 @@ def _across(members: DataFrame, least: float, partners: int, blocks: int) -> Dat
         own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
         large = members.filter("large").withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, F.lit(blocks - 1))))
         rows = rows.unionByName(large.select(*columns, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
-
-    def pairs(group: pa.Table) -> pa.Table:
-        node = group["node"].to_numpy()
-        comp = group["component"].to_numpy()
-        own = group["own"].to_numpy()
-        x, y = group["x"][0].as_py(), group["y"][0].as_py()
-        sigs = _words(group["signature"].combine_chunks())
-        found: list[tuple[int, int, bool]] = []
-        if len(np.unique(comp)) > 1:
-            left, right, others, of = np.flatnonzero(own == x), np.flatnonzero(own == y), None, None
-            for i in left[np.argsort(comp[left], kind="stable")]:
-                if comp[i] != of:
-                    of, others = comp[i], right[comp[right] != comp[i]]
-                # Within one block each pair is met once.
-                near = others[node[others] > node[i]] if x == y else others
-                est = similarity(sigs[i][None, :], sigs[near])
-                ok = np.flatnonzero(est >= least)
-                over = len(ok) > partners
-                for j in ok[np.argsort(-est[ok], kind="stable")[:partners]]:
-                    a, b = sorted((int(node[i]), int(node[near[j]])))
-                    found.append((a, b, over))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "cut": pa.array([f[2] for f in found], pa.bool_())})
-
-    out = rows.groupBy("key", "x", "y").applyInArrow(pairs, "a long, b long, cut boolean")
-    return out.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    schema = pa.schema([("component", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("alike", pa.float64()), ("cut", pa.bool_())])
+
+    def best(group: pa.Table) -> pa.Table:
+        node, comp, own = (group[c].to_numpy() for c in ("node", "component", "own"))
+        within = group["x"][0].as_py() == group["y"][0].as_py()
+        found = [[], [], [], [], []]
+        order = np.argsort(comp, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1]]))
+        if len(starts) > 1:
+            sigs = _words(group["signature"].combine_chunks())
+            for of in np.split(order, starts[1:]):
+                top, seen = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+                for i in of:
+                    others = np.flatnonzero((comp != comp[i]) & (within | (own != own[i])))
+                    alike = similarity(sigs[i][None, :], sigs[others])
+                    near = np.flatnonzero(alike >= least)
+                    seen += len(near)
+                    top = tuple(np.concatenate(t) for t in zip(top, (alike[near], np.full(len(near), node[i]), node[others[near]])))
+                    keep = np.lexsort((np.maximum(top[1], top[2]), np.minimum(top[1], top[2]), -top[0]))[:edges]
+                    top = tuple(t[keep] for t in top)
+                n = len(top[0])
+                for column, values in zip(found, ([comp[of[0]]] * n, np.minimum(top[1], top[2]), np.maximum(top[1], top[2]), top[0], [seen > edges] * n)):
+                    column.extend(values)
+        return pa.table([pa.array(c, f.type) for c, f in zip(found, schema)], schema=schema)
+
+    return rows.groupBy("key", "x", "y").applyInArrow(best, "component long, a long, b long, alike double, cut boolean")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,7 +343,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     links = links.unionByName(_confirmed(tried, docs, nodes, percent))
     groups = components(links)
 
-    partners = FIRST_PARTNERS
+    edges = 1
     while True:
         labelled = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = persist_table(labelled.select("node", "component", "signature", "bands"), "labelled")
@@ -352,18 +354,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         counted = _marked(counted.filter("low <> high"), "key", cut_keys, "was_cut")
         mixed = _set_bits(counted.filter("n > 2 or was_cut"), "key")
         rows = _marked(_marked(members, "key", mixed, "mixed").filter("mixed"), "key", large, "large")
-        pairs = _across(rows, least, partners, blocks).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left")
+        pairs = _across(rows, least, edges, blocks).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left")
         pairs = persist_table(pairs, "across")
         # A cut counts even where all that was kept has been tried.
         seen = pairs.agg(F.count_if(F.col("old").isNull()).alias("new"), F.max("cut").alias("cut")).first()
         if seen["new"]:
-            new = pairs.filter("old is null").select("a", "b")
+            # Met in several buckets, a component's best edges are its best of all of them.
+            new = pairs.filter("old is null").select("component", "a", "b", "alike").distinct()
+            turn = F.row_number().over(Window.partitionBy("component").orderBy(F.col("alike").desc(), "a", "b"))
+            new = persist_table(new.withColumn("turn", turn).filter(F.col("turn") <= edges).select("a", "b").distinct(), "edges")
             tried = persist_table(tried.unionByName(new), "tried")
             links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(new, docs, nodes, percent))
             groups = components(links)
-        if not seen["cut"]:
+        elif not seen["cut"]:
             break
-        partners *= FIRST_PARTNERS
+        edges *= MORE
 
     joined = found.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
@@ -377,12 +382,13 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
     an id all stay.
     """
     found = persist_table(near_duplicates(docs, percent, id_col, text_col), "near-duplicates")
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    shared = persist_table(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("shared_id")), "shared-ids")
+    kept_id, shared_id = unused(docs, "kept_id", "shared_id")
+    kept = found.filter("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    rows = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
+    shared = persist_table(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(shared_id)), "shared-ids")
     if shared.isEmpty():
         return rows
-    same = F.col(id_col).cast("long") == F.col("shared_id")
+    same = F.col(id_col).cast("long") == F.col(shared_id)
     one = rows.join(shared, same, "left_semi").groupBy(F.col(id_col).alias("one_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias("row"))
     return rows.join(shared, same, "left_anti").unionByName(one.select("row.*"))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, persist_table
+from .common import WORD, persist_table, unused
 
 #: Hex digits of the shuffle hash that name a range of a source's queue.
 BUCKET_DIGITS = 3
@@ -120,27 +120,38 @@ def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sourc
 
     The one document at which the budget ends may be taken in part; then its last copy
     is its first words, set one blank apart, and ``length_col`` is the length of that.
-    Texts move once, to their row of the queue; rows that agree in id, source and size
-    are paired with the queue's in the order of a hash of their text.
+    Texts move once, to their row of the queue. Only rows that share an id are numbered,
+    by (id, source, size) in the order of a hash of their text. A null text has no words
+    and is never taken; a null id is one more id; an empty table gives none. Columns of
+    ``docs`` may have any names.
     """
-    keys = [id_col, source_col, "mix_size"]
-    sized = docs.withColumn("mix_size", words(text_col))
+    size, turn, copy, text, q_id, q_source, q_size, q_taken, q_turn = unused(
+        docs, "mix_size", "mix_turn", "mix_copy", "mix_text", "q_id", "q_source", "q_size", "q_taken", "q_turn"
+    )
     taken = queue(docs, words(text_col), [id_col], id_col=id_col, source_col=source_col, **options)
-    taken = taken.select(F.col(id_col).alias("q_id"), F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("taken").alias("q_taken"))
-    sized = sized.withColumn("mix_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text_col))))
-    taken = taken.withColumn("q_turn", F.row_number().over(Window.partitionBy("q_id", "q_source", "q_size").orderBy(F.col("q_taken").desc())))
+    taken = taken.select(F.col(id_col).alias(q_id), F.col("source").alias(q_source), F.col("size").alias(q_size), F.col("taken").alias(q_taken))
+    taken = persist_table(taken, "mix-taken")
     # Rows of which nothing is taken leave here; of size 0 there is nothing to take.
-    taken = taken.filter("q_taken > 0")
-    same = F.col(id_col).eqNullSafe(F.col("q_id")) & F.col(source_col).eqNullSafe(F.col("q_source")) & (F.col("mix_size") == F.col("q_size")) & (F.col("mix_turn") == F.col("q_turn"))
-    rows = sized.join(taken, same)
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("q_taken") / F.col("mix_size")).cast("int"))))
-    rest = F.col("q_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")
+    same_id = F.col(id_col).eqNullSafe(F.col(q_id))
+    many = persist_table(taken.groupBy(q_id).agg(F.count("*").alias(q_size)).filter(F.col(q_size) > 1).select(q_id), "mix-shared-ids")
+    shared = not many.isEmpty()
+    alone = taken.join(many.withColumnRenamed(q_id, size), F.col(q_id).eqNullSafe(F.col(size)), "left_anti") if shared else taken
+    rows = docs.join(alone.filter(F.col(q_taken) > 0).hint("merge"), same_id).select(*docs.columns, q_size, q_taken)
+    if shared:
+        keys = [id_col, source_col, size]
+        sized = docs.join(many, same_id, "left_semi").withColumn(size, words(text_col))
+        sized = sized.withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text_col))))
+        turns = taken.join(many.withColumnRenamed(q_id, size), F.col(q_id).eqNullSafe(F.col(size)), "left_semi")
+        turns = turns.withColumn(q_turn, F.row_number().over(Window.partitionBy(q_id, q_source, q_size).orderBy(F.col(q_taken).desc()))).filter(F.col(q_taken) > 0)
+        same = same_id & F.col(source_col).eqNullSafe(F.col(q_source)) & (F.col(size) == F.col(q_size)) & (F.col(turn) == F.col(q_turn))
+        rows = rows.unionByName(sized.join(turns, same).select(*docs.columns, q_size, q_taken))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(q_taken) / F.col(q_size)).cast("int"))))
+    rest = F.col(q_taken) - (F.col(copy) - 1) * F.col(q_size)
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")), " ")
-    text = F.when(rest < F.col("mix_size"), part).otherwise(F.col(text_col))
-    out = rows.withColumn("mix_text", text)
+    out = rows.withColumn(text, F.when(rest < F.col(q_size), part).otherwise(F.col(text_col)))
     if length_col is not None:
-        out = out.withColumn(length_col, F.when(rest < F.col("mix_size"), F.length("mix_text")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.withColumn(text_col, F.col("mix_text")).select(*docs.columns)
+        out = out.withColumn(length_col, F.when(rest < F.col(q_size), F.length(text)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return out.withColumn(text_col, F.col(text)).select(*docs.columns)
 
 
 def op5(spark, sf_dir):

@@ -10,7 +10,8 @@ from presstide.llm import chat_rotation, html_layout, iblt, minhash_dedup, mixin
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns that operators use within, given by the caller with other meanings.
-CLASH = ("score", "taken", "size", "spans", "rank", "key", "node", "bucket", "vector", "component", "draw", "label")
+CLASH = ("score", "taken", "size", "spans", "rank", "key", "node", "bucket", "vector", "component", "draw", "label",
+         "mix_size", "mix_turn", "mix_copy", "mix_text", "q_id", "q_source", "q_size", "q_taken", "q_turn", "kept_id", "shared_id", "one_id", "row")
 LONG = "word " * 60_000
 
 
