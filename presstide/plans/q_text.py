@@ -10,6 +10,7 @@ from ..functions import urlkeys as uk
 from ..operators import rollups as ru
 from ..operators import search as se
 from ..operators import textrollups as tr
+from ..operators import textstore as ts
 from ..operators import trends as td
 from ..session import persist_table, scratch_dir
 from . import duck as d
@@ -189,29 +190,30 @@ _theta_query("agg21_term_language_month_theta", True, False)
 _theta_query("agg22_term_language_month_host_theta", True, True)
 
 
-def _family_sql(terms: bool) -> str:
+def _family_sql(terms: bool, unit: str = "month") -> str:
     """Both groupings of the family, stacked."""
     term = "g.term, " if terms else ""
     rows = "grams g JOIN arts a ON a.id = g.id" if terms else "arts a"
     ctes = d.TEXT_CTES if terms else f"WITH arts AS ({d.ARTICLES})"
     keys = ("term, " if terms else "") + "language, time"
-    names = ("term AS alltext, " if terms else "") + "language, time AS timestamp_published_month"
-    return f"""{ctes}, x AS (SELECT {term}a.language, CAST(date_trunc('month', a.timestamp_published) AS TIMESTAMP) AS time,
+    names = ("term AS alltext, " if terms else "") + f"language, time AS timestamp_published_{unit}"
+    return f"""{ctes}, x AS (SELECT {term}a.language, CAST(date_trunc('{unit}', a.timestamp_published) AS TIMESTAMP) AS time,
         {d.unsurt_host('a.hostpath_surt')} AS host, a.hostpath_surt FROM {rows})
       SELECT {names}, host, true AS by_host, count(*) AS docs, count(DISTINCT hostpath_surt) AS urls FROM x GROUP BY {keys}, host
       UNION ALL SELECT {names}, NULL, false, count(*), count(DISTINCT hostpath_surt) FROM x GROUP BY {keys}"""
 
 
-def _family_query(name, terms):
-    @query(name, _family_sql(terms))
+def _family_query(name, terms, unit="month"):
+    @query(name, _family_sql(terms, unit))
     def run(t: Tables):
         arts = t.alltext() if terms else t.articles()
-        both = tr.text_rollup_family(arts, "month", terms)
+        both = tr.text_rollup_family(arts, unit, terms)
         return both.withColumn("urls", F.theta_sketch_estimate("hostpath_surt")).drop("hostpath_surt")
 
 
 _family_query("agg50_family", False)
 _family_query("agg50_family_terms", True)
+_family_query("agg50_family_days", False, "day")
 
 _LEXEME_BUNDLE = d.TEXT_CTES + """ SELECT {keys}, count(DISTINCT url) AS url, count(DISTINCT hostpathquery_surt) AS hostpathquery,
   count(DISTINCT hostpath_surt) AS hostpath FROM (SELECT DISTINCT id, lexeme AS alltext FROM tok) g JOIN
@@ -236,16 +238,51 @@ def agg28(t: Tables):
 
 # Trends ----------------------------------------------------------------------
 
+def _store(t: Tables, terms: bool):
+    """The monthly rollup as a stored table, which an application writes once for all its requests."""
+
+    def make():
+        rows = ts.build(t.alltext() if terms else t.articles(), "month", terms)
+        return ts.write_batch(rows, scratch_dir(t.spark, "text-rollup"))
+
+    path = ts.once(t.spark, (t.dir, "month", terms), make)
+    return ts.open_store(t.spark, path, "month", terms, merged=True)
+
+
 def _total(t: Tables):
-    return tr.text_rollup(t.articles(), "month")
+    return ts.counts(_store(t, False))
 
 
 def _counts(t: Tables):
-    return tr.text_rollup(t.alltext(), "month", terms=True)
+    return ts.counts(_store(t, True))
 
 
 def _sketches(t: Tables):
-    return tr.text_rollup(t.alltext(), "month", terms=True, sketch=True)
+    return _store(t, True).drop("docs")
+
+
+_STORED_MEASURES = "count(hostpath_surt) AS docs, count(DISTINCT hostpath_surt)"
+
+
+@query("snk5_text_rollup_batches", _rollup_sql("month", True, False).replace("MEASURE", _STORED_MEASURES))
+def snk5_text(t: Tables):
+    """The n-gram rollup stored in two batches, one of them run twice, and opened as one."""
+    path, arts = scratch_dir(t.spark, "text-rollup"), t.alltext()
+    for batch, part in ((0, arts.filter("id % 2 = 0")), (1, arts.filter("id % 2 <> 0")), (1, arts.filter("id % 2 <> 0"))):
+        ts.write_batch(ts.build(part, "month", True), path, batch=batch)
+    opened = ts.open_store(t.spark, path, "month", True)
+    return opened.withColumn("hostpath_surt", F.theta_sketch_estimate("hostpath_surt"))
+
+
+@query("snk5_text_rollup_compacted", _rollup_sql("day", False, True).replace("MEASURE", _STORED_MEASURES))
+def snk5_text_day(t: Tables):
+    """The daily rollup by host, stored in three batches and compacted to one."""
+    path = scratch_dir(t.spark, "text-rollup")
+    for batch in range(3):
+        ts.write_batch(ts.build(t.articles().filter(F.col("id") % 3 == batch), "day", False, True), path, "day", batch)
+    whole = ts.compact(t.spark, path, scratch_dir(t.spark, "text-rollup"), "day", False, True)
+    opened = ts.open_store(t.spark, whole, "day", False, True, merged=True)
+    return opened.withColumn("hostpath_surt", F.theta_sketch_estimate("hostpath_surt"))
 
 
 _CAL = f"SELECT CAST(unnest(generate_series(TIMESTAMP '{LO}', TIMESTAMP '{HI}', INTERVAL 1 MONTH)) AS TIMESTAMP) AS time"
@@ -292,6 +329,13 @@ def tsr2(t: Tables):
 _FILL_SQL = f"WITH arts AS ({d.ARTICLES}), cal AS ({_CAL}), tot AS ({_TOTALS}) SELECT time, coalesce(total, 0) AS total FROM cal LEFT JOIN tot USING (time)"
 
 
+@query("tsr2_month_calendar", "SELECT time, count(o_orderkey) AS n FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2020-12-01', INTERVAL 1 MONTH)) AS TIMESTAMP) AS time) LEFT JOIN orders ON date_trunc('month', o_orderdate) = time GROUP BY time")
+def tsr2_months(t: Tables):
+    """The 252 months of 2000 to 2020, most of them empty here."""
+    per = t.read("orders").groupBy(sc.month_of(F.col("o_orderdate").cast("timestamp")).alias("time")).agg(F.count(F.lit(1)).alias("n"))
+    return td.fill(per, td.calendar(t.spark, "2000-01-01", "2020-12-01"), ["n"])
+
+
 @query("tsr3_gap_fill", _FILL_SQL)
 def tsr3(t: Tables):
     return td.fill(td.totals(_total(t), "en", LO, HI), td.calendar(t.spark, LO, HI), ["total"])
