@@ -43,6 +43,9 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "bearer": 0.8,
     "auth": 0.7, "signature": 0.5,
 }
+#: Characters of a value put together from several parts, beyond which its quality hardly
+#: changes; its spans are those of all parts.
+JOINED = 1024
 #: Least product of a name's weight and its literal's quality.
 LEAST = 0.45
 #: No lexer is run on texts without one of these, nor a pattern on texts without any hit of its own filter.
@@ -50,17 +53,29 @@ LEAST = 0.45
 _NAMES = "(?i)" + "|".join("[^A-Za-z0-9]*".join(k) for k in SENSITIVE if not any(o != k and o in k for o in SENSITIVE))
 _FILTER = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
-_LEX = re.compile(
-    r"""(?P<comment>(?<!:)//|\#(?=[\s#!]))
-      |(?P<string>(?:(?<!\w)[rRbBuUfF]{1,2}|(?<!\w))(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'(?!\w)|`[^`\n]*`))
-      |(?P<name>[A-Za-z_$](?:[\w$]|[.-](?=\w))*)
-      |(?P<op>:=|=>|==|!=|<=|>=|[:=])
-      |(?P<plus>\+)
-      |(?P<bare>[0-9][\w+/=.-]*)
-      |(?P<nl>\n)
-      |(?P<other>[^\s])""",
-    re.VERBOSE,
-)
+#: Strings by their quote; a single quote before a letter closes none.
+_STRINGS = {'"': r'''"(?:[^"\\\n]|\\.)*+"''', "'": r"""'(?:[^'\\\n]|\\.)*+'""", "`": r"`[^`\n]*+`"}
+_STRING = {q: re.compile(x) for q, x in _STRINGS.items()}
+
+
+def _lexer(quotes: str) -> re.Pattern:
+    """The lexer for places from which strings in these quotes can close."""
+    strings = "|".join(_STRINGS[q] + (r"(?!\w)" if q == "'" else "") for q in quotes)
+    return re.compile(
+        rf"""(?P<comment>(?<!:)//|\#(?=[\s#!]))
+          |(?P<string>(?:(?<!\w)[rRbBuUfF]{{1,2}}|(?<!\w))(?:{strings}))
+          |(?P<name>[A-Za-z_$](?:[\w$]|[.-](?=\w))*)
+          |(?P<op>:=|=>|==|!=|<=|>=|[:=])
+          |(?P<plus>\+)
+          |(?P<bare>[0-9][\w+/=.-]*)
+          |(?P<nl>\n)
+          |(?P<other>[^\s])""",
+        re.VERBOSE,
+    )
+
+
+#: By whether double and single quotes are known to stay open up to the end of the line.
+_LEXERS = {(d, s): _lexer(("" if d else '"') + ("" if s else "'") + "`") for d in (False, True) for s in (False, True)}
 _ASSIGNS = frozenset((":", "=", ":=", "=>"))
 #: An unquoted value: to white space or a comma, or to a quote that opens a string.
 _OPENS = re.compile(r"""[^\S\n]*(?!(?<!:)//|\#[\s#!]|[rRbBuUfF]{1,2}["'])(?=[^\s,"'`(\[{:=])""")
@@ -150,6 +165,8 @@ def pairs(text: str, comments: bool = False) -> Iterator[tuple[str, str, list[tu
                     value, spans = value + t[1:-1], [*spans, (a + 1, b - 1)]
                 elif k in ("name", "word") and (const := t if t in known else t.rstrip(";)]}")) in known:
                     value, spans = value + known[const][0], [*spans, *known[const][1]]
+                    # A constant that holds itself several times has each part once.
+                    value, spans = (value[:JOINED] if len(spans) > 1 else value), list(dict.fromkeys(spans))
                 elif k == "bare" or k == "word" and after not in ("op", "plus"):
                     value, spans = value + t, [*spans, (a, b)]
                 else:
@@ -169,13 +186,16 @@ def pairs(text: str, comments: bool = False) -> Iterator[tuple[str, str, list[tu
                 i += 2
 
     at, runs = 0, _Runs(text)
+    # Where the line ends in which a quote is known to close no more: one that is open at a
+    # place has only escaped ones after it, which open strings that stay open too.
+    open_to = {'"': 0, "'": 0, "`": 0}
     while True:
         if len(tokens) > 1 and tokens[-1][0] == "op" and tokens[-1][1] in _ASSIGNS and tokens[-2][0] in ("name", "string", "word") and tokens[-1][3] == at:
             a, b = runs.value(at, known)
             if a < b:
                 tokens.append(("bare" if text[a].isdigit() else "word", text[a:b], a, b))
                 at = b
-        m = _LEX.search(text, at)
+        m = _LEXERS[at < open_to['"'], at < open_to["'"]].search(text, at)
         if not m:
             break
         kind, at = m.lastgroup, m.end()
@@ -198,6 +218,9 @@ def pairs(text: str, comments: bool = False) -> Iterator[tuple[str, str, list[tu
                 tokens.clear()
         else:
             t, a = m.group(), m.start()
+            if kind == "other" and t in _STRING and a >= open_to[t] and not _STRING[t].match(text, a):
+                line = text.find("\n", a)
+                open_to[t] = line if line >= 0 else len(text)
             if kind == "string":
                 skip = min(i for i, c in enumerate(t) if c in "\"'`")
                 t, a = t[skip:], a + skip

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import os
+import time
 from urllib.parse import unquote
 
 import pytest
@@ -101,6 +102,17 @@ def test_secrets(spark, docs, none):
     assert out == {(1, 400_009): "x " * 200_000 + '<secret>"', (2, 6): None, (2, 4): "fine"}
 
 
+def test_hostile_texts_are_lexed_in_time():
+    start = time.monotonic()
+    doubled = 'token = "Zx81kk29aQ7"\n' + "token = token + token\n" * 400
+    assert {x[:2] for x in secret_scan.literals(doubled)} == {(9, 20)}
+    cut = '{"a": "' + '{\\"k\\": \\"v\\"}, ' * 60_000
+    assert secret_scan.literals(cut + '\npwd = "Zx81kk29aQ7"')[0][2] == "pwd"
+    single = "x = 'it\\'s " + "\\'a\\' " * 100_000
+    assert secret_scan.literals(single + "\npwd = 'Zx81kk29aQ7'")[0][2] == "pwd"
+    assert time.monotonic() - start < 30
+
+
 def test_search(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [1e200, 0.0])]
     table = clash(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
