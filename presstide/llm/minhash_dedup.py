@@ -4,15 +4,16 @@
    its digest and ``HASHES`` minima. Of a minimum only ``BITS`` low bits are kept,
    packed into a signature; before that, every ``ROWS`` minima give one band key.
 2. Texts with equal sets are one class (equal digests), whose least id stands for it.
-3. Within a band bucket every class is paired with the first; then, among classes not
-   yet in one component, with those that look most alike, in rounds that double until
-   no pair is left. Signatures discard pairs whose similarity, corrected for chance
-   agreement of the kept bits, lies 4.5 standard errors below the threshold.
-4. Pairs are confirmed on the full sets of their texts. Components join them.
+3. Within a band bucket, classes whose signatures look alike are candidates: their
+   similarity, corrected for chance agreement of the kept bits, is not more than 4.5
+   standard errors below the threshold. A bucket gives links that join its candidates,
+   fewer than it has members. Components of these links are clusters.
+4. Each text moves to its cluster, where every pair that looks alike is held against
+   the full sets, save pairs joined already. Components of the confirmed links, again
+   fewer than members, are the result: pairs that are refuted are never rows.
 
 With 48 bands of 5 rows, a pair at similarity 0.75 shares no band once in 400,000.
-A bucket is never one task's group: its first pairs are made along ranges, and those
-inside are looked for between blocks of ``BLOCK`` classes.
+A bucket or cluster of any size is worked on in blocks, each two of which meet in a task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import hash_words, id_and_text, mix64, persist_table, slices, split_words, unused
 from .components import components
@@ -33,11 +34,8 @@ BANDS, ROWS, BITS = 48, 5, 4
 #: Minima of a signature; the first BANDS * ROWS of them make the band keys too.
 HASHES = 2 * BANDS * ROWS
 PERCENT = 75
-#: Classes compared at once within a bucket, and partners of one pivot that one task confirms.
-BLOCK, PARTNERS = 8192, 512
-#: Most alike partners of a class that a round tries, in the first round; each next
-#: round tries as many times more.
-FIRST_PARTNERS = 64
+#: Classes and shingles of a block; two blocks meet in one task.
+BLOCK, BLOCK_SHINGLES = 8192, 1 << 22
 #: Bits that tell whether a value is in a set; of a larger set they only tell less.
 SET_BITS = 1 << 26
 
@@ -126,11 +124,6 @@ def least_similarity(percent: int = PERCENT, errors: float = 4.5) -> float:
     return percent / 100 - errors * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    """Fixed-length binary values as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), HASHES * BITS // 64)
-
-
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, digest, signature, bands (null without shingles)."""
 
@@ -159,29 +152,51 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures look alike enough."""
-    sigs = nodes.select("node", "signature")
-    for side in ("a", "b"):
-        pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("signature").alias(f"sig_{side}")).hint("merge"), side)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keep = pa.array(similarity(_words(batch["sig_a"]), _words(batch["sig_b"])) >= least)
-                yield batch.select(["a", "b"]).filter(keep)
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
+def _alike(sets: list[np.ndarray], percent: int):
+    """A function (i, others) -> whether 100 * common >= percent * all, of sorted distinct sets.
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * common >= percent * all, of two sorted sets."""
-    low, high = (a, b) if len(a) < len(b) else (b, a)
-    if 100 * len(low) < percent * len(high):
-        return False
-    there = np.searchsorted(high, low)
-    both = int((high[np.minimum(there, len(high) - 1)] == low).sum())
-    return 100 * both >= percent * (len(low) + len(high) - both)
+    Many others are counted in one pass over all sets, few by a search each.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    begins = np.cumsum(size) - size
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), np.int64)
+
+    def same(i: int, others: np.ndarray) -> np.ndarray:
+        others = others[100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others])]
+        own = ids[begins[i] : begins[i] + size[i]]
+        mark[own] = 1
+        if len(others) * 4096 > len(ids):
+            both = np.add.reduceat(mark[ids], begins)[others]
+        else:
+            both = np.array([mark[ids[begins[j] : begins[j] + size[j]]].sum() for j in others], np.int64)
+        mark[own] = 0
+        return others[100 * both >= percent * (size[i] + size[others] - both)]
+
+    return same
+
+
+def _forest(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, same=None) -> list[tuple[int, int]]:
+    """Links that join all that look alike (and are, by ``same``), fewer than there are members.
+
+    ``left`` and ``right`` are the places of two blocks, equal for one block by itself.
+    A member is only held against those that no link has joined to it so far.
+    """
+    label = np.arange(len(sigs))
+    out = []
+    alone = left is right
+    for i in left:
+        near = right[label[right] != label[i]]
+        if alone:
+            near = near[near > i]
+        near = near[similarity(sigs[i][None, :], sigs[near]) >= least]
+        if same is not None and len(near):
+            near = same(i, near)
+        for j in near:
+            if label[j] != label[i]:
+                out.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
+    return out
 
 
 def _set_bits(values: DataFrame, column: str) -> DataFrame:
@@ -202,113 +217,107 @@ def _marked(rows: DataFrame, column: str, bits: DataFrame, mark: str) -> DataFra
     return out.withColumn(mark, F.coalesce(there, F.lit(False))).drop("bit_row", "bits")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every bucket member with the first one before it in its range.
+def _dealt(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """``rows`` with own, x, y: a group of several blocks is cut by a hash, and each two
+    of its blocks (and each by itself) meet under one (group, x, y)."""
+    own = F.pmod(F.xxhash64("digest"), blocks).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
+    return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], group: str, prepare) -> Iterator[dict]:
+    """The rows of each (group, x, y), in order, as columns; ``prepare`` gives a batch's columns as dict of lists."""
+    at, held = None, {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = prepare(batch)
+        where = np.stack([np.asarray(columns[c], np.int64) for c in (group, "x", "y")], axis=1)
+        cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), len(where)]
+        for a, b in zip(cuts, cuts[1:]):
+            here = tuple(where[a].tolist())
+            if here != at:
+                if held:
+                    yield held
+                at, held = here, {c: [] for c in columns}
+            for c, values in columns.items():
+                held[c].extend(values[a:b])
+    if held:
+        yield held
 
-    ``members``: key, node. Ranges of (key, node) may cut a bucket, and cut a very large
-    one into several, each part with a first member of its own. The keys at which a
-    range begins are rows too (key alone), as not all pairs of theirs are made.
+
+def _sides(run: dict) -> tuple[np.ndarray, np.ndarray]:
+    own = np.array(run["own"])
+    left = np.flatnonzero(own == run["x"][0])
+    return left, left if run["x"][0] == run["y"][0] else np.flatnonzero(own == run["y"][0])
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _candidates(members: DataFrame, least: float, blocks: int) -> DataFrame:
+    """Links (a, b) that join all classes of a bucket whose signatures look alike, a forest a bucket.
+
+    ``members``: key, digest, node, signature, large. Buckets marked large are cut into
+    ``blocks`` parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
-            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            to = np.where(first >= 0, node[first], pivot)
-            pair = to != node
-            found = [*zip(to[pair].tolist(), node[pair].tolist())]
-            begins = [int(key[0])] if last is None else []
-            last, pivot = key[-1], to[-1]
-            nulls, pairs = [None] * len(begins), [None] * len(found)
-            columns = ([*(f[0] for f in found), *nulls], [*(f[1] for f in found), *nulls], [*pairs, *begins])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "key"])
-
-    rows = members.select("key", "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    return rows.mapInArrow(run, "a long, b long, key long").distinct()
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked.
-
-    ``a`` is the pivot: its text is read once for ``PARTNERS`` partners at most, and a
-    task holds one pivot's set at a time.
+        found = []
+        for bucket in _runs(batches, "key", lambda batch: {c: batch[c].to_pylist() for c in ("key", "x", "y", "own", "node", "signature")}):
+            node = bucket["node"]
+            sigs = np.frombuffer(b"".join(bucket["signature"]), np.uint64).reshape(len(node), -1)
+            found.extend((node[i], node[j]) for i, j in _forest(sigs, *_sides(bucket), least))
+            if len(found) > 1 << 14:
+                yield _links(found)
+                found = []
+        if found:
+            yield _links(found)
+
+    rows = _dealt(members, "key", F.when(F.col("large"), F.lit(blocks)).otherwise(F.lit(1)))
+    return rows.select("key", "x", "y", "own", "node", "signature").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def _confirmed(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) that join all classes of a cluster whose full sets are as similar as asked.
+
+    ``clusters``: node, cluster. Candidates of one another share a cluster, so each text
+    moves to its cluster's task alone; one of more than ``BLOCK`` classes or
+    ``BLOCK_SHINGLES`` shingles is cut into blocks, each two of which meet in one task.
+    Every pair that looks alike is held against the full sets there, save those that
+    confirmed links have joined already.
     """
-    per = persist_table(pairs.groupBy("a").agg(F.count("*").alias("n")), "pivots")
-    dealt = pairs.join(per, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS)).cast("int"))
-    members = dealt.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("role"))
-    pivots = per.select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / PARTNERS) - 1).cast("int"))).alias("part"))
-    wanted = members.unionByName(pivots.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")))
-    wanted = persist_table(wanted.join(nodes.select("node", F.col("digest").alias("want")), "node"), "wanted")
+    wanted = nodes.join(clusters, "node").select("cluster", "node", F.col("digest").alias("want"), "n_shingles", "signature")
+    wanted = persist_table(wanted, "wanted")
+    size = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    large = persist_table(wanted.groupBy("cluster").agg(F.ceil(size).alias("blocks")).filter("blocks > 1"), "large-clusters")
     # Texts that are not wanted stay where they are.
     there = _marked(docs.select("doc_id", "text"), "doc_id", _set_bits(wanted, "node"), "there").filter("there")
-    rows = wanted.join(there.hint("merge"), F.col("node") == F.col("doc_id")).select("a", "part", "role", "node", "want", "text")
+    rows = wanted.join(there.hint("merge"), F.col("node") == F.col("doc_id")).join(large, "cluster", "left")
+    rows = rows.select("cluster", "node", "signature", "text", F.col("want").alias("digest"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+
+    def columns(batch: pa.RecordBatch) -> dict:
+        sets = [s for part in slices(batch, "text") for s in shingle_sets(part["text"])]
+        # Rows that share an id have a set each, and only one is meant.
+        meant = [i for i, (s, want) in enumerate(zip(sets, batch["digest"].to_pylist())) if digest(s) == want]
+        batch = batch.take(pa.array(meant, pa.int64()))
+        return {"sets": [sets[i] for i in meant]} | {c: batch[c].to_pylist() for c in ("cluster", "x", "y", "own", "node", "signature", "digest")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivots = None, {}
-        for batch in batches:
-            for part in slices(batch, "text"):
-                links = []
-                columns = (part[c].to_pylist() for c in ("a", "part", "role", "node", "want"))
-                for a, k, role, node, want, shingles in zip(*columns, shingle_sets(part["text"])):
-                    # Rows that share an id have a set each; a repeated row changes nothing.
-                    if digest(shingles) != want:
-                        continue
-                    if at != (a, k):
-                        at, pivots = (a, k), {}
-                    if role == 0:
-                        pivots[want] = shingles
-                    elif any(similar(shingles, p, percent) for p in pivots.values()):
-                        links.append((a, node))
-                if links:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(members: DataFrame, least: float, partners: int, blocks: int) -> DataFrame:
-    """Pairs (a, b, cut) within buckets of classes in different components that look alike.
-
-    ``members``: key, node, component, signature, large. For each class the ``partners``
-    most alike; ``cut`` tells that there were more. Large buckets are cut into
-    ``blocks`` parts, each two of which meet in one task.
-    """
-    columns = ["key", "node", "component", "signature"]
-    zero = F.lit(0)
-    rows = members.filter("not large").select(*columns, zero.alias("own"), zero.alias("x"), zero.alias("y"))
-    if blocks > 1:
-        own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-        large = members.filter("large").withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, F.lit(blocks - 1))))
-        rows = rows.unionByName(large.select(*columns, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
-
-    def pairs(group: pa.Table) -> pa.Table:
-        node = group["node"].to_numpy()
-        comp = group["component"].to_numpy()
-        own = group["own"].to_numpy()
-        x, y = group["x"][0].as_py(), group["y"][0].as_py()
-        sigs = _words(group["signature"].combine_chunks())
-        found: list[tuple[int, int, bool]] = []
-        if len(np.unique(comp)) > 1:
-            left, right, others, of = np.flatnonzero(own == x), np.flatnonzero(own == y), None, None
-            for i in left[np.argsort(comp[left], kind="stable")]:
-                if comp[i] != of:
-                    of, others = comp[i], right[comp[right] != comp[i]]
-                # Within one block each pair is met once.
-                near = others[node[others] > node[i]] if x == y else others
-                est = similarity(sigs[i][None, :], sigs[near])
-                ok = np.flatnonzero(est >= least)
-                over = len(ok) > partners
-                for j in ok[np.argsort(-est[ok], kind="stable")[:partners]]:
-                    a, b = sorted((int(node[i]), int(node[near[j]])))
-                    found.append((a, b, over))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "cut": pa.array([f[2] for f in found], pa.bool_())})
-
-    out = rows.groupBy("key", "x", "y").applyInArrow(pairs, "a long, b long, cut boolean")
-    return out.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        for cluster in _runs(batches, "cluster", columns):
+            # A row that is repeated changes nothing.
+            once = sorted({d: i for i, d in enumerate(cluster["digest"])}.values())
+            cluster = {c: [values[i] for i in once] for c, values in cluster.items()}
+            node = cluster["node"]
+            sigs = np.frombuffer(b"".join(cluster["signature"]), np.uint64).reshape(len(node), -1)
+            found = [(node[i], node[j]) for i, j in _forest(sigs, *_sides(cluster), least, _alike(cluster["sets"], percent))]
+            if found:
+                yield _links(found)
+
+    rows = _dealt(rows, "cluster", F.col("blocks")).select("cluster", "x", "y", "own", "node", "signature", "digest", "text")
+    return rows.mapInArrow(run, "a long, b long").filter("a <> b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,47 +332,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     docs = id_and_text(docs, id_col, text_col)
     found = persist_table(features(docs), "minhash")
     linked = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = persist_table(
-        linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")), "classes"
-    )
+    kept = ("n_shingles", "signature", "bands")
+    nodes = persist_table(linked.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.any_value(c).alias(c) for c in kept)), "classes")
     least = least_similarity(percent)
-    banded = nodes.select(F.explode("bands").alias("key"), "node")
+    banded = nodes.select(F.explode("bands").alias("key"), "digest", "node", "signature")
     buckets = persist_table(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     shared, large = _set_bits(buckets, "key"), _set_bits(buckets.filter(F.col("n") > BLOCK), "key")
-    blocks = -(-(buckets.agg(F.max("n")).first()[0] or 0) // BLOCK)
+    blocks = max(1, -(-(buckets.agg(F.max("n")).first()[0] or 0) // BLOCK))
+    members = _marked(_marked(banded, "key", shared, "shared").filter("shared"), "key", large, "large")
+    candidates = persist_table(_candidates(members, least, blocks), "candidates")
+    clusters = components(candidates).select("node", F.col("component").alias("cluster"))
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster").distinct())
 
     # Equal sets, and rows that share an id, join their classes.
     links = linked.groupBy("doc_id", "digest").agg(F.lit(1)).join(nodes.select("digest", "node"), "digest")
     links = links.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    stars = persist_table(_stars(_marked(banded, "key", shared, "shared").filter("shared")), "stars")
-    cut_keys = _set_bits(stars.filter("key is not null"), "key")
-    tried = persist_table(_alike(stars.filter("key is null").select("a", "b"), nodes, least), "tried")
-    links = links.unionByName(_confirmed(tried, docs, nodes, percent))
-    groups = components(links)
-
-    partners = FIRST_PARTNERS
-    while True:
-        labelled = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = persist_table(labelled.select("node", "component", "signature", "bands"), "labelled")
-        members = labelled.select(F.explode("bands").alias("key"), "node", "component", "signature")
-        counted = _marked(members.drop("signature"), "key", shared, "shared").filter("shared")
-        counted = counted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-        # A bucket of two that no range has cut has no pair but its first.
-        counted = _marked(counted.filter("low <> high"), "key", cut_keys, "was_cut")
-        mixed = _set_bits(counted.filter("n > 2 or was_cut"), "key")
-        rows = _marked(_marked(members, "key", mixed, "mixed").filter("mixed"), "key", large, "large")
-        pairs = _across(rows, least, partners, blocks).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left")
-        pairs = persist_table(pairs, "across")
-        # A cut counts even where all that was kept has been tried.
-        seen = pairs.agg(F.count_if(F.col("old").isNull()).alias("new"), F.max("cut").alias("cut")).first()
-        if seen["new"]:
-            new = pairs.filter("old is null").select("a", "b")
-            tried = persist_table(tried.unionByName(new), "tried")
-            links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(new, docs, nodes, percent))
-            groups = components(links)
-        if not seen["cut"]:
-            break
-        partners *= FIRST_PARTNERS
+    groups = components(links.unionByName(_confirmed(clusters, docs, nodes, least, percent)))
 
     joined = found.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

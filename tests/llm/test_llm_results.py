@@ -299,8 +299,8 @@ def test_near_duplicates(run, docs):
 
 
 def test_near_duplicates_at_the_threshold(spark, monkeypatch):
-    """Chains, hot groups and pairs right at 0.75; buckets larger than a block, few partners a round."""
-    monkeypatch.setattr(minhash_dedup, "FIRST_PARTNERS", 2)
+    """Chains, hot groups and pairs right at 0.75; buckets and clusters larger than a block."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 3000)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 50)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(60)]
