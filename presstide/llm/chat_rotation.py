@@ -101,7 +101,8 @@ p AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 's
 r AS (SELECT t.*, participant,
              CASE WHEN speaker = participant THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
       FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, CASE WHEN role = 'user' THEN regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') END AS name FROM r),
+h AS (SELECT *, CASE WHEN role = 'user' THEN array_to_string(list_transform(regexp_extract_all(speaker, '(?s).'), lambda c:
+             CASE WHEN regexp_full_match(c, '[\p{L}\p{M}\p{N}_-]') THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') END), '') END AS name FROM r),
 s AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM h),
 g AS (SELECT *, head || content || '<|im_end|>' || chr(10) AS segment FROM s),
 w AS (SELECT *, (row_number() OVER o - 1)::BIGINT AS position, (sum(length(segment)) OVER o)::BIGINT AS "end" FROM g

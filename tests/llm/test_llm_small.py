@@ -4,6 +4,7 @@ import os
 import time
 from urllib.parse import unquote
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,12 @@ def test_speakers_keep_their_names(spark):
     assert [r.speaker for r in rows] == [unquote(r.name) for r in rows] == speakers
     assert len({r.name for r in rows}) == len(speakers) and rows[0].name == speakers[0] and rows[2].name == "A%20B"
     assert all(r.segment == f"<|im_start|>user name={r.name}\nt<|im_end|>\n" for r in rows)
+    # The check SQL writes the same names.
+    with duckdb.connect() as db:
+        db.register("conversations", turns.toPandas())
+        names = db.execute(f"SELECT participant, position, name, segment FROM ({chat_rotation.OP4_SQL})").fetchall()
+    got = chat_rotation.rotate(turns).select("participant", "position", "name", "segment").collect()
+    assert sorted(map(str, names)) == sorted(str(tuple(r)) for r in got)
 
 
 def test_nothing_local_or_unbounded():
