@@ -651,7 +651,7 @@ def udx4(t: Tables):
       FROM ({d.CAPTURES})) c WHERE event_type IN ('view', 'click') AND language IS NOT NULL AND t <> ''""",
 )
 def ingest(t: Tables):
-    """Site ingest end to end: archives, page filter, extraction, article view."""
+    """Archive records to extracted pages: decode, page filter, extraction, title words."""
     from ..operators import extract as ex
 
     decoded = rc.decode_members(t.members(), "page_id", "member").filter(rc.is_page())

@@ -29,7 +29,7 @@ ONE_TERM = ["ha"]
     f"SELECT id, pos, lexeme FROM ({d.tokens('SELECT * FROM documents', 'text', 'doc_id', 'lang')})",
 )
 def txt01(t: Tables):
-    rows = tx.with_tokens(t.read("documents"), "text", "lang")
+    rows = tx.with_tokens(t.read("documents").select("doc_id", "text", "lang").hint("rebalance"), "text", "lang")
     rows = tx.explode_tokens(rows, "tokens", F.col("doc_id").alias("id"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -46,7 +46,9 @@ _LEMMAS = "SELECT DISTINCT language AS lang, lexeme AS form, left(lexeme, length
       FROM tt t LEFT JOIN lem l ON l.lang = t.language AND l.form = t.lexeme GROUP BY t.id""",
 )
 def txt01_lemmas(t: Tables):
-    texts = tx.with_tokens(t.articles().select("id", "language", "content"), "content", "language").drop("content")
+    texts = t.articles().select("id", "language", "content").hint("rebalance")
+    # Stored, since both the forms and the vectors are made of the tokens.
+    texts = persist_table(tx.with_tokens(texts, "content", "language").drop("content"), "tokens")
     forms = texts.select(F.col("language").alias("lang"), F.explode(tx.lexemes("tokens")).alias("form")).distinct()
     lemmas = forms.filter(F.col("form").like("___%s")).withColumn("lemma", F.expr("left(form, length(form) - 1)"))
     out = tx.with_lemmas(texts, "id", "tokens", "language", lemmas)
