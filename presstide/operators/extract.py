@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urlkeys import as_col
 
-# Named entities that are decoded; numeric ones are left as they are.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·"}
+# Named entities that are decoded; numeric ones all are.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·"}
+NUMERIC = r"&#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,7});"
 
 
 def _some(c: Column) -> Column:
@@ -26,7 +27,26 @@ def _unquoted(value: Column) -> Column:
     return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
+def _numeric(text: Column) -> Column:
+    """Numeric entities decoded; the replacement character for numbers that name none.
+
+    An ampersand is left as a named entity, so that it begins no other.
+    """
+
+    def piece(p: Column) -> Column:
+        hexadecimal = F.lower(F.substr(p, F.lit(3), F.lit(1))) == "x"
+        digits = F.when(hexadecimal, F.conv(F.substr(p, F.lit(4), F.length(p) - 4), 16, 10)).otherwise(F.substr(p, F.lit(3), F.length(p) - 3))
+        code = digits.cast("int")
+        none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(none, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+        return F.when(p.rlike(f"^{NUMERIC}$"), F.when(code == 38, "&amp;").when(code == 160, " ").otherwise(char)).otherwise(p)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){NUMERIC}|[^&]+|&"), F.lit(0))
+    return F.array_join(F.transform(pieces, piece), "")
+
+
 def _decoded(text: Column) -> Column:
+    text = _numeric(text)
     for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))

@@ -171,3 +171,20 @@ def test_every_form_of_link(spark):
     r = ex.extract_pages(spark.createDataFrame([(html,)], "html string")).first()
     assert [x.href for x in r.links] == ["x", "y?a=1&b=2", "z"]
     assert (r.description, r.published, r.canonical, r.author) == ("d < e", "2020-01-02", "https://c.test/", None)
+
+
+def test_entities(spark):
+    """Numbers in both bases, beyond 16 bits, of no character; an ampersand begins no new entity."""
+    cases = {
+        "caf&#233; &#xE9;&#XE9;": "caf\u00e9 \u00e9\u00e9",
+        "&#128512;&#x1F600;": "\U0001f600\U0001f600",
+        "&#0;&#xD800;&#1114112;": "\ufffd" * 3,
+        "&#38;lt; &amp;#233; &#38;amp;": "&lt; &#233; &amp;",
+        "a &# b &#; &#x; & c &#9999999999;": "a &# b &#; &#x; & c &#9999999999;",
+        "&#39;&apos;&quot;&#60;b&#62;": "''\"<b>",
+        "x&#160;y&nbsp;z": "x y z",
+    }
+    rows = [(i, f'<html><title>{t}</title><a href="/p?a=1&#38;b={i}">l</a></html>') for i, t in enumerate(cases)]
+    got = {r.id: r for r in ex.extract_pages(spark.createDataFrame(rows, "id int, html string")).collect()}
+    assert [got[i].title for i in sorted(got)] == list(cases.values())
+    assert got[3].links[0].href == "/p?a=1&b=3"
