@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -78,15 +78,28 @@ def parse(page: str) -> Node:
     """The tree of a page. Anything is accepted; nothing is reported."""
     root = Node("html", {})
     stack = [root]
+    # Where the open elements of each tag are in the stack, so that none is looked for.
+    places: dict[str, list[int]] = {"html": [0]}
     at = 0
 
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def text(a: int, b: int) -> None:
         if b > a:
             part = page[a:b]
             if "&" in part:
                 part = html.unescape(part)
             if stack[-1].tag == "head" and part.strip():
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(part)
 
     def open_(tag: str, attrs: dict[str, str]) -> Node:
@@ -96,15 +109,12 @@ def parse(page: str) -> Node:
 
     def close_implied(tag: str) -> None:
         ends, bounds = IMPLIED[tag]
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                return
-            if stack[i].tag in ends:
-                del stack[i:]
-                # A row ends the cells, then the row before it.
-                if tag in ("tr", "thead", "tbody", "tfoot"):
-                    close_implied(tag)
-                return
+        i = last(ends)
+        if i > max(0, last(bounds)):
+            cut(i)
+            # A row ends the cells, then the row before it.
+            if tag in ("tr", "thead", "tbody", "tfoot"):
+                close_implied(tag)
 
     pos = page.find("<")
     while pos >= 0:
@@ -117,33 +127,30 @@ def parse(page: str) -> Node:
         if m["name"] is not None:
             tag = m["name"].lower()
             if m["end"]:
-                if tag == "p" and not any(n.tag == "p" for n in stack):
+                if tag == "p" and not places.get("p"):
                     open_("p", {})
                 elif tag == "br":
                     open_("br", {})
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _SCOPE and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
-                        break
+                i = last([tag])
+                if i > 0 and (tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot") or i >= last(_SCOPE)):
+                    cut(i)
             else:
                 attrs = _attributes(m["attrs"])
-                if tag in ("html", "body") and any(n.tag == tag for n in stack):
+                if tag in ("html", "body") and places.get(tag):
                     # A second one only adds what the first lacks.
-                    own = next(n for n in stack if n.tag == tag)
+                    own = stack[places[tag][0]]
                     own.attrs = {**attrs, **own.attrs}
                 else:
                     if stack[-1].tag == "head" and tag not in _HEAD:
-                        stack.pop()
+                        cut(len(stack) - 1)
                     if tag in IMPLIED:
                         close_implied(tag)
                     if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-                        stack.append(open_("tr", {}))
-                    if tag in _FOREIGN_UNSEEN and any(n.tag in FOREIGN for n in stack):
+                        push(open_("tr", {}))
+                    if tag in _FOREIGN_UNSEEN and last(FOREIGN) >= 0:
                         attrs["hidden"] = ""
                     node = open_(tag, attrs)
-                    empty = m["attrs"].rstrip().endswith("/") and (tag in FOREIGN or any(n.tag in FOREIGN for n in stack))
+                    empty = m["attrs"].rstrip().endswith("/") and (tag in FOREIGN or last(FOREIGN) >= 0)
                     if empty:
                         pass
                     elif tag in RAW:
@@ -154,7 +161,7 @@ def parse(page: str) -> Node:
                             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
                         at = end.end() if end else len(page)
                     elif tag not in VOID:
-                        stack.append(node)
+                        push(node)
         pos = page.find("<", at)
     text(at, len(page))
     return root
@@ -300,9 +307,44 @@ def _lay_table(grid: list[list[Node]], out: Lines, depth: int) -> None:
             out.put(line.rstrip())
 
 
+#: Nesting up to which blocks have lines and places of their own.
 MAX_DEPTH = 200
 
 
+def _first_number(node: Node) -> int:
+    start = node.attrs.get("start", "1")
+    return int(start) if start.lstrip("-").isascii() and start.lstrip("-").isdigit() and len(start) < 10 else 1
+
+
+def _label(node: Node) -> str:
+    return node.attrs.get("alt" if node.tag == "img" else "value", "")
+
+
+def _deep(node: Node) -> Iterator[str]:
+    """What is seen below a node, in one line: text, labels, list marks and rules."""
+    todo: list = [node]
+    while todo:
+        one = todo.pop()
+        if isinstance(one, str):
+            yield one
+            continue
+        if one.tag in ("img", "input"):
+            yield _label(one)
+        elif one.tag == "hr":
+            yield "---"
+        closed, number, parts = one.tag == "details" and "open" not in one.attrs, _first_number(one), []
+        for c in one.children:
+            if isinstance(c, str):
+                parts.extend([] if closed else [c])
+            elif visible(c) and not (closed and c.tag != "summary"):
+                if c.tag == "li":
+                    parts.append(f"{number}." if one.tag == "ol" else "-")
+                    number += 1
+                space = c.tag in MARGIN or c.tag == "br"
+                parts.extend([" ", c, " "] if space else [c])
+        todo.extend(reversed(parts))
+
+
 def _flat(node: Node) -> Iterator[str]:
     """All visible text below a node, without recursion."""
     todo = [node]
@@ -318,13 +360,9 @@ def _flat(node: Node) -> Iterator[str]:
 
 def _lay(node: Node, out: Lines, depth: int, listed: str) -> None:
     if depth > MAX_DEPTH:
-        # Beyond this nesting the layout is given up, not the text.
-        out.write(" ".join(_flat(node)))
+        out.write("".join(_deep(node)))
         return
-    number = 1
-    if node.tag == "ol":
-        start = node.attrs.get("start", "1")
-        number = int(start) if start.lstrip("-").isascii() and start.lstrip("-").isdigit() and len(start) < 10 else 1
+    number = _first_number(node) if node.tag == "ol" else 1
     closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
@@ -341,7 +379,7 @@ def _lay(node: Node, out: Lines, depth: int, listed: str) -> None:
                 out.margin = max(out.margin, 1)
             continue
         if tag in ("img", "input"):
-            label = child.attrs.get("alt" if tag == "img" else "value", "")
+            label = _label(child)
             if label.strip():
                 out.write(label)
             continue

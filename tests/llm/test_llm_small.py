@@ -210,3 +210,18 @@ def test_nothing_local_or_unbounded():
     for name in [*(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".py")), os.path.join(root, "corpus_pipeline.py")]:
         text = open(name).read()
         assert not [b for b in ("localCheckpoint", "crossJoin(", ".collect()", ".toPandas()", ".rdd", "mkdtemp") if b in text], name
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 200_000, "<span>" * 80_000 + "</p>" * 80_000, "<table><td><p>" + "<span>" * 80_000 + "<li>x" * 20_000, "<i>" * 100_000 + "</b>" * 150_000],
+)
+def test_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    html_layout.render(page)
+    assert time.process_time() - start < 15
+
+
+def test_deep_blocks_keep_what_is_seen():
+    inner = "a<details>no<summary>yes</summary></details><p hidden>no</p><img alt=pic><ol start=3><li>q<li hidden>no<li>r</ol><hr>z"
+    assert html_layout.render("<div>" * 300 + inner) == "a yes pic 3. q 4. r --- z"
