@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences.
 
 Each stage takes what the one before it kept, written as Parquet and read again.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. A null or empty text has no
+words: it is scored, is no near-duplicate, holds no secret, and the mix never takes
+it. A row without an id is no near-duplicate of another; to the mix and the packing
+null is one more id. Of rows that share an id near-dedup keeps one at most. Ties are
+broken by hashes of id and text, so reruns agree. An empty table gives an empty result.
 """
 
 from __future__ import annotations
