@@ -120,6 +120,13 @@ def corpus_stats(articles: DataFrame) -> DataFrame:
     return articles.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("doc_len").alias("mean"))
 
 
+def bm25_part(n: Column, mean: Column, df: Column, tf: Column, doc_len: Column) -> Column:
+    """One word's share of a document's score."""
+    # ln(1 + (n - df + 0.5) / (df + 0.5)), rearranged to name df once.
+    idf = F.log((n + 1) / (df + 0.5))
+    return idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * doc_len / mean))
+
+
 def bm25(index: DataFrame, stats: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(doc, score) for documents with any of the terms.
 
@@ -134,10 +141,7 @@ def bm25(index: DataFrame, stats: DataFrame, terms: Sequence[str]) -> DataFrame:
     corpus = stats.select(F.struct("n", "mean")).scalar()
     n, mean = corpus["n"], corpus["mean"]
     df = F.try_element_at(counts, F.col("term"))
-    # ln(1 + (n - df + 0.5) / (df + 0.5)), rearranged to name df once.
-    idf = F.log((n + 1) / (df + 0.5))
-    tf = F.col("tf").cast("double")
-    part = idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / mean))
+    part = bm25_part(n, mean, df, F.col("tf").cast("double"), F.col("doc_len"))
     return hits.groupBy("doc").agg(F.sum(part).alias("score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..functions import urlkeys as uk
+from ..operators import requests as rq
 from ..operators import rollups as ru
 from ..operators import search as se
 from ..operators import textrollups as tr
@@ -538,6 +539,57 @@ def txt12(t: Tables):
     return se.parse_queries(rows).withColumn("ord", F.col("ord").cast("bigint"))
 
 
+# Requests made of the articles' own titles: a phrase, a word and a word to avoid.
+_REQ = f"""{_TC}, tt AS MATERIALIZED ({d.tokens('SELECT * FROM arts', 'title')}),
+  q AS MATERIALIZED (SELECT id AS request_id, language, max(lexeme) FILTER (pos = 1) AS p1, max(lexeme) FILTER (pos = 2) AS p2,
+    max(lexeme) FILTER (pos = 3) AS w, max(lexeme) FILTER (pos = 6) AS x FROM tt GROUP BY ALL),
+  m AS MATERIALIZED (SELECT DISTINCT request_id, c.id FROM q JOIN tc c ON c.lexeme = coalesce(p1, p2, w) AND c.language = q.language
+    WHERE (p1 IS NULL OR p2 IS NULL OR EXISTS (SELECT 1 FROM tc b WHERE b.id = c.id AND b.pos = c.pos + 1 AND b.lexeme = p2))
+      AND (w IS NULL OR EXISTS (SELECT 1 FROM tc b WHERE b.id = c.id AND b.lexeme = w))
+      AND (x IS NULL OR NOT EXISTS (SELECT 1 FROM tc b WHERE b.id = c.id AND b.lexeme = x)))"""
+
+
+def _title_requests(arts):
+    w = tx.raw_words("title")
+
+    def word(i):
+        return F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+
+    text = F.concat(F.lit('"'), word(0), F.lit(" "), word(1), F.lit('" '), word(2), F.lit(" -"), word(5))
+    return arts.select(F.col("id").alias("request_id"), "language", text.alias("query"))
+
+
+@query(
+    "txt12_bulk_search",
+    f"""{_REQ}, len AS (SELECT a.id, count(c.pos) AS dl FROM arts a LEFT JOIN tc c ON c.id = a.id GROUP BY a.id),
+      st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM len),
+      tf AS (SELECT id, lexeme, count(*)::DOUBLE AS tf FROM tc GROUP BY ALL), df AS (SELECT lexeme, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
+      asked AS (SELECT DISTINCT id AS request_id, lexeme FROM tt WHERE pos <= 3),
+      sc AS (SELECT request_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))) AS score
+        FROM m JOIN asked USING (request_id) JOIN tf USING (id, lexeme) JOIN df USING (lexeme) JOIN len USING (id) CROSS JOIN st GROUP BY ALL)
+      SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY round(1 / score, 9), id) AS place, id, title, round(1 / score, 6) AS rank
+      FROM sc JOIN arts USING (id) QUALIFY place <= 10""",
+)
+def txt12_bulk(t: Tables):
+    """Every article's title as a request; the ten best hits of each, all in one job."""
+    arts, index = _stored(t)
+    hits = rq.bulk_search(arts, index, _title_requests(arts))
+    return hits.select("request_id", F.col("place").cast("bigint").alias("place"), "id", "title", F.round("rank", 6).alias("rank"))
+
+
+@query(
+    "txt12_bulk_trend",
+    f"""{_REQ}, tot AS (SELECT language, date_trunc('month', timestamp_published)::TIMESTAMP AS time, count(*) AS total FROM arts GROUP BY ALL)
+      SELECT request_id, time, docs, total FROM (
+        SELECT request_id, date_trunc('month', timestamp_published)::TIMESTAMP AS time, count(*) AS docs FROM m JOIN arts USING (id) GROUP BY ALL)
+      JOIN q USING (request_id) JOIN tot USING (language, time)""",
+)
+def txt12_trend(t: Tables):
+    """The same requests as monthly series."""
+    arts, index = _stored(t)
+    return rq.bulk_trend(arts, index, _title_requests(arts))
+
+
 @query("txt13_relevance", f"{_TC}{_SCORED % repr('er') + ''} SELECT id AS doc, round(1 / score, 6) AS distance FROM sc")
 def txt13(t: Tables):
     arts, index = _stored(t)
