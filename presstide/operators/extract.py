@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import scalars as sc
 from ..functions.urlkeys import as_col
 
 # Named entities that are decoded; numeric ones all are.
@@ -140,3 +141,80 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
             "error": error,
         }
     )
+
+
+#: How much of a span a time of each written length covers, by its number of characters.
+SPANS = {4: "INTERVAL 1 YEAR", 7: "INTERVAL 1 MONTH", 10: "INTERVAL 1 DAY"}
+ISO = "yyyy-MM-dd HH:mm:ss"
+
+
+def time_span(written: Column | str) -> Column:
+    """Struct lo, hi of a written time: a year, month or day spans all of it.
+
+    ``hi`` is where the next one begins; a time of day is its own end. Null
+    where nothing readable is written.
+    """
+    # Spark reads a bare time of day as one of today, so a year has to come first.
+    text = F.regexp_extract(F.btrim(as_col(written)), r"(?s)^[0-9]{4}($|-.*)", 0)
+    whole = F.when(F.length(text) == 4, F.concat(text, F.lit("-01-01"))).when(F.length(text) == 7, F.concat(text, F.lit("-01")))
+    lo = sc.parse_time(F.coalesce(whole, text))
+    hi = lo
+    for length, step in SPANS.items():
+        hi = F.when(F.length(text) == length, lo + F.expr(step)).otherwise(hi)
+    return F.when(lo.isNotNull(), F.struct(F.date_format(lo, ISO).alias("lo"), F.date_format(hi, ISO).alias("hi")))
+
+
+def page_document(url: Column | str, html: Column | str, version: str = "1") -> Column:
+    """The metadata document of a page, typed as the captures' ``doc`` is.
+
+    Every key has ``best.value``, or is null where the page says nothing. A
+    page without markup carries only its exception. A page that names a
+    publication time, or an article element, is an ``article``. Content links
+    are those of the article's own markup.
+    """
+    h = as_col(html)
+    bad = h.isNull() | ~h.contains("<")
+    body = page_article(h)
+
+    def best(value: Column, present: Column | None = None) -> Column:
+        here = value.isNotNull() if present is None else present
+        return F.when(~bad & here, F.struct(F.struct(value.alias("value")).alias("best")))
+
+    published = time_span(page_published(h))
+    is_article = published.isNotNull() | h.rlike(r"(?i)<article\b")
+    failure = F.struct(
+        F.lit("page cannot be parsed").alias("str(e)"),
+        F.when(h.isNull(), "empty").otherwise("no markup").alias("type"),
+        F.lit("extract").alias("location"),
+        F.lit("").alias("traceback"),
+    )
+    return F.struct(
+        best(page_author(h)).alias("author"),
+        best(page_language(h)).alias("language"),
+        best(page_title(h)).alias("title"),
+        # A null description still has its key: articles need the key, not a value.
+        best(page_description(h), F.lit(True)).alias("description"),
+        best(F.lit("article"), is_article).alias("type"),
+        best(F.struct(body.alias("html"), page_text(h).alias("text")), body.isNotNull()).alias("content"),
+        best(F.coalesce(page_canonical(h), as_col(url))).alias("url.canonical"),
+        best(published).alias("timestamp.published"),
+        best(time_span(page_modified(h))).alias("timestamp.modified"),
+        best(page_links(h)).alias("links.all"),
+        best(page_links(body)).alias("links.content"),
+        F.lit(version).alias("version"),
+        F.when(bad, failure).alias("exception"),
+    )
+
+
+def to_captures(records: DataFrame, id_col: str, source_col: str, html_col: str = "html", version: str = "1") -> DataFrame:
+    """Page records (url, accessed_at, html) to captures: id, id_source, accessed_at, url, doc.
+
+    ``accessed_at`` may be text. Nothing is shuffled and no row is dropped.
+    """
+    return records.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("id_source"),
+        sc.parse_time(F.col("accessed_at").cast("string")).alias("accessed_at"),
+        "url",
+        page_document("url", html_col, version).alias("doc"),
+    )

@@ -8,6 +8,7 @@ from ..functions import scalars as sc
 from ..functions import text as tx
 from ..functions import urlkeys as uk
 from ..operators import captures as cp
+from ..operators import extract as ex
 from ..operators import ledger, lists
 from ..operators import quality as qa
 from ..operators import rollups as ru
@@ -644,21 +645,38 @@ def udx4(t: Tables):
     return rc.decode_members(t.members(), "page_id", "member").groupBy("rec_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Per visit of a page named in the index: what its row says and what its page holds.
+_CRAWLED = f"""SELECT i.crawl, i.line_no, i.hostpath, v.ts, v.event_type, p.url, o.o_orderdate AS published,
+      nullif(regexp_extract(p.html, '<html lang="([^"]*)"', 1), '') AS lang,
+      trim(replace(regexp_replace(regexp_extract(p.html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'), '&amp;', '&')) AS title
+    FROM ({d.CRAWL_INDEX}) i JOIN events v ON v.event_id = i.line_no JOIN pages p ON p.page_id = v.user_id JOIN orders o ON o.o_orderkey = p.page_id"""
+_CHOSEN = f"""SELECT * FROM ({_CRAWLED}) WHERE event_type IN ('view', 'click') QUALIFY row_number() OVER (PARTITION BY hostpath ORDER BY crawl DESC, line_no) = 1"""
+
+
 @query(
     "ingest_crawl_to_articles",
-    f"""SELECT c.id, c.hostpath_surt, c.language, len({d.words("t")}) AS title_words FROM (
-      SELECT *, trim(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'), '&amp;', '&')) AS t
-      FROM ({d.CAPTURES})) c WHERE event_type IN ('view', 'click') AND language IS NOT NULL AND t <> ''""",
+    f"""WITH RECURSIVE k AS MATERIALIZED ({d.with_keys(_CHOSEN)}),
+      f AS MATERIALIZED (SELECT line_no AS id, hostpath_surt AS a, {d.unsurt_host('hostpath_surt')} || chr(1) || title AS b FROM k WHERE lang IS NOT NULL AND title <> ''),
+      {_rounds('r', 'SELECT * FROM f')}
+    SELECT r.id, k.hostpath_surt, {d.language('k.lang')} AS language, k.published::TIMESTAMP AS timestamp_published, k.title FROM r JOIN k ON k.line_no = r.id WHERE kept""",
 )
 def ingest(t: Tables):
-    """Archive records to extracted pages: decode, page filter, extraction, title words."""
-    from ..operators import extract as ex
-
-    decoded = rc.decode_members(t.members(), "page_id", "member").filter(rc.is_page())
-    pages = cp.drop_invalid(decoded).select(F.col("source").cast("bigint").alias("id"), "url", "html", "accessed_at")
-    p = ex.extract_pages(pages)
-    rows = p.filter("error IS NULL AND language IS NOT NULL AND title IS NOT NULL").select(
-        "id", uk.url_hostpath_surt("url").alias("hostpath_surt"), sc.language_iso639("language").alias("language"),
-        F.size(tx.raw_words("title")).cast("bigint").alias("title_words"),
+    """Crawl index to the article view: index dedup, fetch plan, records, page filter, captures, articles, first wins."""
+    root = scratch_dir(t.spark, "archive")
+    places = persist_table(rc.write_members(t.visit_members(), "page_id", "member", root), "archive-index")
+    index = t.crawl_index().drop("filename", "offset", "length").join(
+        places.withColumn("line_no", F.col("key").cast("bigint")).drop("key"), "line_no"
+    )
+    entry = F.to_json(F.struct("url", "mime", "status", "filename", *[F.col(c).cast("string").alias(c) for c in ("offset", "length")]))
+    lines = index.select("crawl", "line_no", F.concat_ws(" ", "key", "time", entry).alias("value"))
+
+    plan = persist_table(ci.dedup_index(ci.parse_index_lines(lines)), "fetch")
+    fetched = rc.fetch_records(ci.fetch_plan(plan), root).filter(rc.is_page())
+    named = cp.drop_invalid(fetched).join(
+        plan.select(F.col("filename").alias("source"), F.col("offset").alias("position"), F.col("line_no").alias("id"), "crawl"),
+        ["source", "position"],
     )
-    return rows
+    captures = persist_table(ex.to_captures(named, "id", "crawl"), "captures")
+    articles = persist_table(cp.to_articles(captures), "candidates").withColumn("host", uk.url_host(uk.unsurt("hostpath_surt")))
+    kept = cp.first_wins(articles, "id")
+    return kept.select("id", "hostpath_surt", "language", "timestamp_published", "title")

@@ -182,7 +182,24 @@ class Tables:
         The event decides what kind of record it is; ``damage`` cuts the
         members of ``click`` events short.
         """
+        return self._packed(self.fetched_pages().select("page_id", "url", "html", "event_type", "ts"), damage)
 
+    def visit_members(self) -> DataFrame:
+        """Every visit packed as an archive record: (page_id, member), ``page_id`` the visit's id.
+
+        The page served names the day of its order as publication time.
+        """
+        pages = self.read("pages").select(F.col("page_id").alias("_page"), "html")
+        orders = self.read("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("_day"))
+        meta = F.concat(F.lit('<head><meta property="article:published_time" content="'), "_day", F.lit('">'))
+        rows = (
+            self.visits().join(pages, F.col("user_id") == F.col("_page")).join(orders, F.col("_page") == F.col("o_orderkey"))
+        )
+        return self._packed(
+            rows.select(F.col("event_id").alias("page_id"), "url", F.replace("html", F.lit("<head>"), meta).alias("html"), "event_type", "ts")
+        )
+
+    def _packed(self, rows: DataFrame, damage: bool = False) -> DataFrame:
         def pack(frames):
             import gzip
 
@@ -204,9 +221,7 @@ class Tables:
                     out.append(data[: len(data) // 2] if damage and r.event_type == "click" else data)
                 yield pdf[["page_id"]].assign(member=out)
 
-        rows = self.fetched_pages().select(
-            "page_id", "url", "html", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time")
-        )
+        rows = rows.withColumn("time", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("ts")
         return rows.mapInPandas(pack, "page_id long, member binary")
 
     def rank_list(self) -> DataFrame:
