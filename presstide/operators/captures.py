@@ -267,19 +267,27 @@ def summary_document(df: DataFrame, variant_col: str, drop: Sequence[str] = ("ve
 
 
 def display_fields(captures: DataFrame) -> DataFrame:
-    """The six fixed fields of a capture page, empty where missing."""
+    """The six fixed fields of a capture page, empty where missing.
+
+    A time that spans a while is shown from its lower to its upper end,
+    ``lo/hi``; one without length, or with one end known, as that alone.
+    """
     doc = F.col("doc")
 
     def shown(c):
         return F.coalesce(c.cast("string"), F.lit(""))
 
+    def span(key):
+        ends = F.array_compact(F.array(best(doc, key, "lo"), best(doc, key, "hi")))
+        return shown(F.array_join(F.array_distinct(ends), "/"))
+
     return captures.select(
         "id",
         "accessed_at",
         "url",
         shown(best(doc, "author")).alias("author"),
-        shown(best(doc, "timestamp.published", "lo")).alias("timestamp.published"),
-        shown(best(doc, "timestamp.modified", "lo")).alias("timestamp.modified"),
+        span("timestamp.published").alias("timestamp.published"),
+        span("timestamp.modified").alias("timestamp.modified"),
         shown(best(doc, "url.canonical")).alias("url.canonical"),
         shown(best(doc, "language")).alias("language"),
         F.lit("").alias("version"),

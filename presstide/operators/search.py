@@ -155,12 +155,15 @@ def on_sites(key: Column | str, hosts: Sequence[str]) -> Column:
     return wanted
 
 
-def hit_columns() -> list[Column]:
+def hit_columns(articles: DataFrame) -> list[Column]:
+    """What a hit shows; the description is null where the view has none."""
+    described = F.col("description") if "description" in articles.columns else F.lit(None).cast("string").alias("description")
     return [
         F.col("id"),
         uk.unsurt("hostpath_surt").alias("url"),
         uk.url_host(uk.unsurt("hostpath_surt")).alias("host"),
         F.col("title"),
+        described,
         F.col("language"),
         F.to_date("timestamp_published").alias("date_published"),
     ]
@@ -207,7 +210,7 @@ def search(
         "time_asc": [distance.asc()],
         "rank": [F.round("rank", 9).asc_nulls_last()],
     }[orderby]
-    return hits.orderBy(*order, F.col("id").asc()).offset(offset).limit(k).select(*hit_columns(), "rank")
+    return hits.orderBy(*order, F.col("id").asc()).offset(offset).limit(k).select(*hit_columns(articles), "rank")
 
 
 def parse_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:

@@ -273,7 +273,7 @@ def prj3(t: Tables):
 
 @query(
     "prj4_display_fields",
-    f"""SELECT id, accessed_at, url, '' AS author, coalesce(strftime(published_lo, '%Y-%m-%d %H:%M:%S'), '') AS "timestamp.published",
+    f"""SELECT id, accessed_at, url, '' AS author, coalesce(strftime(published_lo, '%Y-%m-%d %H:%M:%S') || '/' || strftime(published_lo + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S'), '') AS "timestamp.published",
       coalesce(strftime(modified, '%Y-%m-%d %H:%M:%S'), '') AS "timestamp.modified",
       CASE WHEN event_type <> 'error' THEN url ELSE '' END AS "url.canonical", coalesce(language, '') AS language, '' AS version
       FROM ({d.CAPTURES})""",
@@ -283,7 +283,7 @@ def prj4(t: Tables):
 
 
 # Text of the article element, in check SQL.
-_BODY = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
+ARTICLE_BODY = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
         '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&copy;', '©', 'g'),
         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
@@ -293,7 +293,7 @@ _BODY = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_r
     f"""SELECT id, url, hostpath_surt, language, published_lo AS timestamp_published, title, description,
         len({d.words('title')}) AS title_words, len({d.words('body')}) AS content_words FROM (
       SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t0,
-        trim(replace(regexp_replace(t0, '\\s+', ' ', 'g'), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS description, {_BODY} AS body
+        trim(replace(regexp_replace(t0, '\\s+', ' ', 'g'), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS description, {ARTICLE_BODY} AS body
       FROM ({d.CAPTURES})) WHERE event_type <> 'error' AND language IS NOT NULL AND title <> '' AND body <> ''""",
 )
 def prj5(t: Tables):
@@ -324,7 +324,7 @@ def flt05(t: Tables):
     r"""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language,
       trim(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g'), '&amp;', '&')) AS title,
       len(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS n_links,
-      length(""" + _BODY + r""") AS text_chars,
+      length(""" + ARTICLE_BODY + r""") AS text_chars,
       CAST(NULL AS VARCHAR) AS error FROM pages""",
 )
 def ext1(t: Tables):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..functions import urlkeys as uk
+from ..operators import captures as cp
 from ..operators import requests as rq
 from ..operators import rollups as ru
 from ..operators import search as se
@@ -15,6 +16,7 @@ from ..operators import textstore as ts
 from ..operators import trends as td
 from ..session import persist_table, scratch_dir
 from . import duck as d
+from .q_keys import ARTICLE_BODY
 from .registry import query
 from .testbed import Tables
 
@@ -614,7 +616,7 @@ def txt14(t: Tables):
     return td.term_subsets(terms).withColumn("n_terms", F.col("n_terms").cast("bigint"))
 
 
-_HIT = f"id, {d.unsurt_host('hostpath_surt')} || split_part(hostpath_surt, ')', 2) AS url, {d.unsurt_host('hostpath_surt')} AS host, title, language, CAST(CAST(timestamp_published AS DATE) AS VARCHAR) AS date_published"
+_HIT = f"id, {d.unsurt_host('hostpath_surt')} || split_part(hostpath_surt, ')', 2) AS url, {d.unsurt_host('hostpath_surt')} AS host, title, description, language, CAST(CAST(timestamp_published AS DATE) AS VARCHAR) AS date_published"
 
 
 def _hits(df):
@@ -641,14 +643,17 @@ for _name, _order in {
 
 @query(
     "top3_article_search",
-    f"{_TC} SELECT id, title FROM arts SEMI JOIN (SELECT DISTINCT id FROM tc WHERE lexeme = 'er') m USING (id) WHERE id_source LIKE 'src1%' ORDER BY id LIMIT 10",
+    f"""SELECT id, title, description FROM (
+      SELECT id, trim(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'), '&amp;', '&')) AS title,
+        CAST(NULL AS VARCHAR) AS description, {ARTICLE_BODY} AS body FROM ({d.CAPTURES}) WHERE type = 'article' AND language IS NOT NULL)
+      WHERE title <> '' AND body <> '' AND list_contains({d.words('body')}, 'er') ORDER BY id LIMIT 10""",
 )
 def top3(t: Tables):
-    """Ten articles of some sources that hold a word."""
-    arts = t.tokenised()
+    """Ten captures of type article that hold a word, with their descriptions."""
+    captures = t.stored_captures().filter(cp.best("doc", "type") == "article")
+    arts = cp.to_articles(captures)
     docs = se.docs_with_all(se.build_index(arts), ["er"]).withColumnRenamed("doc", "id")
-    hits = arts.filter(F.col("id_source").startswith("src1")).join(docs, "id", "left_semi")
-    return hits.orderBy("id").limit(10).select("id", "title")
+    return arts.join(docs, "id", "left_semi").orderBy("id").limit(10).select("id", "title", "description")
 
 
 @query(
@@ -671,4 +676,5 @@ def flt13(t: Tables):
 
 @query("prj6_hit_projection", f"SELECT {_HIT} FROM ({d.ARTICLES})")
 def prj6(t: Tables):
-    return t.articles().select(*se.hit_columns()).withColumn("date_published", F.col("date_published").cast("string"))
+    arts = t.articles()
+    return arts.select(*se.hit_columns(arts)).withColumn("date_published", F.col("date_published").cast("string"))

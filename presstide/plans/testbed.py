@@ -114,6 +114,7 @@ class Tables:
                 F.col("lang").alias("language"),
                 F.col("o_orderdate").cast("timestamp").alias("timestamp_published"),
                 F.regexp_extract("text", r"^[^\n.]*", 0).alias("title"),
+                F.nullif(F.regexp_extract("text", r"\n([^\n.]*)", 1), F.lit("")).alias("description"),
                 F.col("text").alias("content"),
                 F.col("source").alias("id_source"),
             )
