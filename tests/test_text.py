@@ -36,6 +36,20 @@ def test_ngrams_against_brute_force(spark, max_n, min_n):
         assert r.u == list(dict.fromkeys(expected))
 
 
+@pytest.mark.parametrize("max_n", [1, 2, 3, 5])
+def test_exploded_ngrams_are_the_distinct_ones(spark, max_n):
+    rng = random.Random(max_n)
+    vectors = [None, [], [(7, "solo")], [(1, "a"), (2, "a"), (3, "a"), (4, "a")]]
+    for _ in range(80):
+        positions = sorted(rng.sample(range(1, 40), rng.randint(1, 30)))
+        vectors.append([(p, rng.choice("abcé")) for p in positions])
+    df = spark.createDataFrame(list(enumerate(vectors)), f"i int, v {VECTOR}").coalesce(2)
+    rows = tx.explode_ngrams(df, "v", "g", max_n)
+    assert rows.columns == ["i", "g"]
+    got = sorted(tuple(r) for r in rows.collect())
+    assert got == sorted((i, g) for i, v in enumerate(vectors) if v for g in set(brute_ngrams(v, max_n)))
+
+
 def test_vector_text(spark):
     text = "'bake':4 'crisp':8 'ever':14 'rich':1,9 'tart':3A,10,18"
     df = spark.createDataFrame([(text,), ("",)], "t string").withColumn("v", tx.parse_vector("t"))

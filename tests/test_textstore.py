@@ -86,3 +86,14 @@ def test_one_store_serves_all_requests(spark, articles, tmp_path):
 
     paths = {ts.once(spark, ("test", str(tmp_path)), make) for _ in range(3)}
     assert len(made) == 1 and len(paths) == 1
+
+
+@pytest.mark.parametrize("unit,by_host", [("month", False), ("day", True)])
+def test_ngrams_of_a_batch_move_once(spark, articles, unit, by_host, monkeypatch):
+    monkeypatch.setattr(tr, "ARTICLES_A_TASK", 3)  # several shares a month
+    built = ts.build(articles, unit, True, by_host)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "_share" in plan
+    plain = tr.text_rollup(articles, unit, True, by_host)
+    stored = ts.counts(built).select(*plain.columns)
+    assert stored.exceptAll(plain).count() == 0 and plain.exceptAll(stored).count() == 0
