@@ -97,3 +97,16 @@ def test_ngrams_of_a_batch_move_once(spark, articles, unit, by_host, monkeypatch
     plain = tr.text_rollup(articles, unit, True, by_host)
     stored = ts.counts(built).select(*plain.columns)
     assert stored.exceptAll(plain).count() == 0 and plain.exceptAll(stored).count() == 0
+
+
+def test_family_moves_its_ngrams_once(spark, articles):
+    both = tr.text_rollup_family(articles, "month", True)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+    for by_host in (True, False):
+        some = both.filter(F.col("by_host") == by_host)
+        plain = tr.text_rollup(articles, "month", True, by_host)
+        got = some.select(*[c for c in plain.columns if c != tr.DOCS], F.col("docs").alias(tr.DOCS))
+        assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+        sketches = tr.text_rollup(articles, "month", True, by_host, sketch=True)
+        assert rows_of(some.select(*sketches.columns)) == rows_of(sketches)
