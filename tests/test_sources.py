@@ -223,3 +223,16 @@ def test_write_then_read(spark, tmp_path):
     index = persist_table(rc.write_members(df.repartition(3), "k", "m", str(tmp_path / "out")), "index")
     got = rc.fetch_records(ci.fetch_plan(index), str(tmp_path / "out")).collect()
     assert {r.url for r in got} == {f"https://a.test/{i}" for i in range(20)}
+
+
+def test_pages_are_packed_a_few_at_a_time(spark, monkeypatch):
+    from presstide.plans.testbed import Tables
+
+    rows = spark.range(200).selectExpr(
+        "id AS page_id", "concat('http://a.test/', id) AS url", "concat('<p>', id, '</p>') AS html",
+        "'view' AS event_type", "TIMESTAMP '2020-01-01 00:00:00' AS ts",
+    )
+    members = Tables(spark, "none")._packed(rows.coalesce(1))
+    assert "MapInArrow" in members._jdf.queryExecution().executedPlan().toString()
+    got = rc.decode_members(members, "page_id", "member").collect()
+    assert sorted((r.url, r.html) for r in got) == sorted((f"http://a.test/{i}", f"<p>{i}</p>") for i in range(200))
