@@ -32,6 +32,8 @@ from .common import persist_table
 
 #: Text of a block, unless one document alone has more.
 BLOCK_BYTES = 8 << 20
+#: Text of a block that is split into words at once.
+SPLIT_BYTES = 1 << 20
 #: Bits of a block's number within its task, and of a word's within its block. More of
 #: either is an error, never a wrong number.
 BLOCK_BITS, WORD_BITS = 12, 31
@@ -59,6 +61,15 @@ def positions(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return code, pa.concat_arrays([words.slice(0, mark), words.slice(mark + 1)])
 
 
+def _runs(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The texts in runs of about ``most`` bytes."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)
+
+
 _BLOCK = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("n", pa.int64())])
 
 
@@ -70,7 +81,7 @@ def relation(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bl
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).filter("text <> ''")
 
     def block(lang: str, texts: list[pa.Array], number: int) -> pa.RecordBatch | None:
-        parts = [positions(t) for t in texts]
+        parts = [positions(run) for t in texts for run in _runs(t, SPLIT_BYTES)]
         words = pa.chunked_array([w for _, w in parts], pa.string()).dictionary_encode().combine_chunks() if parts else None
         if words is None or not len(words):
             return None

@@ -36,6 +36,8 @@ WINDOW = 1024
 END_ID = 0
 #: Tokens laid out at once.
 BLOCK_TOKENS = 1 << 18
+#: Text encoded at once.
+ENCODED_BYTES = 2 << 20
 #: Costs in tokens of padding.
 CUT_SENTENCE_END, CUT_INSIDE, PER_SEQUENCE = 4.0, 12.0, 4.0
 #: Distinct chunks whose ids a task remembers; beyond it starts anew.
@@ -298,7 +300,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
                 if encoder is None:
                     encoder = Encoder(path if os.path.sep in path else tokenizer_path(path))
                     packer = Packer(encoder.ends, TaskContext.get().partitionId() << 40, window, with_ids)
-                ids, lens = encoder.encode(part["text"])
+                done = [encoder.encode(run["text"]) for run in slices(part, "text", ENCODED_BYTES)]
+                ids, lens = (np.concatenate(x) for x in zip(*done))
                 yield from packer.add(part["doc_id"].to_pylist(), ids, lens)
         if packer is not None:
             yield from packer.flush(True)

@@ -82,3 +82,15 @@ def test_against_sql(spark, small):
     rows = normal(entry.queries()["op12_collocations"](spark, small).toPandas())
     want = normal(con.execute(entry.oracle_sql()["op12_collocations"]).df())
     assert len(rows) > 50 and list(rows.columns) == list(want.columns) and rows.equals(want)
+
+
+def test_runs_of_texts_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from presstide.llm.collocations import _runs
+
+    texts = pa.array(["a" * n for n in (3, 0, 9, 30, 1, 1, 8, 0)], pa.string())
+    runs = [r.to_pylist() for r in _runs(texts, 10)]
+    assert [t for r in runs for t in r] == texts.to_pylist() and len(runs) > 2
+    assert all(sum(map(len, r)) < 10 + 30 for r in runs)
+    assert list(_runs(texts.slice(0, 0), 10)) == []
