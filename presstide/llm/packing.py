@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -40,8 +42,6 @@ BLOCK_TOKENS = 1 << 18
 ENCODED_BYTES = 2 << 20
 #: Costs in tokens of padding.
 CUT_SENTENCE_END, CUT_INSIDE, PER_SEQUENCE = 4.0, 12.0, 4.0
-#: Distinct chunks whose ids a task remembers; beyond it starts anew.
-REMEMBERED = 800_000
 TOKENIZER = "byte_bpe_50k.json"
 
 # Texts whose white space is more than single blanks and line ends between words.
@@ -63,14 +63,16 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level tokenizer file, each distinct word encoded once.
+    """Ids of whole texts by a byte-level tokenizer file, each distinct word of a run encoded once.
 
     The byte-level pattern never joins two words: a blank or line end between two
     other characters always begins a new piece. So a text is cut there and the ids of
-    its chunks are laid side by side. The file's vocabulary gives the merge ranks to
-    the quicker of the two installed encoders, whose ids are the same (the tests hold
-    whole texts against the file's own library). As there, the file's added tokens are
-    split off first and have their own ids.
+    its chunks are laid side by side. Likewise a run's distinct chunks are laid end to
+    end and encoded as one text, whose ids that begin with a blank or line end begin a
+    chunk. The file's vocabulary gives the merge ranks to the quicker of the two
+    installed encoders, whose ids are the same (the tests hold whole texts against the
+    file's own library). As there, the file's added tokens are split off first and have
+    their own ids. Nothing is remembered from one run to the next.
     """
 
     def __init__(self, path: str):
@@ -81,12 +83,12 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        library = Tokenizer.from_file(path)
+        vocabulary, added = library.get_vocab(with_added_tokens=False), library.get_added_tokens_decoder()
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token)}
-        added = Tokenizer.from_file(path).get_added_tokens_decoder()
         ranks = {t: i for t, i in ranks.items() if i not in added}
-        self.ids_of = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.coder = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         # Of two that begin at one place the longer counts.
         self.added = {t.content: i for i, t in sorted(added.items(), key=lambda e: -len(e[1].content))}
         plain = all(not (t.lstrip or t.rstrip or t.single_word) for t in added.values())
@@ -95,26 +97,33 @@ class Encoder:
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split if self.added else lambda t: [t]
         self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)")
         self.ends = np.zeros(max([*ranks.values(), *added]) + 2, bool)
+        self.begins = np.zeros(len(self.ends), bool)
         for token, i in ranks.items():
             self.ends[i] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?")) or b"\n" in token
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
-
-    def _learn(self, words: list[str]) -> None:
-        """Words as ``_chunks`` marks them."""
-        chunks = [w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in words]
-        ids = [[self.added[c]] if c in self.added else self.ids_of(c) for c in chunks]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
-        self.at.update(zip(words, range(len(self.lens), len(self.lens) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.pool = np.concatenate([self.pool, flat])
+            self.begins[i] = token.startswith((b" ", b"\n"))
+
+    def _ids_of(self, chunk: str) -> list[int]:
+        return [self.added[chunk]] if chunk in self.added else self.coder.encode_ordinary(chunk)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, where each word's start there and how many they are; words as ``_chunks`` marks them."""
+        whole = pc.starts_with(words, "\r")
+        own = [self._ids_of(w[1:]) for w in words.filter(whole).to_pylist()]
+        rest = words.filter(pc.invert(whole))
+        rest = pc.if_else(pc.starts_with(rest, "\n"), rest, pc.binary_join_element_wise("", rest, " "))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest), "")[0].as_py()
+        ids = self.coder.encode_to_numpy(text, disallowed_special=()).astype(np.int32) if text else np.zeros(0, np.int32)
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(rest):
+            raise RuntimeError(f"{len(rest)} chunks were encoded as {len(at)}")
+        # The chunks taken as they are come after the others; a word's ids start where its place says.
+        lens, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        whole = whole.to_numpy(zero_copy_only=False)
+        lens[~whole], starts[~whole] = np.diff(at, append=len(ids)), at
+        lens[whole] = np.fromiter(map(len, own), np.int64, len(own))
+        starts[whole] = len(ids) + np.cumsum(lens[whole]) - lens[whole]
+        flat = np.fromiter(chain.from_iterable(own), np.int32, int(lens[whole].sum()))
+        return np.concatenate([ids, flat]), starts, lens
 
     def _pieces(self, text: str) -> list[str]:
         """Chunks of a text; an added token is one by itself."""
@@ -147,15 +156,11 @@ class Encoder:
         """All ids, the end id after each text, and each text's number of ids."""
         words, counts = self._chunks(pc.fill_null(texts, ""))
         coded = words.dictionary_encode()
-        once = coded.dictionary.to_pylist()
-        if len(self.at) > REMEMBERED:
-            self.forget()
-        self._learn([w for w in once if w not in self.at])
-        known = np.fromiter(map(self.at.__getitem__, once), np.int64, len(once))
-        place = known[coded.indices.to_numpy(zero_copy_only=False)]
-        lens = self.lens[place]
+        pool, starts, lens = self._encoded(coded.dictionary)
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        starts, lens = starts[place], lens[place]
         upto = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.pool[np.repeat(self.starts[place] - upto[:-1], lens) + np.arange(upto[-1])]
+        ids = pool[np.repeat(starts - upto[:-1], lens) + np.arange(upto[-1])]
         last = np.cumsum(counts)
         per_text = upto[last] - upto[last - counts]
         out = np.full(len(ids) + len(texts), END_ID, np.int32)
@@ -165,6 +170,12 @@ class Encoder:
         return out, per_text + 1
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, which a Python worker makes once for all its tasks."""
+    return Encoder(path)
+
+
 def lay_out(pos: list[int], penalty: list[float], window: int = WINDOW, charge: float = PER_SEQUENCE, smallest: int = 1) -> list[int]:
     """Indices of the boundaries at which to cut, first and last included.
 
@@ -173,7 +184,7 @@ def lay_out(pos: list[int], penalty: list[float], window: int = WINDOW, charge:
     """
     n = len(pos)
     best, back = [0.0] * n, [0] * n
-    place = [-1] * (pos[-1] + 1)
+    place = array("i", [-1]) * (pos[-1] + 1)
     place[0] = 0
     # A full window needs no padding by the queue's rule; the smallest pay only where a range ends.
     powers = [1 << k for k in range(window.bit_length()) if smallest <= 1 << k < window]
@@ -226,7 +237,7 @@ class Packer:
         ids, window = np.concatenate(self.ids), self.window
         left = np.array([n - done for _, n, done in self.docs], np.int64)
         doc_end = np.cumsum(left)
-        cost = np.full(len(ids) + 1, np.inf)
+        cost = np.full(len(ids) + 1, np.inf, np.float32)
         if last:
             cost[max(0, len(ids) - window) :] = CUT_INSIDE
         cost[1:][self.ends[ids]] = CUT_SENTENCE_END
@@ -294,13 +305,13 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
     path = tokenizer or TOKENIZER
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = None, None
+        coder, packer = None, None
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                if encoder is None:
-                    encoder = Encoder(path if os.path.sep in path else tokenizer_path(path))
-                    packer = Packer(encoder.ends, TaskContext.get().partitionId() << 40, window, with_ids)
-                done = [encoder.encode(run["text"]) for run in slices(part, "text", ENCODED_BYTES)]
+                if packer is None:
+                    coder = encoder(path if os.path.sep in path else tokenizer_path(path))
+                    packer = Packer(coder.ends, TaskContext.get().partitionId() << 40, window, with_ids)
+                done = [coder.encode(run["text"]) for run in slices(part, "text", ENCODED_BYTES)]
                 ids, lens = (np.concatenate(x) for x in zip(*done))
                 yield from packer.add(part["doc_id"].to_pylist(), ids, lens)
         if packer is not None:

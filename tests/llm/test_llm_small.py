@@ -225,3 +225,24 @@ def test_deep_pages_take_linear_time(page):
 def test_deep_blocks_keep_what_is_seen():
     inner = "a<details>no<summary>yes</summary></details><p hidden>no</p><img alt=pic><ol start=3><li>q<li hidden>no<li>r</ol><hr>z"
     assert html_layout.render("<div>" * 300 + inner) == "a yes pic 3. q 4. r --- z"
+
+
+def test_packing_encoder_is_made_once_and_remembers_nothing():
+    import numpy as np
+    import pyarrow as pa
+
+    from presstide.llm import packing
+
+    coder = packing.encoder(packing.tokenizer_path())
+    assert packing.encoder(packing.tokenizer_path()) is coder
+
+    def sizes():
+        return {k: len(v) for k, v in vars(coder).items() if hasattr(v, "__len__")}
+
+    before = sizes()
+    texts = [" ".join(f"{w}{i}" for w in ("tide", "été", "字")) + f"\nrow {i}  <|endoftext|>x" for i in range(2000)] + ["", " ", None, "\n"]
+    ids, lens = coder.encode(pa.array(texts))
+    assert sizes() == before
+    # A run's words are encoded together; the ids are those of each text by itself.
+    alone = [coder.encode(pa.array([t], pa.string())) for t in texts]
+    assert np.array_equal(ids, np.concatenate([a for a, _ in alone])) and lens.tolist() == [int(n[0]) for _, n in alone]
