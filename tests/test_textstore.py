@@ -110,3 +110,56 @@ def test_family_moves_its_ngrams_once(spark, articles):
         assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
         sketches = tr.text_rollup(articles, "month", True, by_host, sketch=True)
         assert rows_of(some.select(*sketches.columns)) == rows_of(sketches)
+
+
+def test_ngrams_move_as_runs_of_their_articles(spark, articles, monkeypatch):
+    moved = ts._dealt(articles, "month", 3)
+    assert moved.count() == articles.filter("size(tokens) > 0").count()
+    monkeypatch.setattr(tr, "ARTICLES_A_TASK", 3)
+    assert moved.count() < ts._dealt(articles, "month", 3).count() < tr.keyed(articles, "month", True).count()
+
+
+def test_shares_hold_every_ngram_once(monkeypatch):
+    import collections
+    import random
+
+    import pyarrow as pa
+
+    pick = random.Random(5)
+    monkeypatch.setattr(tx, "RUN_TOKENS", 40)
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("lexeme", pa.string())]))
+    for max_n in (1, 2, 3, 4):
+        rows = []
+        for _ in range(50):
+            places = sorted(pick.sample(range(1, 40), pick.randrange(0, 30)))
+            rows.append([{"pos": p, "lexeme": pick.choice(["a", "b", "c", "é", "字", "aa"])} for p in places])
+        rows[7] = None
+        shares = [pick.choice([1, 3, 9]) for _ in rows]
+        vectors = pa.array([[], *rows], kind).slice(1)
+        cells = tx._shared_runs(max_n)(vectors, pa.array(shares, pa.int64())).to_pylist()
+        got, share_of = collections.Counter(), {}
+        for i, cell in [(i, c) for i, row in enumerate(cells) for c in row]:
+            for names, number, row in tx.ngram_rows(pa.array([cell["words"]], pa.list_(pa.string())), pa.array([cell["runs"]], pa.list_(pa.string())), max_n):
+                names = names.to_pylist()
+                assert names == sorted(names, key=str.encode)
+                for k in number.tolist():
+                    got[i, names[k]] += 1
+                    assert share_of.setdefault((shares[i], names[k]), cell["share"]) == cell["share"] < shares[i]
+        want = set()
+        for i, row in enumerate(rows):
+            at = {t["pos"]: t["lexeme"] for t in row or []}
+            want |= {(i, " ".join(at[p + k] for k in range(n))) for p in at for n in range(1, max_n + 1) if all(p + k in at for k in range(n))}
+        assert set(got) == want and set(got.values()) <= {1}
+
+
+def test_terms_of_many_articles_by_share(spark):
+    when = datetime.datetime(2021, 5, 3)
+    rows = [(f"org,p)/{i % 90}" if i % 7 else None, "en", when + datetime.timedelta(days=i % 3), f"storm flood w{i} storm flood") for i in range(150)]
+    df = tx.with_tokens(spark.createDataFrame(rows, "hostpath_surt string, language string, timestamp_published timestamp, body string"), "body", "language", "tokens")
+    for unit, by_host in (("month", False), ("day", True)):
+        built = ts.build(df, unit, True, by_host)
+        plain = tr.text_rollup(df, unit, True, by_host)
+        got = ts.counts(built).select(*plain.columns)
+        assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+        sketches = tr.text_rollup(df, unit, True, by_host, sketch=True)
+        assert rows_of(built.select(*sketches.columns)) == rows_of(sketches)
