@@ -203,11 +203,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     asked = persist_table(blocks(asked, QUERIES, False).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "queries")
 
     # Each block of vectors meets each block of queries of its dimension; the vectors
-    # are dealt to as many places as there are tasks, the queries go to each place.
+    # are dealt to as many places as there are tasks, the queries go to each place. Spark
+    # knows the size of the queries stored, not of their copies, which must not be broadcast.
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = coded.withColumn("place", F.pmod(F.xxhash64("block"), F.lit(places)))
     asked = asked.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))))
-    pairs = coded.join(asked, ["dim", "place"])
+    pairs = coded.join(asked.hint("merge"), ["dim", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

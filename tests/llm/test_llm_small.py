@@ -124,6 +124,12 @@ def test_search(spark):
     assert onebit_search.search(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_copies_of_queries_are_not_broadcast(spark):
+    table = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    plan = onebit_search.search(table, F.col("vec_id") < 20)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_search_past_repeated_rows(spark):
     rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.0])] * 40 + [(1, [2.0, 0.0])] + [(i, [1.0, i / 10]) for i in range(2, 30)]
     for parts in (1, 3):
