@@ -163,3 +163,103 @@ def test_terms_of_many_articles_by_share(spark):
         assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
         sketches = tr.text_rollup(df, unit, True, by_host, sketch=True)
         assert rows_of(built.select(*sketches.columns)) == rows_of(sketches)
+
+
+def exploded(articles, unit, by_host, max_n=3):
+    """The rollup by brute force: a row per article and n-gram, grouped."""
+    keys = ["alltext", "language", tr.time_key(unit)] + (["host"] if by_host else [])
+    rows = tr.keyed(articles, unit, True, max_n).groupBy(*keys).agg(F.count(tr.DOCS).alias("docs"), F.count_distinct(tr.DOCS).alias("urls"))
+    return sorted((tuple(r) for r in rows.collect()), key=repr)
+
+
+def counted(rows):
+    keys = [c for c in rows.columns if c not in ("docs", tr.DOCS, "by_host")]
+    rows = rows.select(*keys, "docs", F.theta_sketch_estimate(tr.DOCS).alias("urls"))
+    return sorted((tuple(r) for r in rows.collect()), key=repr)
+
+
+@pytest.mark.parametrize("whole_shares", [3, 0])
+@pytest.mark.parametrize("unit,by_host", [("month", False), ("day", True)])
+def test_folders_of_any_size_count_the_same(spark, articles, monkeypatch, whole_shares, unit, by_host):
+    # Some six articles a month: in three shares of the terms each, or as runs of words.
+    monkeypatch.setattr(tr, "ARTICLES_A_TASK", 2)
+    monkeypatch.setattr(tr, "FOLDER_TASKS", 1)
+    monkeypatch.setattr(tr, "WHOLE_SHARES", whole_shares)
+    monkeypatch.setattr(tx, "PART_TOKENS", 5)
+    rows = articles.unionByName(articles.filter("language = 'de'")).unionByName(articles.limit(4).withColumn("hostpath_surt", F.lit(None).cast("string")))
+    want = exploded(rows, unit, by_host)
+    built = tr.count_terms(rows, unit, by_host)
+    assert counted(built) == want and len(want) > 200
+    assert [r[:-1] for r in want] == sorted((tuple(r) for r in tr.text_rollup(rows, unit, True, by_host).collect()), key=repr)
+    both = tr.text_rollup_family(rows, unit, True)
+    assert counted(both.filter("by_host")) == exploded(rows, unit, True)
+    assert counted(both.filter("NOT by_host").drop("host")) == exploded(rows, unit, False)
+
+
+def test_texts_move_and_not_their_ngrams(spark, articles):
+    """The rollups with terms have one shuffle: of a row per article, with its text."""
+    texts = articles.drop("tokens")
+
+    def vectors(rows):
+        return tx.with_tokens(rows, "body", "language", "tokens")
+
+    for rollup in (tr.text_rollup(texts, "day", True, True, vectors=vectors), tr.text_rollup(texts, "month", True, sketch=True, vectors=vectors), tr.text_rollup_family(texts, "month", True, vectors=vectors)):
+        plan = rollup._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        moved = plan[plan.index("Exchange hashpartitioning"):]
+        assert "Generate explode(sequence(" in moved and "ArrowEvalPython" not in moved and "transform(" not in moved
+    want = tr.text_rollup(articles, "day", True, True)
+    got = tr.text_rollup(texts, "day", True, True, vectors=vectors)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_dealt_rows_are_stored_in_order_without_a_sort(spark, articles, tmp_path):
+    path = ts.write_batch(ts.build(articles, terms=True), str(tmp_path / "store"), dealt=True)
+    files = glob.glob(f"{path}/**/*.parquet", recursive=True)
+    assert len(files) > 10
+    for f in files:
+        terms = [r.alltext for r in spark.read.parquet(f).select("alltext").collect()]
+        assert terms == sorted(terms, key=str.encode)
+    opened = ts.open_store(spark, path, terms=True, merged=True)
+    assert counted(opened) == exploded(articles, "month", False)
+
+
+def test_ordered_ngrams(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    pick = random.Random(3)
+    monkeypatch.setattr(tx, "PART_TOKENS", 7)
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("lexeme", pa.string())]))
+    for max_n in (1, 2, 3, 4):
+        rows = []
+        for _ in range(40):
+            places = sorted(pick.sample(range(1, 40), pick.randrange(0, 30)))
+            rows.append([{"pos": p, "lexeme": pick.choice(["a", "b", "c", "é", "字", "aa"])} for p in places])
+        rows[7] = None
+        vectors = pa.array([[], *rows], kind).slice(1)
+        want = set()
+        for i, row in enumerate(rows):
+            at = {t["pos"]: t["lexeme"] for t in row or []}
+            want |= {(" ".join(at[p + k] for k in range(n)), i) for p in at for n in range(1, max_n + 1) if all(p + k in at for k in range(n))}
+        for shares in (1, 3):
+            got = []
+            for share in range(shares):
+                of_share = []
+                for names, number, row in tx.ordered_ngrams(vectors, max_n, shares, share):
+                    of_share += [(names[k].as_py(), i) for k, i in zip(number.tolist(), row.tolist())]
+                assert of_share == sorted(of_share, key=lambda x: (x[0].encode(), x[1]))
+                got += of_share
+            assert len(got) == len(want) and set(got) == want
+        assert [len(x[0]) for x in tx.ordered_ngrams(vectors.slice(0, 0), max_n)] == []
+
+
+def test_lists_of_sketches_unite(spark):
+    from presstide.functions import sketches as sk
+
+    ones = [bytes(r.s) for r in spark.range(80).groupBy("id").agg(sk.theta_build("id").alias("s")).orderBy("id").collect()]
+    for n in (1, 2, 5, sk.FEW, sk.FEW + 1, 32, 33, 80):
+        lists = [ones[i : min(i + 32, n)] for i in range(0, n, 32)]
+        row = spark.createDataFrame([(lists,), (None,), ([],)], "l array<array<binary>>").select(F.theta_sketch_estimate(sk.theta_merge_lists("l")).alias("n"))
+        assert [r.n for r in row.collect()] == [n, None, None]
